@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_extract, lang_hierarchy, piece_codec, token_cache, warc_legacy
+from . import additive_ann, block_extract, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -27,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_legacy.archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=400)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_hierarchy.identify(table(spark, sf_dir, "documents"))
 
@@ -39,12 +43,18 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_warc": op4_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
+    "op10_additive_ann": op10_additive_ann,
 }
 
 SQL: dict[str, str] = {}
