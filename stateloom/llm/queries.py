@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, group_join, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(spark: SparkSession, name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"), keep_ids=False)
 
@@ -48,6 +52,7 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_warc": op4_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
