@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, partitions
 
 #: Expected bytes of one archive file before compression.
 ARCHIVE_BYTES = 24 << 20
@@ -244,10 +244,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     firsts = light.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min(F.struct("page_id", "key", "url")).alias("f"))
     roles = light.join(firsts, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))).where(F.col("page_id") != F.col("f.page_id"))
     roles = roles.select(F.col("key").alias("k"), F.col("digest").alias("rd"), F.col("f.key").alias("first"), F.col("f.url").alias("first_url")).distinct()
-    joined = rows.join(roles, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("rd")), "left")
-    files = max(1, -(-int(total) // ARCHIVE_BYTES))
-    spread = joined.select("key", "url", "html", "first", "first_url").repartition(files, F.xxhash64("key", "url"))
-    spread.mapInArrow(_convert, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    # dealt to as many tasks as archives, by the join's keys, so that the join moves the roles alone
+    files = max(partitions(pages.sparkSession), -(-int(total) // ARCHIVE_BYTES))
+    dealt = rows.select("key", "digest", "url", "html").repartition(files, "key", "digest")
+    joined = dealt.join(roles, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("rd")), "left")
+    joined.select("key", "url", "html", "first", "first_url").mapInArrow(_convert, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
