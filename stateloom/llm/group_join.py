@@ -63,10 +63,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def of(base: int) -> np.ndarray:
         out = np.ones(n, np.uint64)
-        size, step = 1, np.array(base, np.uint64)
+        size, step = 1, base
         while size < n:
-            out[size : 2 * size] = (out[:size] * step)[: n - size]
-            size, step = 2 * size, step * step
+            out[size : 2 * size] = (out[:size] * np.uint64(step))[: n - size]
+            size, step = 2 * size, step * step % (1 << 64)
         return out
 
     return of(_FACTOR), of(pow(_FACTOR, -1, 1 << 64))
@@ -312,3 +312,16 @@ def similar_components(docs: DataFrame) -> DataFrame:
     placed = placed.withColumnsRenamed({"grp": "g", "digest": "d"})
     out = described.select("doc_id", "n", "digest", "grp").join(placed, (F.col("grp") == F.col("g")) & (F.col("n") == F.col("size")) & (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"), F.coalesce("cid", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component; rows without id stay."""
+    found = similar_components(docs).where("doc_id = component_id").select("doc_id")
+    found = Scratch(docs.sparkSession, "group-join").keep(found, "kept")
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = found.distinct().withColumnsRenamed({"doc_id": "__kept"}) if repeated else found.withColumnsRenamed({"doc_id": "__kept"})
+    out = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    if repeated:
+        # rows that repeat an id: equal texts are copies of each other
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where("doc_id is null"))

@@ -181,8 +181,8 @@ def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     return out
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (doc_id if not given), lang_pred and score of every row."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in ``keep`` (doc_id if not given), prediction and score of every row."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each language pair
     width = len(keep)
@@ -194,10 +194,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                 part = batch.slice(start, 512)
                 found = [fitted.predict(t) for t in part.column(width).to_pylist()]
                 columns = [part.column(i) for i in range(width)] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     chosen = docs.select(*keep, F.col("text").alias("__body"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in chosen.dtypes[:width]), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in chosen.dtypes[:width]), f"`{names[0]}` string, `{names[1]}` double"])
     return chosen.mapInArrow(run, schema)
 
 
@@ -210,3 +210,10 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     """doc_id, held_out, lang_pred, score; fitted on the rows that aren't held out."""
     model = fit(training_rows(docs.where(~held_out()), rows_per_language))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, least_score: float = 0.1, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known and sure enough."""
+    model = fit(training_rows(docs.where(~held_out()), rows_per_language))
+    found = predict(docs, model, docs.columns, ("__lang", "__score"))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)

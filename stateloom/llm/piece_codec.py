@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,7 +245,7 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-def _coder(model_path: str, keep_ids: bool):
+def _coder(model_path: str, keep_ids: bool, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model_path)
         end = str(coder.end_id)
@@ -258,23 +259,24 @@ def _coder(model_path: str, keep_ids: bool):
                     counts.append(sum(w[1] for w in words) + 1)
                     digests.append(hashlib.sha256(ids.encode()).hexdigest())
                     # the words' own decodings; the first starts with the space mark that encoding put there
-                    decoded.append(b"".join([w[2] for w in words])[1:].decode("utf-8", errors="replace"))
+                    decoded.append(b"".join([w[2] for w in words])[1:])
                     if keep_ids:
-                        all_ids.append([int(i) for i in ids.split(" ")])
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256"]
+                        all_ids.append(np.fromstring(ids, np.int32, sep=" "))
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
-                else:
-                    columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()))
-                    names.append("decoded_sha256")
+                    offsets = np.concatenate(([0], np.cumsum([len(i) for i in all_ids]))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids))))
+                    names.append("ids")
+                if keep_text:
+                    columns.append(pa.array([t.decode("utf-8") for t in decoded], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, and ids and decoded text, or the digest of the latter alone."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, " + ("ids array<int>, decoded string" if keep_ids else "decoded_sha256 string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(_coder(model_path, keep_ids), schema)
+def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and, if asked for, ids and the decoded text."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(_coder(model_path, keep_ids, keep_text), schema)

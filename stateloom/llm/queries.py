@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, group_join, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -27,6 +27,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"), keep_ids=False)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_legacy.archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -54,6 +58,7 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,

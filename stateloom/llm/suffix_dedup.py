@@ -51,11 +51,11 @@ def doubled_ranks(data: np.ndarray, length: int) -> np.ndarray:
     rank = (data.astype(np.uint64) + np.uint64(1)) * _ODD
     rank ^= rank >> np.uint64(29)
     offset = 1
-    factor = np.array(0xD6E8FEB86659FD93, np.uint64)
+    factor = 0xD6E8FEB86659FD93
     while offset < length:
-        rank = rank[:-offset] * factor + rank[offset:]
+        rank = rank[:-offset] * np.uint64(factor) + rank[offset:]
         rank ^= rank >> np.uint64(31)
-        factor = factor * factor + np.array(2 * offset, np.uint64)
+        factor = (factor * factor + 2 * offset) % (1 << 64)
         offset *= 2
     return rank
 
@@ -275,3 +275,12 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, keep: list[str] | None
     joined = rows.join(found, F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__mark") == F.col("s_mark")), "left").select("__body", "__spans", *keep)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[2:]), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if keep_text else [])])
     return joined.mapInArrow(_removed(keep_text, len(keep)), schema)
+
+
+def without_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
+    """``docs`` with repeated bytes cut out of the texts; n_chars, if there, is counted anew."""
+    others = [c for c in docs.columns if c != "text"]
+    found = remove_repeats(docs.select("text", *others), threshold, [*others], keep_text=True)
+    text = F.col("kept_text").alias("text")
+    count = F.char_length("kept_text").cast("long").alias("n_chars")
+    return found.select(*(text if c == "text" else count if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
