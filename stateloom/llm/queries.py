@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -43,6 +43,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_hierarchy.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_hmm.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"), limit=512)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
+    "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_additive_ann": op10_additive_ann,
