@@ -227,7 +227,7 @@ def read_warc_files(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     rows = files.select("content").mapInArrow(_read_back, "key string, payload_bytes long, payload_digest string, record_type string, first string")
-    number = lambda c: F.when(F.col(c) != "-", F.col(c)).cast("long")
+    number = lambda c: F.col(c).try_cast("long")  # noqa: E731  other keys than ids of pages give null
     return rows.select(number("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("first").alias("refers_to"))
 
 
