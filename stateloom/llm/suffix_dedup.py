@@ -171,10 +171,14 @@ def _cut(rows: DataFrame, run: int, threshold: int) -> DataFrame:
     return slots.select(*_KEY, "at", "slot", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.unhex(F.md5(common)).alias("core"), F.unhex(F.md5(windows)).alias("whole"), windows.alias("held"))
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur more than once.  Counts combine before the shuffle; AQE splits hot keys of the join."""
+def _shared(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Rows whose keys occur more than once.
+
+    Counts combine before the shuffle; the join with the stored counts has a
+    plain shuffle on both sides, so AQE can split hot keys.
+    """
     often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return rows.join(often, keys, "left_semi")
+    return rows.join(scratch.keep(often, name), keys, "left_semi")
 
 
 def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
@@ -186,7 +190,7 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
     schema = "doc_id long, mark long, at long, lo int, hi int, core long, whole binary"
     scratch.keep(keyed.where(F.octet_length("body") >= threshold).mapInArrow(_anchors(threshold, core), schema), "anchors")
     anchors = docs.sparkSession.read.schema(schema).parquet(scratch.path("anchors"))
-    alive = scratch.keep(_shared(anchors, ["core"]), "ranked")
+    alive = scratch.keep(_shared(anchors, ["core"], scratch, "shared"), "ranked")
     scratch.drop("anchors")
 
     def spans(rows: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
     rows = _cut(held, runs[0], threshold)
     for k, run in enumerate(runs):
         rows = scratch.keep(rows, f"cut{run}")
-        alive = scratch.keep(_shared(rows, ["slot", "core"]), f"ranked{run}")
+        alive = scratch.keep(_shared(rows, ["slot", "core"], scratch, f"shared{run}"), f"ranked{run}")
         scratch.drop(f"cut{run}")
         found, again = settle(alive, ["slot", "core"], [*_KEY, "at", "held"], f"groups{run}")
         done.append(found)
