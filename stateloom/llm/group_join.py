@@ -11,10 +11,12 @@ in an order common to all (frequent shingles last, else by hash).
    whole sets.
 
 A list of groups under one shingle may be long (a family of thousands of near
-copies).  Its members aren't paired all with all: a few members, twice as many
-each round, are verified against every member that isn't connected to them
-yet, and then leave; a list ends once what is left is connected.  So no link
-between components is lost, and no pair inside a component needs verifying.
+copies).  Its members aren't paired all with all.  In a few rounds each member
+is verified against one other, which connects most of a family.  Then a few
+members, more each round, are verified against every member that
+isn't connected to them yet, and leave; a list ends once what is left is
+connected.  So no link between components is lost, and no pair inside a
+component needs verifying.
 
 Defined cases: words are runs of other characters than the six white space
 ones, A-Z in lower case; with fewer than five words the sequence is one
@@ -39,12 +41,16 @@ WORDS = 5
 PERCENT = 80
 #: Share of the hash range whose shingles are counted to find the frequent ones.
 COUNTED = 0.25
-#: Shingles of at least so many documents come last in the order; the most frequent so many of them.
-FREQUENT = 40
-FREQUENT_ROWS = 100_000
+#: Shingles of at least so many documents come last in the order, or of more where those are too many to broadcast.
+FREQUENT = 8
+FREQUENT_ROWS = 1_000_000
 #: Members of a list that are paired all with all, and verified members of the first round of a longer one.
-LIST = 32
-FIRST_PIVOTS = 4
+LIST = 64
+FIRST_PIVOTS = 32
+#: As many times more members are verified in each further round.
+MORE_PIVOTS = 8
+#: Rounds before, in which each member is verified against one other.
+STAR_ROUNDS = 2
 #: Keys that may be broadcast, 8 bytes each; beyond, the join is shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -157,8 +163,9 @@ def _described(frequent):
                     length = n - -(-n * PERCENT // 100) + 1 if n else 0
                     prefix = s[:0]
                     if n:
-                        often = np.isin(s, last, assume_unique=True) if len(last) else np.zeros(n, bool)
-                        prefix = np.concatenate((s[~often], s[often]))[:length]
+                        # the order common to all: frequent ones last, else by hash
+                        often = last[np.searchsorted(last, s)] == s
+                        prefix = np.sort(s >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63))[:length]
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     groups.append(xxhash.xxh3_64_intdigest(n.to_bytes(8, "little") + prefix.tobytes()) - (1 << 63))
@@ -194,6 +201,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may reach the similarity by what their prefixes show.
+
+    Up to where the shorter-reaching prefix ends both are known whole; beyond,
+    at most the smaller rest is common.
+    """
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
+            p, q = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+            end = min(p[-1], q[-1])
+            p, q = p[: np.searchsorted(p, end, "right")], q[: np.searchsorted(q, end, "right")]
+            both = len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))
+            keep.append(100 * both >= PERCENT * (n + m - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["grp_a", "grp_b", "a", "b"])
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """Hint to broadcast a table of keys only if it was counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -221,6 +246,17 @@ def connected(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
             return labels
 
 
+def _most_frequent(counts: DataFrame) -> np.ndarray:
+    """At most FREQUENT_ROWS shingles, sorted: those above the least count that leaves no more; then the largest number."""
+    least, left = None, FREQUENT_ROWS
+    for n, size in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # a row for each count
+        if size > left:
+            break
+        least, left = n, left - size
+    found = counts.where(F.col("n") >= least).select("shingle").toArrow().column(0).to_numpy() if least is not None else np.empty(0, np.int64)
+    return np.append(np.sort(found.astype(np.int64).view(np.uint64)), np.uint64(2**64 - 1))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row.
 
@@ -233,8 +269,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
 
     counted = rows.select("body").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS).select("shingle").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often.column(0).to_numpy().view(np.uint64)))  # at most FREQUENT_ROWS
+    often = scratch.keep(counted.where(F.col("n") >= FREQUENT), "often")
+    frequent = spark.sparkContext.broadcast(_most_frequent(often))
 
     described = scratch.keep(rows.mapInArrow(_described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
     taking_part = described.where("n > 0 and doc_id is not null")
@@ -254,12 +290,27 @@ def similar_components(docs: DataFrame) -> DataFrame:
     short = length.where(F.col("m") <= LIST).select("own", "shingle")
     long = length.where(F.col("m") > LIST).select("own", "shingle")
 
+    inside = listed.select("grp").distinct()
+    prefixes = taking_part.join(_bounded(scratch.keep(inside, "inside")), "grp", "left_semi").select("grp", "n", "prefix").dropDuplicates(["grp"])
+    prefixes = scratch.keep(prefixes, "prefixes")
+
+    def plausible(found: DataFrame) -> DataFrame:
+        """Of (grp_a, grp_b, a, b) rows those that pass the prefixes' bound."""
+        ends = found.select(F.col("grp_a").alias("grp")).union(found.select("grp_b")).distinct()
+        asked = prefixes.join(_bounded(ends), "grp", "left_semi")
+        two = found.join(asked.select(F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a")), "grp_a")
+        two = two.join(asked.select(F.col("grp").alias("grp_b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b")), "grp_b")
+        return two.select("grp_a", "grp_b", "a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_plausible, "grp_a long, grp_b long, a long, b long")
+
     # short lists: pairs of groups that fit in size, expanded to pairs of their classes
     member = listed.join(short, ["own", "shingle"], "left_semi")
     left = member.select("own", "shingle", F.col("grp").alias("grp_a"), F.col("n").alias("n_a")).distinct()
     right = member.select("own", "shingle", F.col("grp").alias("grp_b"), F.col("n").alias("n_b")).distinct()
     fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("grp_a") <= F.col("grp_b"))
     group_pairs = left.join(right, ["own", "shingle"]).where(fits).select("grp_a", "grp_b").distinct()
+    none = F.lit(None).cast("long")
+    group_pairs = scratch.keep(group_pairs, "group-pairs")
+    group_pairs = plausible(group_pairs.select("grp_a", "grp_b", none.alias("a"), none.alias("b"))).select("grp_a", "grp_b")
     by_group = classes.select("grp", "cid")
     pairs = group_pairs.join(by_group.select(F.col("grp").alias("grp_a"), F.col("cid").alias("c_a")), "grp_a")
     pairs = pairs.join(by_group.select(F.col("grp").alias("grp_b"), F.col("cid").alias("c_b")), "grp_b").where("c_a != c_b")
@@ -272,19 +323,26 @@ def similar_components(docs: DataFrame) -> DataFrame:
     wanted = scratch.keep(classes.select("cid", F.col("digest").alias("want")).join(needed, "cid"), "wanted")
     texts = rows.join(_bounded(wanted.select(F.col("cid").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "cid long, digest binary, hashes binary")
-    sets = sets.join(wanted.withColumnRenamed("cid", "w"), (F.col("cid") == F.col("w")) & (F.col("digest") == F.col("want")), "left_semi").select("cid", "hashes").dropDuplicates(["cid"])
+    mine = (F.col("cid") == F.col("w")) & (F.col("digest") == F.col("want"))
+    sets = sets.join(_bounded(wanted.withColumnRenamed("cid", "w")), mine, "left_semi").select("cid", "hashes")
     sets = scratch.keep(sets, "sets")
+    if not sets.groupBy("cid").count().where("count > 1").isEmpty():
+        # rows that repeat an id and a text
+        sets = scratch.keep(sets.dropDuplicates(["cid"]), "sets-once")
 
     def verify(found: DataFrame) -> DataFrame:
-        two = found.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
-        two = two.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
+        # of the sets only those asked for are moved
+        ends = found.select(F.col("a").alias("cid")).union(found.select("b")).distinct()
+        asked = sets.join(_bounded(ends), "cid", "left_semi")
+        two = found.join(asked.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
+        two = two.join(asked.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
     links = scratch.keep(verify(pairs), "links-0")
-    turn, pivots = 0, FIRST_PIVOTS
+    turn, pivots, fresh = 0, FIRST_PIVOTS, True
     while True:
-        labels = connected(links, scratch, f"labels-{turn}")
-        labels = labels.select(F.col("node").alias("cid"), "comp")
+        if fresh:
+            labels = connected(links, scratch, f"labels-{turn}").select(F.col("node").alias("cid"), "comp")
         # members of each long list with their components; connected lists end
         placed = big.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         inside = placed.groupBy("own", "shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -294,22 +352,33 @@ def similar_components(docs: DataFrame) -> DataFrame:
         if open_lists.isEmpty():
             break
         turn += 1
-        slot = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
-        chosen = (F.col("comp") != F.col("main")) & (slot * F.col("others") <= F.lit(pivots << 30))
-        pivot = open_lists.where(chosen).select("own", "shingle", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
-        other = open_lists.select("own", "shingle", "cid", "n", "comp")
-        near = other.join(pivot, ["own", "shingle"]).where((F.col("comp") != F.col("comp_p")) & (100 * F.least("n", "n_p") >= PERCENT * F.greatest("n", "n_p")))
-        near = near.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
-        scratch.keep(verify(near), f"links-{turn}")
+        if turn <= STAR_ROUNDS:
+            # the first of each list by a hash; of these each member takes the first that it isn't connected to
+            first = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "comp", "grp")
+            firsts = open_lists.groupBy("own", "shingle").agg(F.min(first).alias("p"))
+            fits = (F.col("comp") != F.col("p.comp")) & (100 * F.least(F.col("n"), F.col("p.n")) >= PERCENT * F.greatest(F.col("n"), F.col("p.n")))
+            near = open_lists.join(scratch.keep(firsts, f"firsts-{turn}"), ["own", "shingle"]).where(fits)
+            near = near.groupBy("cid", "grp").agg(F.min("p").alias("p")).select(F.col("grp").alias("grp_a"), F.col("p.grp").alias("grp_b"), F.col("cid").alias("a"), F.col("p.cid").alias("b"))
+        else:
+            slot = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
+            chosen = (F.col("comp") != F.col("main")) & (slot * F.col("others") <= F.lit(pivots << 30))
+            pivot = open_lists.where(chosen).select("own", "shingle", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"), F.col("grp").alias("grp_b"))
+            other = open_lists.select("own", "shingle", "cid", "n", "comp", F.col("grp").alias("grp_a"))
+            near = other.join(pivot, ["own", "shingle"]).where((F.col("comp") != F.col("comp_p")) & (100 * F.least("n", "n_p") >= PERCENT * F.greatest("n", "n_p")))
+            near = near.select("grp_a", "grp_b", F.col("cid").alias("a"), F.col("p").alias("b")).distinct()
+            big = open_lists.where(~chosen)
+            pivots *= MORE_PIVOTS
+        big = scratch.keep((open_lists if turn <= STAR_ROUNDS else big).select("own", "shingle", "grp", "cid", "n"), f"big-{turn}")
+        near = plausible(scratch.keep(near, f"fit-{turn}"))
+        near = scratch.keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"near-{turn}")
+        fresh = not scratch.keep(verify(near), f"links-{turn}").isEmpty()
         links = spark.read.parquet(*(scratch.path(f"links-{i}") for i in range(turn + 1)))
-        big = scratch.keep(open_lists.where(~chosen).select("own", "shingle", "grp", "cid", "n"), f"big-{turn}")
-        pivots *= 2
 
     ends = links.select(F.col("a").alias("cid")).union(links.select("b"))
     degree = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     placed = classes.join(labels, "cid", "left").join(degree, "cid", "left")
     placed = placed.select("grp", "digest", F.col("n").alias("size"), "cid", F.coalesce("comp", "cid").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = placed.withColumnsRenamed({"grp": "g", "digest": "d"})
+    placed = scratch.keep(placed.withColumnsRenamed({"grp": "g", "digest": "d"}), "placed")
     out = described.select("doc_id", "n", "digest", "grp").join(placed, (F.col("grp") == F.col("g")) & (F.col("n") == F.col("size")) & (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"), F.coalesce("cid", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
