@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -95,73 +96,73 @@ class Shard:
     postings: list[tuple[list[int], list[float], list[float]]] = field(default_factory=list)  # items, impacts, block maxima
     most: np.ndarray | None = None
 
-    def retrieve(self, found: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Items whose score for the distinct terms ``found`` reaches the threshold, by block-max WAND."""
+    def retrieve(self, found: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """Items from ``low`` to before ``high`` whose score for the terms ``found`` reaches the threshold, by block-max WAND."""
         most, postings = self.most, self.postings
-        cursors = [[postings[t][0][0], 0, t] for t in found]
+        end = len(self.items) if high is None else high
+        cursors = []
+        for t in found:
+            ids = postings[t][0]
+            at = bisect_left(ids, low)
+            if at < len(ids) and ids[at] < end:
+                cursors.append((ids[at], at, t))
         out = []
-        while True:
-            cursors.sort(key=lambda c: c[0])
+        while cursors:
+            cursors.sort()
             bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += most[c[2]]
+            for k, (_, _, t) in enumerate(cursors):
+                bound += most[t]
                 if bound >= threshold - 1e-9:
                     pivot = k
                     break
             if pivot < 0:
-                return out
+                break
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             # block maxima at the pivot item, and the first item at which one of them changes
-            bound, change = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-            for c in cursors[: pivot + 1]:
-                ids, _, tops = postings[c[2]]
-                block = c[1] // BLOCK
-                while block * BLOCK + BLOCK < len(ids) and ids[block * BLOCK + BLOCK - 1] < item:
-                    block += 1
-                if ids[-1] >= item:
+            bound, change = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
+            for _, at, t in cursors[: pivot + 1]:
+                ids, _, tops = postings[t]
+                block = bisect_left(ids, item, at) // BLOCK
+                if block < len(tops):
                     bound += tops[block]
-                last = ids[min(len(ids), block * BLOCK + BLOCK) - 1] + 1
-                change = last if change is None or last < change else change
+                    change = min(change, ids[min(len(ids), block * BLOCK + BLOCK) - 1] + 1)
             if bound < threshold - 1e-9:
                 target = max(item + 1, change)
             elif cursors[0][0] == item:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    score += postings[c[2]][1][c[1]]
+                score = sum(postings[t][1][at] for _, at, t in cursors[: pivot + 1])
                 if score >= threshold - 1e-9:
                     out.append((item, score))
                 target = item + 1
             else:
                 target = item
-            left = []
-            for k, c in enumerate(cursors):
-                if k <= pivot and c[0] < target:
-                    ids = postings[c[2]][0]
-                    at = c[1]
-                    while at < len(ids) and ids[at] < target:
-                        at += 1
-                    if at == len(ids):
+            left = cursors[pivot + 1 :]
+            for first, at, t in cursors[: pivot + 1]:
+                if first < target:
+                    ids = postings[t][0]
+                    at = bisect_left(ids, target, at)
+                    if at == len(ids) or ids[at] >= end:
                         continue
-                    c[0], c[1] = ids[at], at
-                left.append(c)
+                    first = ids[at]
+                left.append((first, at, t))
             cursors = left
-            if not cursors:
-                return out
-
-    def passages(self, tops: np.ndarray, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-        """Windows whose words' largest impacts reach the threshold, when summed for some stretch of items."""
-        n, half = len(ids), self.window // 2
-        for base in range(0, max(1, n - half), PIECE * half):
-            part = ids[base : base + (PIECE + 1) * half]
-            sums = np.zeros((len(part) + 1, tops.shape[1]))
-            np.cumsum(tops[part], axis=0, out=sums[1:])
-            starts = np.arange(0, min(PIECE * half, max(1, n - half - base)), half)
-            stops = np.minimum(starts + self.window, len(part))
-            hits = np.flatnonzero((sums[stops] - sums[starts]).max(1) >= threshold - 1e-4)
-            for a, b in zip((base + starts[hits]).tolist(), (base + stops[hits]).tolist(), strict=True):
-                yield a, b
+        return out
+
+    def passages(self, tops: np.ndarray, ids: np.ndarray, at: np.ndarray, n_words: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+        """Windows (first and past last indexed word, first word) whose indexed words ``ids``, at places ``at``, reach the threshold for some stretch of items when their largest impacts are summed."""
+        half = self.window // 2
+        for base in range(0, max(1, n_words - half), PIECE * half):
+            first, last = np.searchsorted(at, (base, base + (PIECE + 1) * half))
+            if first == last:
+                continue
+            sums = np.zeros((last - first + 1, tops.shape[1]))
+            np.cumsum(tops[ids[first:last]], axis=0, out=sums[1:])
+            starts = base + np.arange(0, min(PIECE * half, max(1, n_words - half - base)), half)
+            edges = np.searchsorted(at[first:last], np.concatenate((starts, starts + self.window)))
+            bounds = sums[edges[len(starts) :]] - sums[edges[: len(starts)]]
+            for k in np.flatnonzero(bounds.max(1) >= threshold - 1e-4).tolist():
+                yield int(first + edges[k]), int(first + edges[len(starts) + k]), int(starts[k])
 
 
 class Index:
@@ -193,22 +194,27 @@ class Index:
         found: dict[int, tuple[float, float, float]] = {}
         if not words:
             return found
-        get = self.terms.get
-        ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        every = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(every >= 0)
+        ids = every[at]
         for shard, own, tops in zip(self.shards, self.own, self.stretches, strict=True):
-            for a, b in shard.passages(tops, ids, threshold):
+            width = -(-len(shard.items) // STRETCHES)
+            for first, last, start in shard.passages(tops, ids, at, len(words), threshold):
                 # repeated words count once; and only a stretch of items whose own bound reaches the threshold can hold one
-                terms = np.unique(ids[a:b])
-                if tops[terms].sum(0).max() < threshold - 1e-4:
+                terms = np.unique(ids[first:last])
+                alive = np.flatnonzero(tops[terms].sum(0) >= threshold - 1e-4)
+                if not len(alive):
                     continue
                 mine = own[terms]
-                for item, score in shard.retrieve(mine[mine >= 0].tolist(), threshold):
-                    question, answer = shard.parts[item]
-                    passage = words[a:b]
-                    q, r = overlap(question, passage), overlap(answer, passage)
-                    key = shard.items[item]
-                    if q >= least and r >= least and (key not in found or score > found[key][0]):
-                        found[key] = score, q, r
+                mine = mine[mine >= 0].tolist()
+                for stretch in alive.tolist():
+                    for item, score in shard.retrieve(mine, threshold, stretch * width, (stretch + 1) * width):
+                        question, answer = shard.parts[item]
+                        passage = words[start : start + shard.window]
+                        q, r = overlap(question, passage), overlap(answer, passage)
+                        key = shard.items[item]
+                        if q >= least and r >= least and (key not in found or score > found[key][0]):
+                            found[key] = score, q, r
         return found
 
 
