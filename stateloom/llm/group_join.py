@@ -18,11 +18,17 @@ isn't connected to them yet, and leave; a list ends once what is left is
 connected.  So no link between components is lost, and no pair inside a
 component needs verifying.
 
+4. Where links are to be counted, a component with members of a long list is
+   compared all with all, in pairs of blocks of its classes: counts are kept,
+   pairs aren't.  In other components step 3 has verified every pair.
+
 Defined cases: words are runs of other characters than the six white space
 ones, A-Z in lower case; with fewer than five words the sequence is one
 shingle; without words or text the set is empty and linked with nothing; a
 null id takes no part in links and its component is null; equal sets are
-linked; an empty table gives an empty result; further columns are ignored.
+linked; rows that repeat an id with other texts are documents of their own,
+each in the component of its text; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +57,11 @@ FIRST_PIVOTS = 32
 MORE_PIVOTS = 8
 #: Rounds before, in which each member is verified against one other.
 STAR_ROUNDS = 2
+#: Classes, and hashes, in a block of those whose links are counted.
+BLOCK = 256
+BLOCK_HASHES = 1 << 21
+#: Sets whose sizes differ by more than this ratio can't be linked (1.25 can); bands of sizes grow by it.
+BAND = 1.3
 #: Keys that may be broadcast, 8 bytes each; beyond, the join is shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -187,7 +198,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             sets = shingle_sets([t.encode() for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["w", "digest", "hashes"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +230,70 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["grp_a", "grp_b", "a", "b"])
 
 
+def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set on the left to sets on the right, and back; without right, of each to the others."""
+    other = left if right is None else right
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, other)]
+    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    codes = []
+    for values, owner in sides:
+        at = np.searchsorted(common, values)
+        held = np.append(common, np.uint64(0))[at] == values
+        held &= at < len(common)
+        order = np.argsort(at[held], kind="stable")
+        codes.append((at[held][order], owner[held][order]))
+    both = np.zeros((len(left), len(other)), np.int64)
+    for low in range(0, len(common), 4096):
+        parts = []
+        for (at, owner), n in zip(codes, (len(left), len(other)), strict=True):
+            first, last = np.searchsorted(at, (low, low + 4096))
+            m = np.zeros((n, 4096), np.float32)
+            m[owner[first:last], at[first:last] - low] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    sizes = [np.array([len(v) for v in x], np.int64) for x in (left, other)]
+    linked = 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(1), linked.sum(0)
+
+
+def _counted_links(block: pa.Table) -> pa.Table:
+    sides = []
+    for side in (0, 1):
+        mine = block.filter(pa.array(block.column("side").to_numpy() == side))
+        sides.append((mine.column("cid").to_pylist(), [np.frombuffer(h, np.uint64) for h in mine.column("hashes").to_pylist()]))
+    (a, x), (b, y) = sides
+    alone = block.column("alone")[0].as_py()
+    n, m = link_counts(x, None if alone else y) if x and (alone or y) else ([0] * len(a), [0] * len(b))
+    counts = [*n, *([] if alone else m)]
+    return pa.table({"cid": pa.array([*a, *b], pa.int64()), "n_links": pa.array([int(c) for c in counts], pa.int64())})
+
+
+def _links_inside(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """cid, n_links: the verified links of each of ``members`` (comp, cid, n) inside its component.
+
+    Classes of a component that are like in size are dealt to blocks by hash;
+    each pair of blocks that may hold links is a group of its own.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("long")
+    members = scratch.keep(members.select("comp", "cid", band.alias("band"), "n"), "members")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_HASHES) / F.max("n"))))
+    cells = scratch.keep(members.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / room).cast("long").alias("blocks")), "cells")
+    slots = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    near = cells.select("comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band_b"), F.col("band").alias("band_a"), F.col("blocks").alias("k_a"))
+    near = near.join(cells.select("comp", F.col("band").alias("band_b"), F.col("blocks").alias("k_b")), ["comp", "band_b"])
+    near = near.withColumn("i", slots("k_a")).withColumn("j", slots("k_b")).where("band_a < band_b or i <= j")
+    near = scratch.keep(near.select("comp", "band_a", "i", "band_b", "j", F.expr("band_a = band_b and i = j").alias("alone")), "block-pairs")
+    placed = members.join(cells, ["comp", "band"]).select("comp", "cid", "band", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("slot"))
+    group = ["comp", "band_a", "i", "band_b", "j"]
+    first = placed.join(near, (placed["comp"] == near["comp"]) & (F.col("band") == F.col("band_a")) & (F.col("slot") == F.col("i"))).drop(placed["comp"])
+    second = placed.join(near.where("not alone"), (placed["comp"] == near["comp"]) & (F.col("band") == F.col("band_b")) & (F.col("slot") == F.col("j"))).drop(placed["comp"])
+    dealt = first.select(*group, "alone", F.lit(0).alias("side"), "cid").unionByName(second.select(*group, "alone", F.lit(1).alias("side"), "cid"))
+    counts = dealt.join(sets, "cid").groupBy(*group).applyInArrow(_counted_links, "cid long, n_links long")
+    return scratch.keep(counts.groupBy("cid").agg(F.sum("n_links").alias("n_links")), "inside-links")
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """Hint to broadcast a table of keys only if it was counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -257,12 +332,11 @@ def _most_frequent(counts: DataFrame) -> np.ndarray:
     return np.append(np.sort(found.astype(np.int64).view(np.uint64)), np.uint64(2**64 - 1))
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row.
 
-    class_id is the smallest id with the same set; n_links counts the verified
-    links of its class to other classes (links inside a component beyond those
-    that connect it need not be among them).
+    class_id is the smallest id with the same set; n_links counts all links of
+    its class to other classes, and is left out without ``count_links``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "group-join")
@@ -275,6 +349,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     described = scratch.keep(rows.mapInArrow(_described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
     taking_part = described.where("n > 0 and doc_id is not null")
     classes = scratch.keep(taking_part.groupBy("grp", "n", "digest").agg(F.min("doc_id").alias("cid")), "classes")
+    # classes are told apart by their smallest id, or where ids repeat with other texts by a number
+    numbered = not classes.groupBy("cid").count().where("count > 1").isEmpty()
+    classes = classes.withColumn("doc", F.col("cid"))
+    if numbered:
+        classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes-numbered")
     groups = classes.groupBy("grp").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_classes"))
 
     entries = taking_part.select(F.explode("prefix").alias("shingle"), "grp")
@@ -316,15 +395,15 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(by_group.select(F.col("grp").alias("grp_b"), F.col("cid").alias("c_b")), "grp_b").where("c_a != c_b")
     pairs = pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    big = scratch.keep(listed.join(long, ["own", "shingle"], "left_semi"), "big-0")
+    big = in_long = scratch.keep(listed.join(long, ["own", "shingle"], "left_semi"), "big-0")
 
     # whole sets of the classes that may be linked, made from their texts again
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(big.select("cid")).distinct()
-    wanted = scratch.keep(classes.select("cid", F.col("digest").alias("want")).join(needed, "cid"), "wanted")
-    texts = rows.join(_bounded(wanted.select(F.col("cid").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "cid long, digest binary, hashes binary")
-    mine = (F.col("cid") == F.col("w")) & (F.col("digest") == F.col("want"))
-    sets = sets.join(_bounded(wanted.withColumnRenamed("cid", "w")), mine, "left_semi").select("cid", "hashes")
+    wanted = scratch.keep(classes.select("cid", F.col("doc").alias("want_doc"), F.col("digest").alias("want")).join(needed, "cid"), "wanted")
+    texts = rows.join(_bounded(wanted.select(F.col("want_doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "w long, digest binary, hashes binary")
+    mine = (F.col("want_doc") == F.col("w")) & (F.col("digest") == F.col("want"))
+    sets = sets.join(_bounded(wanted), mine).select("cid", "hashes")
     sets = scratch.keep(sets, "sets")
     if not sets.groupBy("cid").count().where("count > 1").isEmpty():
         # rows that repeat an id and a text
@@ -374,18 +453,30 @@ def similar_components(docs: DataFrame) -> DataFrame:
         fresh = not scratch.keep(verify(near), f"links-{turn}").isEmpty()
         links = spark.read.parquet(*(scratch.path(f"links-{i}") for i in range(turn + 1)))
 
-    ends = links.select(F.col("a").alias("cid")).union(links.select("b"))
-    degree = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = classes.join(labels, "cid", "left").join(degree, "cid", "left")
-    placed = placed.select("grp", "digest", F.col("n").alias("size"), "cid", F.coalesce("comp", "cid").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = classes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    if count_links:
+        # the pairs of short lists are whole where no member is in a long one
+        partial = scratch.keep(labels.join(_bounded(in_long.select("cid").distinct()), "cid", "left_semi").select("comp").distinct(), "partial")
+        members = labels.join(_bounded(partial), "comp", "left_semi").join(classes.select("cid", "n"), "cid")
+        inside = _links_inside(members, sets, scratch)
+        ends = links.select(F.col("a").alias("cid")).union(links.select("b"))
+        degree = ends.join(labels.join(_bounded(partial), "comp", "left_anti"), "cid", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+        placed = placed.join(degree.unionByName(inside), "cid", "left")
+    else:
+        placed = placed.withColumn("n_links", F.lit(None).cast("long"))
+    if numbered:
+        first = placed.groupBy("comp").agg(F.min("doc").alias("least"))
+        placed = placed.join(first, "comp").withColumn("comp", F.col("least"))
+    placed = placed.select("grp", "digest", F.col("n").alias("size"), F.col("doc").alias("cid"), "comp", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = scratch.keep(placed.withColumnsRenamed({"grp": "g", "digest": "d"}), "placed")
     out = described.select("doc_id", "n", "digest", "grp").join(placed, (F.col("grp") == F.col("g")) & (F.col("n") == F.col("size")) & (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"), F.coalesce("cid", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"), F.coalesce("cid", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each component; rows without id stay."""
-    found = similar_components(docs).where("doc_id = component_id").select("doc_id")
+    found = similar_components(docs, count_links=False).where("doc_id = component_id").select("doc_id")
     found = Scratch(docs.sparkSession, "group-join").keep(found, "kept")
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
     kept = found.distinct().withColumnsRenamed({"doc_id": "__kept"}) if repeated else found.withColumnsRenamed({"doc_id": "__kept"})

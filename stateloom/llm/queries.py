@@ -20,7 +20,11 @@ def tokenizer_path(spark: SparkSession, name: str) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return group_join.similar_components(table(spark, sf_dir, "documents"), count_links=False).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,7 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op1_ngram_links": op1_ngram_links,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
@@ -85,6 +90,17 @@ comp AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, n_shingles, CASE WHEN n_shingles = 0 THEN doc_id ELSE component_id END AS component_id, CASE WHEN n_shingles = 0 THEN doc_id ELSE m.class_id END AS class_id FROM member m LEFT JOIN comp USING (class_id)
 """
 
+_LINKS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+c AS (SELECT min(doc_id) AS class_id, len(first(shingles)) AS n, first(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+member AS (SELECT doc_id, len(shingles) AS n_shingles, min(doc_id) OVER (PARTITION BY list_sort(shingles)) AS class_id FROM s),
+x AS (SELECT class_id, n, unnest(shingles) AS shingle FROM c),
+joined AS (SELECT a.class_id AS a, first(a.n) AS n, first(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.shingle = b.shingle AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id),
+degree AS (SELECT a AS class_id, count(*) AS n_links FROM joined WHERE 100 * k >= 80 * (n + m - k) GROUP BY a)
+SELECT doc_id, CASE WHEN n_shingles = 0 THEN doc_id ELSE m.class_id END AS class_id, coalesce(n_links, 0) AS n_links FROM member m LEFT JOIN degree USING (class_id)
+"""
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest FROM p),
@@ -92,4 +108,4 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
-SQL = {"op1_ngram_join": _NGRAM_SQL, "op4_warc": _WARC_SQL}
+SQL = {"op1_ngram_join": _NGRAM_SQL, "op1_ngram_links": _LINKS_SQL, "op4_warc": _WARC_SQL}

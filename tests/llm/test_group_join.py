@@ -86,3 +86,19 @@ def test_connected_chain(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["comp"] for r in connected(edges, Scratch(spark, "chain"), "t").collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("longest,block", [(4, 8), (4, 256), (1000, 256)])
+def test_links_equal_brute_force(spark, monkeypatch, longest, block):
+    monkeypatch.setattr(group_join, "LIST", longest)
+    monkeypatch.setattr(group_join, "FREQUENT", 6)
+    monkeypatch.setattr(group_join, "BLOCK", block)
+    rows = corpus(3, 4, 45)
+    rows += [(900, rows[0][1], None, None), (901, None, None, None), (0, rows[-1][1] + " other", None, None), (0, "a b c d e f g h", None, None)]  # id 0 has three texts
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    classes = {s for _, s in sets if s}
+    degree = {s: sum(100 * len(s & t) >= 80 * len(s | t) for t in classes if t != s) for s in classes}
+    out = similar_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in out) == sorted((i, len(s), degree.get(s, 0)) for i, s in sets)
+    assert max(degree.values()) > 8
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == sorted(brute(rows), key=str)
