@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import keep
+
 #: States in a sample, and boundaries of ranges, at most.
 SAMPLE = 4096
 BOUNDS = 127
@@ -14,10 +16,12 @@ def with_ordinal(keys: DataFrame, key: str = "key", name: str = "ordinal") -> Da
     """Number the rows from 0 in key order.
 
     Ranges of keys are dealt to tasks; each numbers its own rows, and the
-    counts of the ranges before, one row for each task, are added.
+    counts of the ranges before, one row for each task, are added.  Ranges are
+    drawn from a sample that differs from plan to plan, so the dealt rows are
+    written once and all that follows reads them back.
     """
     ranged = keys.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    placed = ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = keep(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ordinal")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -75,7 +79,7 @@ def weighted_bounds(weights: DataFrame, key: str = "key", weight: str = "weight"
     summed = weights.groupBy(key).agg(F.sum(F.col(weight).cast("double")).alias("w"))
     n, total = summed.agg(F.count(F.lit(1)), F.sum("w")).first()
     b = min(most, max(0, n - 1))
-    ranged = summed.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
+    ranged = keep(summed.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()), "weighted")
     parts = ranged.groupBy("__part").agg(F.sum("w").alias("__w"))
     offsets = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__w").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__base"))
     inside = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once below ``spark.checkpoint.dir`` and return the table read back."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stateloom-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Files:

@@ -57,3 +57,22 @@ def test_gaps_differences_checks(spark):
     counts = keys.shard_counts(frame(spark, [1, 2, 9]), F.col("key") % 3, 4)
     assert sorted((r["shard"], r["n"]) for r in counts.collect()) == [(0, 1), (1, 1), (2, 1), (3, 0)]
     assert keys.summary(frame(spark, range(512))).count() == 256
+
+
+def test_many_rows_over_many_partitions(spark):
+    n = 400_000
+    place = F.pmod(F.col("id") * 7919, F.lit(n))
+    rows = spark.range(0, n, 1, 8).select(place.alias("place"), F.pmod(place * 104_729, F.lit(99_991)).alias("key"))
+    expected = sum((p * 104_729) % 99_991 <= ((p - 1) * 104_729) % 99_991 for p in range(1, n))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        numbered = keys.with_ordinal(rows, "place")
+        assert numbered.where("ordinal != place").count() == 0 and numbered.count() == n
+        assert keys.is_increasing(rows, "place").first()[0] == expected
+        weights = rows.select(F.col("place").alias("key"), F.lit(1).alias("weight"))
+        assert sorted(r["bound"] for r in keys.weighted_bounds(weights, most=9).collect()) == [n * q // 10 for q in range(1, 10)]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
