@@ -8,7 +8,8 @@ Block-max WAND retrieves all items above the threshold: the sum of the terms'
 largest impacts bounds a passage's scores, block maxima bound them for
 stretches of items, and only what passes both bounds is scored.  A retrieved
 pair counts if enough word n-grams of both the question and the answer of the
-item stand in the passage.
+item stand in the passage; of an item that has no question mark, and so no
+answer that is known, enough n-grams of the whole will do.
 
 Items are indexed in shards of bounded size and of like length; a shard's
 index is what is broadcast.  Counts of terms are over all items.
@@ -71,6 +72,12 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def asks(text: str) -> bool:
+    """Whether an item has a question and an answer around a question mark."""
+    head, mark, tail = text.rpartition("?")
+    return bool(mark and words_of(head) and words_of(tail))
+
+
 def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     n = min(n, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -92,6 +99,7 @@ class Shard:
     window: int
     items: list[int] = field(default_factory=list)
     parts: list[tuple[list[str], list[str]]] = field(default_factory=list)
+    asks: list[bool] = field(default_factory=list)  # whether the parts are a question and its answer
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float], list[float]]] = field(default_factory=list)  # items, impacts, block maxima
     most: np.ndarray | None = None
@@ -213,7 +221,8 @@ class Index:
                         passage = words[start : start + shard.window]
                         q, r = overlap(question, passage), overlap(answer, passage)
                         key = shard.items[item]
-                        if q >= least and r >= least and (key not in found or score > found[key][0]):
+                        holds = q >= least and r >= least or not shard.asks[item] and overlap(question + answer, passage) >= least
+                        if holds and (key not in found or score > found[key][0]):
                             found[key] = score, q, r
         return found
 
@@ -232,6 +241,7 @@ def build_shard(items: list[tuple[int, str]], window: int, seen: dict[str, int],
         number = len(shard.items)
         shard.items.append(item_id)
         shard.parts.append(split_item(text))
+        shard.asks.append(asks(text))
         for t, value in impact.items():
             at = shard.terms.setdefault(t, len(shard.terms))
             if at == len(lists):

@@ -81,3 +81,25 @@ def test_parts():
     assert split_item("Who is it? The king") == (["who", "is", "it"], ["the", "king"])
     assert split_item("a b c d e f g h") == (list("abcdef"), list("gh")) and split_item("one") == ([], ["one"])
     assert overlap(list("abcd"), list("xabcy")) == 0.5 and overlap([], ["a"]) == 1.0
+
+
+def test_truncated_and_edited_quotations(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(40)).capitalize() + ".", 0) for i in range(30)]
+    docs, expected = [], set()
+    for i, text, _ in items:
+        words = text.split()
+        for share in (60, 75, 88, 95):
+            n = len(words) * share // 100
+            edited = list(words)
+            for k in range(len(words) - 9, len(words), 3):
+                edited[k] = word()  # edits in the last words
+            for part in (words[:n], words[-n:], edited):
+                docs.append((len(docs), " ".join(word() for _ in range(20)) + " " + " ".join(part) + " and so on", None, None))
+                expected.add((len(docs) - 1, i))
+        docs.append((len(docs), " ".join(words[: len(words) // 4]), None, None))
+    asked = (100, " ".join(word() for _ in range(30)) + "? " + " ".join(word() for _ in range(8)), 0)
+    docs.append((9000, asked[1].split("?")[0], None, None))  # a question without its answer
+    rows = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, asked], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == expected
