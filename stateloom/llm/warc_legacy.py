@@ -76,6 +76,13 @@ def _arc_line(version: int, url: str, ip: str, date: str, mime: str, length: int
     return (" ".join(values[f] for f in FIELDS[version]) + "\n").encode()
 
 
+def _header_text(line: bytes) -> str:
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC file after its ``filedesc`` record."""
     version, at = None, 0
@@ -86,7 +93,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ArchiveError(f"no end of the header line at byte {at}")
-        words = data[at:end].decode("utf-8").rstrip("\r").split(" ")
+        words = _header_text(data[at:end]).rstrip("\r").split(" ")
         # the first header line is read before the version is known: its length comes last in both
         names = FIELDS[version] if version else None
         if names is not None and len(words) != len(names):
@@ -149,6 +156,7 @@ def to_warc(record: ArcRecord, key: str, refers_to: tuple[str, str] | None = Non
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", refers_to[0]),
             ("X-Refers-To-Key", refers_to[1]),
+            ("X-Payload-Length", str(len(payload))),
         ]
     fields += [("X-Source-Key", key), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
@@ -210,13 +218,13 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             for fields, block in read_warc(data):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                head, payload = _split_http(block)
-                # a revisit's length stands in the HTTP header that it keeps
-                declared = int(re.search(rb"Content-Length: (\d+)", head)[1])
-                if fields["WARC-Type"] == "response" and (len(payload) != declared or base32_sha1(payload) != digest):
-                    raise ArchiveError(f"payload of {fields['WARC-Record-ID']} differs from its digest or length")
+                _, payload = _split_http(block)
+                # archived HTTP headers may lack the payload's length or state another
+                length = int(fields["X-Payload-Length"]) if fields["WARC-Type"] == "revisit" else len(payload)
+                if fields["WARC-Type"] != "revisit" and base32_sha1(payload) != digest:
+                    raise ArchiveError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
                 rows["key"].append(fields["X-Source-Key"])
-                rows["payload_bytes"].append(declared)
+                rows["payload_bytes"].append(length)
                 rows["payload_digest"].append(digest)
                 rows["record_type"].append(fields["WARC-Type"])
                 rows["first"].append(fields.get("X-Refers-To-Key"))
@@ -258,19 +266,51 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, path: str | None = Non
     return read_warc_files(pages.sparkSession, path)
 
 
-def convert_arc_files(spark, source: str, target: str) -> None:
-    """Convert a folder of ARC files, plain or gzipped, to WARC files; each record is a response."""
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of ARC files (path, content), one at a time."""
+    import gzip
+
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = content.as_py()
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            for n, record in enumerate(read_arc(data)):
+                head, payload = _split_http(record.block)
+                row = {"key": f"{name.rpartition('/')[2]}#{n}", "file": name, "n": n, "http": bool(head), "digest": base32_sha1(payload), "size": len(payload)}
+                row |= {"url": record.url, "ip": record.ip, "date": record.date, "mime": record.mime, "status": record.status, "block": record.block}
+                yield pa.RecordBatch.from_pylist([row], pa.schema(_RECORD_TYPES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
 
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for n, record in enumerate(read_arc(data)):
-                    # records of other media types aren't text: Latin-1 would change their bytes
-                    yield pa.RecordBatch.from_arrays([pa.array([to_warc(record, f"{name.rpartition('/')[2]}#{n}").decode("utf-8")])], names=["value"])
+_RECORD = "key string, file string, n long, http boolean, digest string, size long, url string, ip string, date string, mime string, status int, block binary"
+_RECORD_TYPES = [("key", pa.string()), ("file", pa.string()), ("n", pa.int64()), ("http", pa.bool_()), ("digest", pa.string()), ("size", pa.int64()), *((c, pa.string()) for c in ("url", "ip", "date", "mime")), ("status", pa.int32()), ("block", pa.binary())]
 
+
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(batch.num_rows):
+            (r,) = batch.slice(start, 1).to_pylist()
+            refers = (record_uuid(r["first_url"], r["first"], r["digest"]), r["first"]) if r["first"] is not None else None
+            made = to_warc(ArcRecord(r["url"], r["ip"], r["date"], r["mime"], r["status"], r["block"]), r["key"], refers)
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["value"])
+
+
+def convert_arc_files(spark, source: str, target: str) -> None:
+    """Convert a folder of ARC files, plain or gzipped, to WARC files.
+
+    Records of any media type keep their bytes.  Of the HTTP responses with the
+    same payload, not empty, the first by date, file and place is a response
+    and the others are revisits; records without an HTTP header are resources.
+    A header line that isn't UTF-8 is read as Latin-1.  Each ARC file is read
+    whole by one task, so it may have at most 2 GB.
+    """
+    scratch = Scratch(spark, "arc")
     files = spark.read.format("binaryFile").load(source).select("path", "content")
-    files.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(target)
+    records = scratch.keep(files.mapInArrow(_records, _RECORD), "records")
+    # roles are decided on rows without the blocks, and joined by file and place
+    light = records.where("http and size > 0").select("digest", "size", "date", "file", "n", "key", "url")
+    firsts = light.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min(F.struct("date", "file", "n", "key", "url")).alias("f"))
+    roles = light.join(firsts, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))).where((F.col("file") != F.col("f.file")) | (F.col("n") != F.col("f.n")))
+    roles = roles.select("file", "n", F.col("f.key").alias("first"), F.col("f.url").alias("first_url"))
+    made = records.join(roles, ["file", "n"], "left").select("key", "url", "ip", "date", "mime", "status", "digest", "block", "first", "first_url").mapInArrow(_converted, "value binary")
+    # Spark's text writer writes a string's bytes as they are, and commits files by rename
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(target)

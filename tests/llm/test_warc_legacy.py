@@ -68,3 +68,22 @@ def test_converted_folder(spark, tmp_path):
     convert_arc_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
     row = read_warc_files(spark, f"file://{tmp_path}/out").first()
     assert (row["payload_bytes"], row["payload_digest"], row["record_type"]) == (3, digest("abc"), "response")
+
+
+def test_converted_bytes_and_revisits(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    image, latin = b"\x89PNG\r\n\x1a\n\r\n\r\n" + bytes(range(256)), "caf\u00e9 \u00fc".encode("latin-1")
+    http = lambda payload: b"HTTP/1.0 200 OK\r\nServer: \xe9\r\n\r\n" + payload
+    one = [("http://a/1", "20010203040506", "image/png", http(image)), ("http://a/2", "20010203040507", "text/html", http(latin)), ("dns:a", "20010203", "text/dns", latin)]
+    two = [("http://b/1", "20020203040506", "image/png", http(image)), ("http://b/\u00e9", "20020203040507", "text/html", http(b""))]
+    (tmp_path / "in" / "a.arc").write_bytes(arc_bytes(1, one))
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(arc_bytes(2, two).decode("utf-8", "surrogateescape").replace("http://b/\u00e9", "http://b/\udce9").encode("utf-8", "surrogateescape")))
+    convert_arc_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    found = {f["WARC-Target-URI"]: (f, b) for p in tmp_path.glob("out/part-*.gz") for f, b in read_warc(gzip.decompress(p.read_bytes()))}
+    assert {u: f["WARC-Type"] for u, (f, _) in found.items()} == {"http://a/1": "response", "http://a/2": "response", "dns:a": "resource", "http://b/1": "revisit", "http://b/\u00e9": "response"}
+    assert all(found[u][1] == block for u, _, _, block in one)
+    assert found["http://b/1"][0]["WARC-Refers-To"] == found["http://a/1"][0]["WARC-Record-ID"]
+    rows = sorted((r["payload_bytes"], r["record_type"]) for r in read_warc_files(spark, f"file://{tmp_path}/out").collect())
+    assert rows == sorted([(len(image), "response"), (len(image), "revisit"), (len(latin), "response"), (len(latin), "resource"), (0, "response")])
