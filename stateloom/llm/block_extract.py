@@ -7,7 +7,10 @@ here on the small labelled table below.  The blocks that it takes for article
 text are joined in page order.
 
 Defined cases: a null or empty html gives the empty text; markup without
-article text gives the empty text; character references are decoded; white
+article text gives the empty text; an element that only its attributes or a
+form make boilerplate is none if it holds nearly all words of the page, few of
+them links, and no article text stands outside of it; class words after no-,
+has-, with- and the like say nothing of the element; character references are decoded; white
 space inside a block becomes one space; a block of any length is kept whole;
 unclosed and stray tags end blocks as closed ones do.
 """
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER = frozenset("nav header footer aside form menu dialog fieldset".split())
+BOILER = frozenset("nav header footer aside menu dialog".split())
+#: Elements that are boilerplate as those with BOILER_WORDS are, unless they hold the page's text.
+WEAK = frozenset("form fieldset".split())
+#: Share of the page's words, largest density of links, and words of article text outside that make a weak element hold it.
+WEAK_SHARE, WEAK_DENSITY, WEAK_OUTSIDE = 0.8, 0.3, 10
 #: Words in class, id and role attributes of elements that hold no article text.
 BOILER_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|foot|sidebar|side|aside|widget|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|disqus|replies|reply|reader|tags|pagination|pager|skip|toolbar|copyright|legal|complementary|contentinfo|dialog)(?:$|[\s_-])",
@@ -39,14 +46,17 @@ ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|mai
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Class words that tell what an element has or lacks, not what it is.
+_TOLD = re.compile(r"(?<!\S)(?:no|not|has|with|without|hide|show)[-_]\S*", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "link_words", "boiler", "article", "heading", "in_list")
+    __slots__ = ("text", "words", "link_words", "boiler", "article", "heading", "in_list", "weak")
 
     def __init__(self, text: str, link_words: int, boiler: bool, article: bool, heading: bool, in_list: bool):
         self.text, self.link_words, self.boiler, self.article, self.heading, self.in_list = text, link_words, boiler, article, heading, in_list
+        self.weak: tuple[int, ...] = ()
         self.words = len(text.split())
 
     @property
@@ -55,28 +65,58 @@ class Block:
 
 
 def _kind(name: str, attributes: str) -> str:
-    """'b' for an element that holds no article text, 'a' for one that holds the article."""
+    """'b' for an element that holds no article text, 'w' for one that seems so ('wa' if it may hold the article), 'a' for one that holds the article."""
     if name in BOILER:
         return "b"
+    if name in WEAK:
+        return "w"
     if attributes and "=" in attributes:
         value = " ".join(x for m in _ATTRIBUTE.finditer(attributes) for x in m.groups() if x)
         if value and name not in ("html", "body"):
+            value = _TOLD.sub(" ", value)
             if BOILER_WORDS.search(value):
-                return "b"
+                return "wa" if name in ARTICLE or ARTICLE_WORDS.search(value) else "w"
             if ARTICLE_WORDS.search(value):
                 return "a"
     return "a" if name in ARTICLE else ""
 
 
+@lru_cache(maxsize=64)
+def _closing(start: str) -> re.Pattern:
+    return re.compile(re.escape(start), re.I | re.A)
+
+
+def _release(found: list[Block], kinds: list[str]) -> None:
+    """Settle which blocks of weak elements are boilerplate."""
+    words, links = [0] * len(kinds), [0] * len(kinds)
+    total = 0
+    chains: dict[int, tuple[int, ...]] = {}
+    own: dict[tuple[int, ...], int] = {}  # article words by the weak elements around them
+    for b in found:
+        if not b.boiler:
+            total += b.words
+            own[b.weak] = own.get(b.weak, 0) + (b.words if b.article else 0)
+            for k, w in enumerate(b.weak):
+                chains[w] = b.weak[: k + 1]
+                words[w] += b.words
+                links[w] += min(b.link_words, b.words)
+    outside = {w: sum(own.get(c[:k], 0) for k in range(len(c))) for w, c in chains.items()}
+    text = {w for w in chains if words[w] >= WEAK_SHARE * total and links[w] <= WEAK_DENSITY * words[w] and outside[w] < WEAK_OUTSIDE}
+    for b in found:
+        b.boiler = b.boiler or not text.issuperset(b.weak)
+        b.article = b.article or any(kinds[w] == "wa" for w in b.weak if w in text)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
     open_elements: list[tuple[str, str]] = []
+    weak: list[int] = []
+    kinds: list[str] = []
     held: list[str] = []
     links: list[str] = []
     boiler = article = in_link = 0
     heading = in_list = False
-    lowered: list[str] = []
 
     def flush() -> None:
         nonlocal heading
@@ -85,6 +125,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(html_module.unescape(" ".join(links)).split())
                 out.append(Block(text, linked, boiler > 0, article > 0, heading, in_list))
+                out[-1].weak = tuple(weak)
             held.clear()
             links.clear()
 
@@ -94,6 +135,8 @@ def blocks(page: str) -> list[Block]:
             _, kind = open_elements.pop()
             boiler -= kind == "b"
             article -= kind == "a"
+            if kind in ("w", "wa"):
+                weak.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -123,15 +166,13 @@ def blocks(page: str) -> list[Block]:
         if name in SKIPPED:
             flush()
             if not closing and not found[3].rstrip().endswith("/"):
-                if not lowered:
-                    lowered.append(page.lower())
-                end = lowered[0].find("</" + name, at)
-                if end < 0:
+                end = _closing("</" + name).search(page, at)
+                if not end:
                     # an unclosed head ends where the body starts; other contents have no end
-                    end = lowered[0].find("<body", at) if name == "head" else n
-                    at = n if end < 0 else end
+                    end = _closing("<body").search(page, at) if name == "head" else None
+                    at = end.start() if end else n
                 else:
-                    stop = page.find(">", end)
+                    stop = page.find(">", end.start())
                     at = n if stop < 0 else stop + 1
             continue
         flush()
@@ -150,9 +191,14 @@ def blocks(page: str) -> list[Block]:
             open_elements.append((name, kind))
             boiler += kind == "b"
             article += kind == "a"
+            if kind in ("w", "wa"):
+                weak.append(len(kinds))
+                kinds.append(kind)
         heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
         in_list = not closing and name == "li" or in_list and name not in ("ul", "ol", "p", "div")
     flush()
+    if kinds:
+        _release(out, kinds)
     return out
 
 

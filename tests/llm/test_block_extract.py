@@ -50,3 +50,30 @@ def test_articles_of_the_tables(spark):
         parts = re.split(r"</?(?:p|h1|br)[^>]*>", inside)
         texts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in parts)
         assert row["text"] == " ".join(t for t in texts if t)
+
+
+@pytest.mark.parametrize(
+    "opening,closing",
+    [
+        ("<main class='content no-sidebar'>", "</main>"),
+        ("<article class='post has-comments'>", "</article>"),
+        ("<div class='page-legal'>", "</div>"),
+        ("<form action=x>", "</form>"),
+        ("<form><main class='with-sidebar page-legal'>", "</main></form>"),
+    ],
+)
+def test_articles_in_elements_named_like_boilerplate(opening, closing):
+    comments = f"<div class='comments'><p>{LONG} Me too.</p></div>" if "article" in opening else ""
+    page = f"<body><nav><a href=a>One</a></nav>{opening}<h1>A title</h1><p>{LONG}</p><p>{LONG} Again.</p><p>{LONG} More.</p>{comments}{closing}<footer>{LONG}</footer></body>"
+    assert main_text(page) == f"A title {LONG} {LONG} Again. {LONG} More."
+
+
+def test_comments_longer_than_the_article():
+    comments = "".join(f"<p>{LONG} Comment {i}.</p>" for i in range(30))
+    page = f"<main><article><p>{LONG}</p></article><section class='comments'>{comments}</section></main>"
+    assert main_text(page) == LONG and main_text(f"<form>{page}</form>") == LONG
+
+
+def test_letters_that_grow_in_lower_case():
+    dots = "\u0130" * 40
+    assert main_text(f"<article><p>{dots} {LONG}</p><SCRIPT>x = '<p>'</Script><p>{LONG}</p></article>") == f"{dots} {LONG} {LONG}"
