@@ -6,21 +6,20 @@ in an order common to all (frequent shingles last, else by hash).
 
 1. Documents with the same prefix and set size are one group, documents with
    the same set one class of it.
-2. Groups that share a prefix shingle and fit in size are group pairs.
-3. Group pairs are expanded to the classes in them, and these are verified on
-   whole sets.
-
-A list of groups under one shingle may be long (a family of thousands of near
-copies).  Its members aren't paired all with all.  In a few rounds each member
-is verified against one other, which connects most of a family.  Then a few
-members, more each round, are verified against every member that
-isn't connected to them yet, and leave; a list ends once what is left is
-connected.  So no link between components is lost, and no pair inside a
-component needs verifying.
-
-4. Where links are to be counted, a component with members of a long list is
-   compared all with all, in pairs of blocks of its classes: counts are kept,
-   pairs aren't.  In other components step 3 has verified every pair.
+2. Groups are listed under the shingles of their prefixes.  An entry stays only
+   if another group under its shingle is near enough in size for what both can
+   still have in common from that place on.  Entries of one shingle and of like
+   size tie their groups together; groups tied to each other, directly or
+   through others, are a family.  Ties go to one group of each list, so their
+   number is that of the entries and not of the pairs.
+3. Families are expanded to the classes in their groups.  A family is one cell,
+   or where it is large a cell for each pair of its blocks.  A cell holds whole
+   sets, counts all links between its classes and returns, for each class, the
+   number of its links and one class of its component.  So pairs are verified
+   where they meet and never become rows.
+
+Every link between different sets is found and counted: two linked sets are in
+one family, and each pair of blocks of a family is a cell.
 
 Defined cases: words are runs of other characters than the six white space
 ones, A-Z in lower case; with fewer than five words the sequence is one
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, text_or_empty
+from .storage import Scratch, map_arrow, text_or_empty
 
 WORDS = 5
 PERCENT = 80
@@ -50,20 +49,18 @@ COUNTED = 0.25
 #: Shingles of at least so many documents come last in the order, or of more where those are too many to broadcast.
 FREQUENT = 8
 FREQUENT_ROWS = 1_000_000
-#: Members of a list that are paired all with all, and verified members of the first round of a longer one.
-LIST = 64
-FIRST_PIVOTS = 32
-#: As many times more members are verified in each further round.
-MORE_PIVOTS = 8
-#: Rounds before, in which each member is verified against one other.
-STAR_ROUNDS = 2
-#: Classes, and hashes, in a block of those whose links are counted.
-BLOCK = 256
-BLOCK_HASHES = 1 << 21
+#: Classes, and hashes, in a block of a family.
+BLOCK = 512
+BLOCK_HASHES = 1 << 20
+#: Blocks of a band are numbered below this.
+UNITS = 1 << 32
+#: Cells of at most so many classes are compared together, by sorting.
+SMALL = 24
 #: Sets whose sizes differ by more than this ratio can't be linked (1.25 can); bands of sizes grow by it.
 BAND = 1.3
-#: Keys that may be broadcast, 8 bytes each; beyond, the join is shuffled.
+#: Keys and bytes of a table that may be broadcast; beyond, the join is shuffled.
 BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 
 _LOWER_AND_SPACES = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FACTOR = 0xD1342543DE82EF95
@@ -115,6 +112,12 @@ def _combined(parts: list[np.ndarray]) -> np.ndarray:
     return _mix(h)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is much faster here than numpy's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
@@ -136,7 +139,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         for k in range(last - first):
             c = int(counts[k])
             if c >= words:
-                out[first + k] = np.unique(full[at : at + c - words + 1])
+                out[first + k] = _distinct(full[at : at + c - words + 1])
             elif c:
                 out[first + k] = _combined([hashes[at + i : at + i + 1] for i in range(c)])
             at += c
@@ -198,112 +201,171 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             sets = shingle_sets([t.encode() for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["w", "digest", "hashes"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["w", "own", "hashes"])
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may reach the similarity by what their prefixes show.
+def _linked(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets on the left are linked with which on the right; without right, with each other.
 
-    Up to where the shorter-reaching prefix ends both are known whole; beyond,
-    at most the smaller rest is common.
+    Shingles of many sets are counted by a product of matrices, the others pair by pair.
     """
-    for batch in batches:
-        keep = []
-        for n, m, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
-            p, q = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
-            end = min(p[-1], q[-1])
-            p, q = p[: np.searchsorted(p, end, "right")], q[: np.searchsorted(q, end, "right")]
-            both = len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))
-            keep.append(100 * both >= PERCENT * (n + m - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["grp_a", "grp_b", "a", "b"])
-
-
-def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set on the left to sets on the right, and back; without right, of each to the others."""
     other = left if right is None else right
     sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, other)]
-    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
-    codes = []
+    if right is None:
+        values, n = np.unique(sides[0][0], return_counts=True)
+        common = values[n > 1]
+    else:
+        common = np.intersect1d(_distinct(sides[0][0]), _distinct(sides[1][0]), assume_unique=True)
+    codes, first, count = [], [], []
     for values, owner in sides:
         at = np.searchsorted(common, values)
         held = np.append(common, np.uint64(0))[at] == values
         held &= at < len(common)
         order = np.argsort(at[held], kind="stable")
         codes.append((at[held][order], owner[held][order]))
-    both = np.zeros((len(left), len(other)), np.int64)
-    for low in range(0, len(common), 4096):
+        count.append(np.bincount(codes[-1][0], minlength=len(common)))
+        first.append(np.cumsum(count[-1]) - count[-1])
+    both = np.zeros(len(left) * len(other), np.int64)
+    dense = count[0] * count[1] > max(16, len(left) * len(other) // 512)
+    # pair by pair: each entry on the left meets the list of its shingle on the right, some entries at a time
+    at, owner = codes[0]
+    at, owner = at[~dense[at]], owner[~dense[at]]
+    wide = count[1][at]
+    edges = np.searchsorted(np.cumsum(wide), np.arange(0, wide.sum() + BLOCK_HASHES, BLOCK_HASHES))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        w, v = wide[low:high], at[low:high]
+        within = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        both += np.bincount(np.repeat(owner[low:high], w) * len(other) + codes[1][1][np.repeat(first[1][v], w) + within], minlength=len(both))
+    both = both.reshape(len(left), len(other))
+    number = np.cumsum(dense) - 1
+    heavy = [(number[at[dense[at]]], owner[dense[at]]) for at, owner in codes]
+    for low in range(0, int(dense.sum()), 2048):
         parts = []
-        for (at, owner), n in zip(codes, (len(left), len(other)), strict=True):
-            first, last = np.searchsorted(at, (low, low + 4096))
-            m = np.zeros((n, 4096), np.float32)
-            m[owner[first:last], at[first:last] - low] = 1
+        for (at, owner), n in zip(heavy, (len(left), len(other)), strict=True):
+            start, stop = np.searchsorted(at, (low, low + 2048))
+            m = np.zeros((n, 2048), np.float32)
+            m[owner[start:stop], at[start:stop] - low] = 1
             parts.append(m)
         both += (parts[0] @ parts[1].T).astype(np.int64)
     sizes = [np.array([len(v) for v in x], np.int64) for x in (left, other)]
     linked = 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
     if right is None:
         np.fill_diagonal(linked, False)
-    return linked.sum(1), linked.sum(0)
-
-
-def _counted_links(block: pa.Table) -> pa.Table:
-    sides = []
-    for side in (0, 1):
-        mine = block.filter(pa.array(block.column("side").to_numpy() == side))
-        sides.append((mine.column("cid").to_pylist(), [np.frombuffer(h, np.uint64) for h in mine.column("hashes").to_pylist()]))
-    (a, x), (b, y) = sides
-    alone = block.column("alone")[0].as_py()
-    n, m = link_counts(x, None if alone else y) if x and (alone or y) else ([0] * len(a), [0] * len(b))
-    counts = [*n, *([] if alone else m)]
-    return pa.table({"cid": pa.array([*a, *b], pa.int64()), "n_links": pa.array([int(c) for c in counts], pa.int64())})
+    return linked
+
+
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest of ``n`` nodes that each reaches over the edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        old = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if np.array_equal(old, label):
+            break
+    return label
+
+
+def _links_of_small(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (positions) of many cells at once; ``cell`` is the ascending cell of each set."""
+    size = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    of = cell[owner]
+    order = np.lexsort((owner, values, of))
+    values, owner, of = values[order], owner[order], of[order]
+    same = (values[1:] == values[:-1]) & (of[1:] == of[:-1])
+    pairs, shift = [], 1
+    while same.any():
+        at = np.flatnonzero(same)
+        pairs.append(owner[at] * len(sets) + owner[at + shift])
+        shift += 1
+        same = same[:-1] & (values[shift:] == values[:-shift]) & (of[shift:] == of[:-shift])
+    code, both = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64),) * 2
+    a, b = code // len(sets), code % len(sets)
+    linked = 100 * both >= PERCENT * (size[a] + size[b] - both)
+    return a[linked], b[linked]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class of each cell its links there and the least class that it reaches by them.
+
+    Rows come in order of (family, i, j, side, digest); a cell may go over
+    several batches and is held whole.
+    """
+    names = ["digest", "n_links", "reached"]
 
+    def out(digests: list[bytes], links: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(links.astype(np.int64)), pa.array([digests[k] for k in label], pa.binary())], names=names)
 
-def _links_inside(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """cid, n_links: the verified links of each of ``members`` (comp, cid, n) inside its component.
+    def single(digests: list[bytes], sides: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        left = int(np.count_nonzero(sides == 0))
+        if left in (0, len(sets)):
+            linked = _linked(sets)
+            a, b = np.nonzero(np.triu(linked))
+            links = linked.sum(1)
+        else:
+            linked = _linked(sets[:left], sets[left:])
+            a, b = np.nonzero(linked)
+            b = b + left
+            links = np.concatenate((linked.sum(1), linked.sum(0)))
+        return out(digests, links, _least_reached(len(sets), a, b))
+
+    def small(cells: list) -> pa.RecordBatch:
+        digests = [d for c in cells for d in c[0]]
+        sets = [s for c in cells for s in c[2]]
+        a, b = _links_of_small(sets, np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells]))
+        links = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+        return out(digests, links, _least_reached(len(sets), a, b))
+
+    waiting: list = []
+    weight = 0
+    key, digests, sides, sets = None, [], [], []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        nonlocal weight, waiting
+        if len(digests) > 1:
+            cell = (digests, np.array(sides), sets)
+            # a cell of two blocks has links between its sides only
+            if len(digests) <= SMALL and key[1] == key[2]:
+                waiting.append(cell)
+                weight += sum(len(s) for s in sets)
+                if weight >= BLOCK_HASHES:
+                    yield small(waiting)
+                    waiting, weight = [], 0
+            elif key[1] == key[2] or 0 < sum(sides) < len(sides):
+                yield single(*cell)
 
-    Classes of a component that are like in size are dealt to blocks by hash;
-    each pair of blocks that may hold links is a group of its own.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("long")
-    members = scratch.keep(members.select("comp", "cid", band.alias("band"), "n"), "members")
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_HASHES) / F.max("n"))))
-    cells = scratch.keep(members.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / room).cast("long").alias("blocks")), "cells")
-    slots = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    near = cells.select("comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band_b"), F.col("band").alias("band_a"), F.col("blocks").alias("k_a"))
-    near = near.join(cells.select("comp", F.col("band").alias("band_b"), F.col("blocks").alias("k_b")), ["comp", "band_b"])
-    near = near.withColumn("i", slots("k_a")).withColumn("j", slots("k_b")).where("band_a < band_b or i <= j")
-    near = scratch.keep(near.select("comp", "band_a", "i", "band_b", "j", F.expr("band_a = band_b and i = j").alias("alone")), "block-pairs")
-    placed = members.join(cells, ["comp", "band"]).select("comp", "cid", "band", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("slot"))
-    group = ["comp", "band_a", "i", "band_b", "j"]
-    first = placed.join(near, (placed["comp"] == near["comp"]) & (F.col("band") == F.col("band_a")) & (F.col("slot") == F.col("i"))).drop(placed["comp"])
-    second = placed.join(near.where("not alone"), (placed["comp"] == near["comp"]) & (F.col("band") == F.col("band_b")) & (F.col("slot") == F.col("j"))).drop(placed["comp"])
-    dealt = first.select(*group, "alone", F.lit(0).alias("side"), "cid").unionByName(second.select(*group, "alone", F.lit(1).alias("side"), "cid"))
-    counts = dealt.join(sets, "cid").groupBy(*group).applyInArrow(_counted_links, "cid long, n_links long")
-    return scratch.keep(counts.groupBy("cid").agg(F.sum("n_links").alias("n_links")), "inside-links")
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """Hint to broadcast a table of keys only if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        hashes = batch.column(5)
+        for row, (family, i, j, side, digest) in enumerate(zip(*columns, strict=True)):
+            if (family, i, j) != key:
+                yield from finish()
+                key, digests, sides, sets = (family, i, j), [], [], []
+            if digests and digests[-1] == digest and sides[-1] == side:
+                continue  # rows that repeat an id and a text
+            digests.append(digest)
+            sides.append(side)
+            sets.append(np.frombuffer(hashes[row].as_py(), np.uint64))
+    yield from finish()
+    if waiting:
+        yield small(waiting)
+
+
+def _bounded(df: DataFrame, width: int = 8) -> DataFrame:
+    """Hint to broadcast a stored table of keys, ``width`` bytes each, only if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= min(BROADCAST_KEYS, BROADCAST_BYTES // width) else df
 
 
 def connected(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, comp: the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Every round each node takes the smallest label around it and then that
-    label's own label, so long chains halve.
+    Every round all nodes of one label take the smallest label next to any of
+    them, and then what that label's own nodes take, so the number of rounds
+    is about the logarithm of the longest chain.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both, f"{label}-edges")
@@ -312,12 +374,15 @@ def connected(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     while True:
         turn += 1
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("around"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        step = step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        step = scratch.keep(step, f"{label}-{turn}")
+        step = scratch.keep(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("new")), f"{label}-near-{turn}")
+        taken = scratch.keep(step.groupBy("old").agg(F.min("new").alias("taken")), f"{label}-taken-{turn}")
+        step = step.join(taken, "old").select("node", "old", F.col("taken").alias("new"))
+        step = step.join(taken.select(F.col("old").alias("new"), F.col("taken").alias("further")), "new", "left")
+        step = scratch.keep(step.select("node", "old", F.coalesce("further", "new").alias("comp")), f"{label}-{turn}")
+        scratch.drop(f"{label}-{turn - 1}", f"{label}-near-{turn}", f"{label}-taken-{turn}")
         labels = step.select("node", "comp")
         if step.where("old != comp").isEmpty():
+            scratch.drop(f"{label}-edges")
             return labels
 
 
@@ -332,151 +397,96 @@ def _most_frequent(counts: DataFrame) -> np.ndarray:
     return np.append(np.sort(found.astype(np.int64).view(np.uint64)), np.uint64(2**64 - 1))
 
 
-def similar_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+def _families(described: DataFrame, scratch: Scratch) -> DataFrame:
+    """node (group), comp (family) of the groups that are tied to others."""
+    entries = described.select("grp", "n", F.posexplode("prefix").alias("at", "shingle"))
+    # from place ``at`` on, partners of up to ``far`` shingles can have enough in common
+    entries = entries.withColumn("far", F.expr(f"(100 * n - {100 + PERCENT} * at) div {PERCENT}"))
+    joint = entries.groupBy("shingle").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.min("n").alias("least"), F.max("far").alias("reach"))
+    joint = scratch.keep(joint.where("x < y").select("shingle", "least", "reach"), "joint")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
+    lists = entries.join(_bounded(joint, 64), "shingle").where("far >= n or (reach >= n and least <= far)")
+    lists = scratch.keep(lists.select("shingle", band.alias("band"), "grp").distinct(), "lists")
+    scratch.drop("joint")
+    hubs = scratch.keep(lists.groupBy("shingle", "band").agg(F.min("grp").alias("hub")), "hubs")
+    ties = lists.join(hubs, ["shingle", "band"]).select(F.col("grp").alias("a"), F.col("hub").alias("b"))
+    above = hubs.select("shingle", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
+    ties = ties.union(hubs.join(above, ["shingle", "band"]).select(F.col("hub").alias("a"), "b"))
+    ties = scratch.keep(ties.where("a != b").distinct(), "ties")
+    scratch.drop("lists", "hubs")
+    found = connected(ties, scratch, "family")
+    scratch.drop("ties")
+    return found
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row.
 
     class_id is the smallest id with the same set; n_links counts all links of
-    its class to other classes, and is left out without ``count_links``.
+    its class to other classes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "group-join")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
 
-    counted = rows.select("body").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = map_arrow(rows.select("body"), _counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = scratch.keep(counted.where(F.col("n") >= FREQUENT), "often")
     frequent = spark.sparkContext.broadcast(_most_frequent(often))
-
-    described = scratch.keep(rows.mapInArrow(_described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
+    scratch.drop("often")
+    described = scratch.keep(map_arrow(rows, _described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
     taking_part = described.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(taking_part.groupBy("grp", "n", "digest").agg(F.min("doc_id").alias("cid")), "classes")
-    # classes are told apart by their smallest id, or where ids repeat with other texts by a number
-    numbered = not classes.groupBy("cid").count().where("count > 1").isEmpty()
-    classes = classes.withColumn("doc", F.col("cid"))
-    if numbered:
-        classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes-numbered")
-    groups = classes.groupBy("grp").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_classes"))
-
-    entries = taking_part.select(F.explode("prefix").alias("shingle"), "grp")
-    joint = entries.groupBy("shingle").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("shingle")
-    joint = scratch.keep(joint, "joint")
-    lists = scratch.keep(entries.join(_bounded(joint), "shingle", "left_semi").distinct(), "lists")
-
-    # lists of classes: under a shingle, or in one group
-    several = groups.where("n_classes > 1").select("grp", F.col("grp").alias("shingle"), F.lit(True).alias("own"))
-    listed = lists.select("grp", "shingle", F.lit(False).alias("own")).unionByName(several).join(classes, "grp").select("own", "shingle", "grp", "cid", "n")
-    listed = scratch.keep(listed, "listed")
-    length = listed.groupBy("own", "shingle").agg(F.count(F.lit(1)).alias("m"))
-    short = length.where(F.col("m") <= LIST).select("own", "shingle")
-    long = length.where(F.col("m") > LIST).select("own", "shingle")
-
-    inside = listed.select("grp").distinct()
-    prefixes = taking_part.join(_bounded(scratch.keep(inside, "inside")), "grp", "left_semi").select("grp", "n", "prefix").dropDuplicates(["grp"])
-    prefixes = scratch.keep(prefixes, "prefixes")
-
-    def plausible(found: DataFrame) -> DataFrame:
-        """Of (grp_a, grp_b, a, b) rows those that pass the prefixes' bound."""
-        ends = found.select(F.col("grp_a").alias("grp")).union(found.select("grp_b")).distinct()
-        asked = prefixes.join(_bounded(ends), "grp", "left_semi")
-        two = found.join(asked.select(F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a")), "grp_a")
-        two = two.join(asked.select(F.col("grp").alias("grp_b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b")), "grp_b")
-        return two.select("grp_a", "grp_b", "a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_plausible, "grp_a long, grp_b long, a long, b long")
-
-    # short lists: pairs of groups that fit in size, expanded to pairs of their classes
-    member = listed.join(short, ["own", "shingle"], "left_semi")
-    left = member.select("own", "shingle", F.col("grp").alias("grp_a"), F.col("n").alias("n_a")).distinct()
-    right = member.select("own", "shingle", F.col("grp").alias("grp_b"), F.col("n").alias("n_b")).distinct()
-    fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("grp_a") <= F.col("grp_b"))
-    group_pairs = left.join(right, ["own", "shingle"]).where(fits).select("grp_a", "grp_b").distinct()
-    none = F.lit(None).cast("long")
-    group_pairs = scratch.keep(group_pairs, "group-pairs")
-    group_pairs = plausible(group_pairs.select("grp_a", "grp_b", none.alias("a"), none.alias("b"))).select("grp_a", "grp_b")
-    by_group = classes.select("grp", "cid")
-    pairs = group_pairs.join(by_group.select(F.col("grp").alias("grp_a"), F.col("cid").alias("c_a")), "grp_a")
-    pairs = pairs.join(by_group.select(F.col("grp").alias("grp_b"), F.col("cid").alias("c_b")), "grp_b").where("c_a != c_b")
-    pairs = pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    big = in_long = scratch.keep(listed.join(long, ["own", "shingle"], "left_semi"), "big-0")
-
-    # whole sets of the classes that may be linked, made from their texts again
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(big.select("cid")).distinct()
-    wanted = scratch.keep(classes.select("cid", F.col("doc").alias("want_doc"), F.col("digest").alias("want")).join(needed, "cid"), "wanted")
-    texts = rows.join(_bounded(wanted.select(F.col("want_doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "w long, digest binary, hashes binary")
-    mine = (F.col("want_doc") == F.col("w")) & (F.col("digest") == F.col("want"))
-    sets = sets.join(_bounded(wanted), mine).select("cid", "hashes")
-    sets = scratch.keep(sets, "sets")
-    if not sets.groupBy("cid").count().where("count > 1").isEmpty():
-        # rows that repeat an id and a text
-        sets = scratch.keep(sets.dropDuplicates(["cid"]), "sets-once")
-
-    def verify(found: DataFrame) -> DataFrame:
-        # of the sets only those asked for are moved
-        ends = found.select(F.col("a").alias("cid")).union(found.select("b")).distinct()
-        asked = sets.join(_bounded(ends), "cid", "left_semi")
-        two = found.join(asked.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
-        two = two.join(asked.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
-        return two.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-
-    links = scratch.keep(verify(pairs), "links-0")
-    turn, pivots, fresh = 0, FIRST_PIVOTS, True
-    while True:
-        if fresh:
-            labels = connected(links, scratch, f"labels-{turn}").select(F.col("node").alias("cid"), "comp")
-        # members of each long list with their components; connected lists end
-        placed = big.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        inside = placed.groupBy("own", "shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-        state = inside.groupBy("own", "shingle").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
-        state = state.select("own", "shingle", "m", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.k")).alias("others"))
-        open_lists = scratch.keep(placed.join(state, ["own", "shingle"]), f"open-{turn}")
-        if open_lists.isEmpty():
-            break
-        turn += 1
-        if turn <= STAR_ROUNDS:
-            # the first of each list by a hash; of these each member takes the first that it isn't connected to
-            first = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "comp", "grp")
-            firsts = open_lists.groupBy("own", "shingle").agg(F.min(first).alias("p"))
-            fits = (F.col("comp") != F.col("p.comp")) & (100 * F.least(F.col("n"), F.col("p.n")) >= PERCENT * F.greatest(F.col("n"), F.col("p.n")))
-            near = open_lists.join(scratch.keep(firsts, f"firsts-{turn}"), ["own", "shingle"]).where(fits)
-            near = near.groupBy("cid", "grp").agg(F.min("p").alias("p")).select(F.col("grp").alias("grp_a"), F.col("p.grp").alias("grp_b"), F.col("cid").alias("a"), F.col("p.cid").alias("b"))
-        else:
-            slot = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
-            chosen = (F.col("comp") != F.col("main")) & (slot * F.col("others") <= F.lit(pivots << 30))
-            pivot = open_lists.where(chosen).select("own", "shingle", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"), F.col("grp").alias("grp_b"))
-            other = open_lists.select("own", "shingle", "cid", "n", "comp", F.col("grp").alias("grp_a"))
-            near = other.join(pivot, ["own", "shingle"]).where((F.col("comp") != F.col("comp_p")) & (100 * F.least("n", "n_p") >= PERCENT * F.greatest("n", "n_p")))
-            near = near.select("grp_a", "grp_b", F.col("cid").alias("a"), F.col("p").alias("b")).distinct()
-            big = open_lists.where(~chosen)
-            pivots *= MORE_PIVOTS
-        big = scratch.keep((open_lists if turn <= STAR_ROUNDS else big).select("own", "shingle", "grp", "cid", "n"), f"big-{turn}")
-        near = plausible(scratch.keep(near, f"fit-{turn}"))
-        near = scratch.keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"near-{turn}")
-        fresh = not scratch.keep(verify(near), f"links-{turn}").isEmpty()
-        links = spark.read.parquet(*(scratch.path(f"links-{i}") for i in range(turn + 1)))
-
-    placed = classes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    if count_links:
-        # the pairs of short lists are whole where no member is in a long one
-        partial = scratch.keep(labels.join(_bounded(in_long.select("cid").distinct()), "cid", "left_semi").select("comp").distinct(), "partial")
-        members = labels.join(_bounded(partial), "comp", "left_semi").join(classes.select("cid", "n"), "cid")
-        inside = _links_inside(members, sets, scratch)
-        ends = links.select(F.col("a").alias("cid")).union(links.select("b"))
-        degree = ends.join(labels.join(_bounded(partial), "comp", "left_anti"), "cid", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-        placed = placed.join(degree.unionByName(inside), "cid", "left")
-    else:
-        placed = placed.withColumn("n_links", F.lit(None).cast("long"))
-    if numbered:
-        first = placed.groupBy("comp").agg(F.min("doc").alias("least"))
-        placed = placed.join(first, "comp").withColumn("comp", F.col("least"))
-    placed = placed.select("grp", "digest", F.col("n").alias("size"), F.col("doc").alias("cid"), "comp", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = scratch.keep(placed.withColumnsRenamed({"grp": "g", "digest": "d"}), "placed")
-    out = described.select("doc_id", "n", "digest", "grp").join(placed, (F.col("grp") == F.col("g")) & (F.col("n") == F.col("size")) & (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"), F.coalesce("cid", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out if count_links else out.drop("n_links")
+    families = _families(taking_part.select("grp", "n", "prefix"), scratch)
+
+    # classes of the families that have several
+    classes = scratch.keep(taking_part.groupBy("digest").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("doc_id").alias("class_id")), "classes")
+    members = classes.join(families.withColumnsRenamed({"node": "grp", "comp": "family"}), "grp", "left").select(F.coalesce("family", "grp").alias("family"), "digest", "class_id", "n")
+    members = scratch.keep(members, "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
+    sizes = scratch.keep(members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).where("m > 1"), "sizes")
+    # a family of several blocks is cut by size: a block is met by the blocks of its own and of the next band
+    band = F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")).otherwise(0)
+    members = members.join(_bounded(sizes, 32), "family").select("family", band.alias("band"), "digest", F.col("class_id").alias("doc"), "n")
+    members = scratch.keep(members, "in-families")
+    scratch.drop("members", "sizes")
+    bands = scratch.keep(members.groupBy("family", "band").agg(blocks.alias("blocks")), "bands")
+    unit = lambda slots: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda k: F.col("band").cast("long") * slots + k))
+    units = bands.select("family", "band", unit(UNITS).alias("unit"))
+    near = units.withColumnRenamed("unit", "i").join(units.select("family", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("unit").alias("j")), ["family", "band"])
+    near = scratch.keep(near.where("i <= j").select("family", "i", "j"), "near")
+    slot = F.col("band").cast("long") * UNITS + F.pmod(F.xxhash64("digest"), F.col("blocks"))
+    placed = members.join(_bounded(bands, 48), ["family", "band"]).select("family", slot.alias("unit"), "digest", "doc")
+    first = placed.join(near.withColumnRenamed("i", "unit"), ["family", "unit"]).select("family", F.col("unit").alias("i"), "j", F.lit(0).alias("side"), "digest", "doc")
+    second = placed.join(near.where("i < j").withColumnRenamed("j", "unit"), ["family", "unit"]).select("family", "i", F.col("unit").alias("j"), F.lit(1).alias("side"), "digest", "doc")
+    placed = scratch.keep(first.union(second), "placed")
+    scratch.drop("in-families", "bands", "near")
+
+    # their whole sets, made from one text of each class, dealt to the cells
+    asked = scratch.keep(placed.select(F.col("doc").alias("doc_id")).distinct(), "asked")
+    texts = rows.join(_bounded(asked), "doc_id", "left_semi")
+    sets = map_arrow(texts, _sets, "w long, own binary, hashes binary")
+    dealt = sets.join(_bounded(placed, 96), (F.col("w") == F.col("doc")) & (F.col("own") == F.col("digest"))).select("family", "i", "j", "side", "digest", "hashes")
+    cell = ["family", "i", "j"]
+    compared = map_arrow(dealt.repartition(*cell).sortWithinPartitions(*cell, "side", "digest"), _compared, "digest binary, n_links long, reached binary")
+    compared = scratch.keep(compared, "compared")
+    scratch.drop("placed", "asked")
+    degree = compared.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
+    labels = connected(compared.where("digest != reached").select(F.col("digest").alias("a"), F.col("reached").alias("b")), scratch, "component")
+
+    named = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    first = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    named = named.join(first, "comp").join(degree, "digest", "left").select(F.col("digest").alias("d"), "class_id", "component_id", "n_links")
+    named = scratch.keep(named, "named")
+    scratch.drop("compared", "classes")
+    out = described.select("doc_id", "n", "digest").join(named, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each component; rows without id stay."""
-    found = similar_components(docs, count_links=False).where("doc_id = component_id").select("doc_id")
+    found = similar_components(docs).where("doc_id = component_id").select("doc_id")
     found = Scratch(docs.sparkSession, "group-join").keep(found, "kept")
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
     kept = found.distinct().withColumnsRenamed({"doc_id": "__kept"}) if repeated else found.withColumnsRenamed({"doc_id": "__kept"})

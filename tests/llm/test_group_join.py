@@ -64,7 +64,8 @@ def corpus(seed, families, copies):
 
 @pytest.mark.parametrize("seed,families,copies,longest", [(1, 25, 8, 32), (2, 3, 40, 4)])
 def test_equals_brute_force(spark, monkeypatch, seed, families, copies, longest):
-    monkeypatch.setattr(group_join, "LIST", longest)
+    monkeypatch.setattr(group_join, "SMALL", longest)
+    monkeypatch.setattr(group_join, "BLOCK", 2 * longest)
     monkeypatch.setattr(group_join, "FREQUENT", 6)
     rows = corpus(seed, families, copies)
     rows += [(900, None, None, None), (901, " \n\t", None, None), (902, "One two", None, None), (903, "one  TWO", None, None), (904, "one two three", None, None), (None, rows[0][1], None, None), (0, rows[0][1], None, None)]
@@ -90,7 +91,7 @@ def test_connected_chain(spark, tmp_path):
 
 @pytest.mark.parametrize("longest,block", [(4, 8), (4, 256), (1000, 256)])
 def test_links_equal_brute_force(spark, monkeypatch, longest, block):
-    monkeypatch.setattr(group_join, "LIST", longest)
+    monkeypatch.setattr(group_join, "SMALL", longest)
     monkeypatch.setattr(group_join, "FREQUENT", 6)
     monkeypatch.setattr(group_join, "BLOCK", block)
     rows = corpus(3, 4, 45)
