@@ -12,14 +12,17 @@ in an order common to all (frequent shingles last, else by hash).
    size tie their groups together; groups tied to each other, directly or
    through others, are a family.  Ties go to one group of each list, so their
    number is that of the entries and not of the pairs.
-3. Families are expanded to the classes in their groups.  A family is one cell,
-   or where it is large a cell for each pair of its blocks.  A cell holds whole
-   sets, counts all links between its classes and returns, for each class, the
-   number of its links and one class of its component.  So pairs are verified
-   where they meet and never become rows.
+3. A family is one cell, or where it is large a cell for each pair of its
+   blocks.  First a cell holds prefixes and filters group pairs: those that
+   can't reach the similarity by what both prefixes show go.  What is left ties
+   groups to smaller families.
+4. These are expanded to the classes in their groups.  Now a cell holds whole
+   sets, verifies all pairs, and returns for each class the number of its links
+   and one class of its component.  So pairs are looked at where they meet and
+   never become rows.
 
 Every link between different sets is found and counted: two linked sets are in
-one family, and each pair of blocks of a family is a cell.
+one family in both steps, and each pair of blocks of a family is a cell.
 
 Defined cases: words are runs of other characters than the six white space
 ones, A-Z in lower case; with fewer than five words the sequence is one
@@ -52,6 +55,8 @@ FREQUENT_ROWS = 1_000_000
 #: Classes, and hashes, in a block of a family.
 BLOCK = 512
 BLOCK_HASHES = 1 << 20
+#: Slots of the bits that tell shingles of several prefixes; a power of two.
+SLOTS = 1 << 26
 #: Blocks of a band are numbered below this.
 UNITS = 1 << 32
 #: Cells of at most so many classes are compared together, by sorting.
@@ -204,8 +209,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["w", "own", "hashes"])
 
 
-def _linked(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Which sets on the left are linked with which on the right; without right, with each other.
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Size of the intersection of each set on the left with each on the right; without right, with each other.
 
     Shingles of many sets are counted by a product of matrices, the others pair by pair.
     """
@@ -247,11 +252,35 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np
             m[owner[start:stop], at[start:stop] - low] = 1
             parts.append(m)
         both += (parts[0] @ parts[1].T).astype(np.int64)
-    sizes = [np.array([len(v) for v in x], np.int64) for x in (left, other)]
-    linked = 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
-    if right is None:
-        np.fill_diagonal(linked, False)
-    return linked
+    return both
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets are linked with which."""
+    both = _overlaps(left, right)
+    sizes = [np.array([len(v) for v in x], np.int64) for x in (left, left if right is None else right)]
+    return 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _plausible(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which groups may hold linked sets by their set sizes (first number of each) and prefixes (the others).
+
+    Up to where the shorter-reaching prefix ends both are known whole; beyond,
+    at most the smaller rest is common.
+    """
+    other = left if right is None else right
+    n, m = (np.array([v[0] for v in x]).astype(np.int64) for x in (left, other))
+    left, other = [v[1:] for v in left], [v[1:] for v in other]
+    both = _overlaps(left, None if right is None else other)
+    ends = np.array([v[-1] for v in other])
+    values = np.concatenate(other)
+    starts = np.cumsum([0, *(len(v) for v in other[:-1])])
+    for k in np.flatnonzero(both.any(axis=1)):
+        mine = np.searchsorted(left[k], np.minimum(left[k][-1], ends), "right")
+        theirs = np.add.reduceat(values <= left[k][-1], starts)
+        most = both[k] + np.minimum(n[k] - mine, m - theirs)
+        both[k] = (both[k] > 0) & (100 * most >= PERCENT * (n[k] + m - most))
+    return both.astype(bool)
 
 
 def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -268,14 +297,13 @@ def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_of_small(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) of many cells at once; ``cell`` is the ascending cell of each set."""
-    size = np.array([len(s) for s in sets])
+def _small_pairs(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (positions) of sets of one cell that have anything in common, and how much; ``cell`` is ascending."""
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.lexsort((values, cell[owner]))
+    values, owner = values[order], owner[order]
     of = cell[owner]
-    order = np.lexsort((owner, values, of))
-    values, owner, of = values[order], owner[order], of[order]
     same = (values[1:] == values[:-1]) & (of[1:] == of[:-1])
     pairs, shift = [], 1
     while same.any():
@@ -284,75 +312,125 @@ def _links_of_small(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarra
         shift += 1
         same = same[:-1] & (values[shift:] == values[:-shift]) & (of[shift:] == of[:-shift])
     code, both = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64),) * 2
-    a, b = code // len(sets), code % len(sets)
+    return code // len(sets), code % len(sets), both
+
+
+def _small_linked(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b, both = _small_pairs(sets, cell)
+    size = np.array([len(s) for s in sets])
     linked = 100 * both >= PERCENT * (size[a] + size[b] - both)
     return a[linked], b[linked]
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class of each cell its links there and the least class that it reaches by them.
+def _small_plausible(sets: list[np.ndarray], cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    prefixes = [s[1:] for s in sets]
+    a, b, both = _small_pairs(prefixes, cell)
+    n = np.array([s[0] for s in sets]).astype(np.int64)
+    end = np.array([p[-1] for p in prefixes])
+    rest = np.array([[n[i] - np.searchsorted(prefixes[i], e, "right") for i in pair] for pair, e in zip(zip(a.tolist(), b.tolist(), strict=True), np.minimum(end[a], end[b]), strict=True)], np.int64).reshape(-1, 2)
+    most = both + rest.min(axis=1)
+    kept = 100 * most >= PERCENT * (n[a] + n[b] - most)
+    return a[kept], b[kept]
+
+
+def _compared(decide, decide_small):
+    """For each node of each cell its pairs there and the first node that it reaches by them.
 
-    Rows come in order of (family, i, j, side, digest); a cell may go over
-    several batches and is held whole.
+    Rows (family, i, j, side, node, values) come in order of the first five; a
+    cell may go over several batches and is held whole.
     """
-    names = ["digest", "n_links", "reached"]
-
-    def out(digests: list[bytes], links: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(links.astype(np.int64)), pa.array([digests[k] for k in label], pa.binary())], names=names)
-
-    def single(digests: list[bytes], sides: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
-        left = int(np.count_nonzero(sides == 0))
-        if left in (0, len(sets)):
-            linked = _linked(sets)
-            a, b = np.nonzero(np.triu(linked))
-            links = linked.sum(1)
-        else:
-            linked = _linked(sets[:left], sets[left:])
-            a, b = np.nonzero(linked)
-            b = b + left
-            links = np.concatenate((linked.sum(1), linked.sum(0)))
-        return out(digests, links, _least_reached(len(sets), a, b))
-
-    def small(cells: list) -> pa.RecordBatch:
-        digests = [d for c in cells for d in c[0]]
-        sets = [s for c in cells for s in c[2]]
-        a, b = _links_of_small(sets, np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells]))
-        links = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
-        return out(digests, links, _least_reached(len(sets), a, b))
-
-    waiting: list = []
-    weight = 0
-    key, digests, sides, sets = None, [], [], []
-
-    def finish() -> Iterator[pa.RecordBatch]:
-        nonlocal weight, waiting
-        if len(digests) > 1:
-            cell = (digests, np.array(sides), sets)
-            # a cell of two blocks has links between its sides only
-            if len(digests) <= SMALL and key[1] == key[2]:
-                waiting.append(cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
+        weight = 0
+        key, nodes, sides, sets = None, [], [], []
+        kind = None
+
+        def out(nodes: list, links: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(links.astype(np.int64)), pa.array([nodes[k] for k in label], kind)], names=["node", "n_links", "reached"])
+
+        def single(nodes: list, sides: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+            left = int(np.count_nonzero(sides == 0))
+            if left in (0, len(sets)):
+                pairs = decide(sets)
+                np.fill_diagonal(pairs, False)
+                a, b = np.nonzero(np.triu(pairs))
+                links = pairs.sum(1)
+            else:
+                pairs = decide(sets[:left], sets[left:])
+                a, b = np.nonzero(pairs)
+                b = b + left
+                links = np.concatenate((pairs.sum(1), pairs.sum(0)))
+            return out(nodes, links, _least_reached(len(sets), a, b))
+
+        def small() -> pa.RecordBatch:
+            nodes = [d for c in waiting for d in c[0]]
+            sets = [s for c in waiting for s in c[2]]
+            a, b = decide_small(sets, np.repeat(np.arange(len(waiting)), [len(c[0]) for c in waiting]))
+            links = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+            return out(nodes, links, _least_reached(len(sets), a, b))
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal weight
+            # a cell of two blocks has pairs between its sides only
+            if len(nodes) > 1 and len(nodes) <= SMALL and key[1] == key[2]:
+                waiting.append((nodes, sides, sets))
                 weight += sum(len(s) for s in sets)
                 if weight >= BLOCK_HASHES:
-                    yield small(waiting)
-                    waiting, weight = [], 0
-            elif key[1] == key[2] or 0 < sum(sides) < len(sides):
-                yield single(*cell)
+                    yield small()
+                    waiting.clear()
+                    weight = 0
+            elif len(nodes) > 1 and (key[1] == key[2] or 0 < sum(sides) < len(sides)):
+                yield single(nodes, np.array(sides), sets)
+
+        for batch in batches:
+            kind = batch.column(4).type
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            values = batch.column(5)
+            for row, (family, i, j, side, node) in enumerate(zip(*columns, strict=True)):
+                if (family, i, j) != key:
+                    yield from finish()
+                    key, nodes, sides, sets = (family, i, j), [], [], []
+                if nodes and nodes[-1] == node and sides[-1] == side:
+                    continue  # rows that repeat an id and a text
+                nodes.append(node)
+                sides.append(side)
+                sets.append(np.frombuffer(values[row].as_py(), np.uint64))
+        yield from finish()
+        if waiting:
+            yield small()
+
+    return run
+
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, set size and prefix, as one value."""
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        hashes = batch.column(5)
-        for row, (family, i, j, side, digest) in enumerate(zip(*columns, strict=True)):
-            if (family, i, j) != key:
-                yield from finish()
-                key, digests, sides, sets = (family, i, j), [], [], []
-            if digests and digests[-1] == digest and sides[-1] == side:
-                continue  # rows that repeat an id and a text
-            digests.append(digest)
-            sides.append(side)
-            sets.append(np.frombuffer(hashes[row].as_py(), np.uint64))
-    yield from finish()
-    if waiting:
-        yield small(waiting)
+        n, prefix = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1)
+        packed = [n[k].tobytes() + prefix[k].values.to_numpy().tobytes() for k in range(batch.num_rows)]
+        columns = [batch.column(k) for k in range(batch.num_columns - 2)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=[*batch.schema.names[:-2], "packed"])
+
+
+def _sifted(bits):
+    """(shingle, grp, n, far) of the places of prefixes whose shingle may be in several prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            prefix = batch.column(2)
+            values, offsets = prefix.values.to_numpy(), prefix.offsets.to_numpy()
+            values = values[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            slot = values & (SLOTS - 1)
+            kept = np.flatnonzero(held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            row = np.searchsorted(offsets, kept, "right") - 1
+            n = batch.column(1).to_numpy()[row]
+            # from this place on, partners of up to ``far`` shingles can have enough in common
+            far = (100 * n - (100 + PERCENT) * (kept - offsets[row])) // PERCENT
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), batch.column(0).take(pa.array(row)), pa.array(n), pa.array(far)], names=["shingle", "grp", "n", "far"])
+
+    return run
 
 
 def _bounded(df: DataFrame, width: int = 8) -> DataFrame:
@@ -397,26 +475,58 @@ def _most_frequent(counts: DataFrame) -> np.ndarray:
     return np.append(np.sort(found.astype(np.int64).view(np.uint64)), np.uint64(2**64 - 1))
 
 
-def _families(described: DataFrame, scratch: Scratch) -> DataFrame:
-    """node (group), comp (family) of the groups that are tied to others."""
-    entries = described.select("grp", "n", F.posexplode("prefix").alias("at", "shingle"))
-    # from place ``at`` on, partners of up to ``far`` shingles can have enough in common
-    entries = entries.withColumn("far", F.expr(f"(100 * n - {100 + PERCENT} * at) div {PERCENT}"))
-    joint = entries.groupBy("shingle").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.min("n").alias("least"), F.max("far").alias("reach"))
-    joint = scratch.keep(joint.where("x < y").select("shingle", "least", "reach"), "joint")
+def _ties(leaders: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: groups tied by the entries of their prefixes; ``leaders`` has grp, n, prefix of each group."""
+    joint = leaders.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
+    joint = scratch.keep(joint.where("k > 1").select("shingle"), "joint")
+    # a bit for each slot of such a shingle, of fixed size; where it is full, more rows go on to the join
+    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
+    maps = joint.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    held = bytearray(SLOTS >> 3)
+    for r in maps:
+        held[r["k"] << 12 : (r["k"] + 1) << 12] = r["bits"]
+    bits = scratch.spark.sparkContext.broadcast(bytes(held))
+    entries = map_arrow(leaders, _sifted(bits), "shingle long, grp long, n long, far long")
+    entries = scratch.keep(entries.join(_bounded(joint, 32), "shingle", "left_semi"), "entries")
+    reach = scratch.keep(entries.groupBy("shingle").agg(F.min("n").alias("least"), F.max("far").alias("reach")), "reach")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
-    lists = entries.join(_bounded(joint, 64), "shingle").where("far >= n or (reach >= n and least <= far)")
-    lists = scratch.keep(lists.select("shingle", band.alias("band"), "grp").distinct(), "lists")
-    scratch.drop("joint")
+    lists = entries.join(_bounded(reach, 64), "shingle").where("far >= n or (reach >= n and least <= far)").select("shingle", band.alias("band"), "grp")
+    lists = scratch.keep(lists, "lists")
+    scratch.drop("joint", "entries", "reach")
     hubs = scratch.keep(lists.groupBy("shingle", "band").agg(F.min("grp").alias("hub")), "hubs")
-    ties = lists.join(hubs, ["shingle", "band"]).select(F.col("grp").alias("a"), F.col("hub").alias("b"))
+    ties = lists.join(_bounded(hubs, 64), ["shingle", "band"]).select(F.col("grp").alias("a"), F.col("hub").alias("b"))
     above = hubs.select("shingle", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
     ties = ties.union(hubs.join(above, ["shingle", "band"]).select(F.col("hub").alias("a"), "b"))
     ties = scratch.keep(ties.where("a != b").distinct(), "ties")
     scratch.drop("lists", "hubs")
-    found = connected(ties, scratch, "family")
-    scratch.drop("ties")
-    return found
+    return ties
+
+
+def _placed(members: DataFrame, weight: str, scratch: Scratch, label: str) -> DataFrame:
+    """family, i, j, side, node, doc: the cells of each of ``members`` (family, node, doc, n) of a family of several."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.expr(weight)) / BLOCK_HASHES)).cast("int")
+    sizes = scratch.keep(members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).where("m > 1"), f"{label}-sizes")
+    # a family of several blocks is cut by size: a block is met by the blocks of its own and of the next band
+    band = F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")).otherwise(0)
+    members = scratch.keep(members.join(_bounded(sizes, 32), "family").select("family", band.alias("band"), "node", "doc", "n"), f"{label}-members")
+    bands = scratch.keep(members.groupBy("family", "band").agg(blocks.alias("blocks")), f"{label}-bands")
+    number = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda k: F.col("band").cast("long") * UNITS + k)
+    units = bands.select("family", "band", F.explode(number).alias("unit"))
+    near = units.withColumnRenamed("unit", "i").join(units.select("family", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("unit").alias("j")), ["family", "band"])
+    near = scratch.keep(near.where("i <= j").select("family", "i", "j"), f"{label}-near")
+    unit = F.col("band").cast("long") * UNITS + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = members.join(_bounded(bands, 48), ["family", "band"]).select("family", unit.alias("unit"), "node", "doc")
+    first = placed.join(near.withColumnRenamed("i", "unit"), ["family", "unit"]).select("family", F.col("unit").alias("i"), "j", F.lit(0).alias("side"), "node", "doc")
+    second = placed.join(near.where("i < j").withColumnRenamed("j", "unit"), ["family", "unit"]).select("family", "i", F.col("unit").alias("j"), F.lit(1).alias("side"), "node", "doc")
+    placed = scratch.keep(first.union(second), f"{label}-placed")
+    scratch.drop(*(f"{label}-{x}" for x in ("sizes", "members", "bands", "near")))
+    return placed
+
+
+def _in_cells(dealt: DataFrame, value: str, function, kind: str) -> DataFrame:
+    cell = ["family", "i", "j"]
+    dealt = dealt.select(*cell, "side", "node", value).repartition(*cell).sortWithinPartitions(*cell, "side", "node")
+    return map_arrow(dealt, function, f"node {kind}, n_links long, reached {kind}")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -435,40 +545,38 @@ def similar_components(docs: DataFrame) -> DataFrame:
     scratch.drop("often")
     described = scratch.keep(map_arrow(rows, _described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
     taking_part = described.where("n > 0 and doc_id is not null")
-    families = _families(taking_part.select("grp", "n", "prefix"), scratch)
+    # one row of each group stands for it
+    heads = scratch.keep(taking_part.groupBy("grp").agg(F.min("doc_id").alias("doc")), "heads")
+    led = F.broadcast(heads) if heads.count() <= BROADCAST_KEYS else heads
+    leaders = taking_part.join(led.withColumnRenamed("grp", "g"), (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("doc"))).select("grp", "n", "prefix", "doc")
+    numbered = not heads.groupBy("doc").count().where("count > 1").isEmpty() or not taking_part.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if numbered:
+        leaders = leaders.dropDuplicates(["grp"])  # rows that repeat an id
+
+    # group pairs, filtered by prefixes
+    families = connected(_ties(leaders.select("grp", "n", "prefix"), scratch), scratch, "family").withColumnsRenamed({"node": "g", "comp": "family"})
+    tied = leaders.join(_bounded(families, 48), F.col("grp") == F.col("g")).select("family", F.col("grp").alias("node"), "doc", "n")
+    placed = _placed(tied, f"n * {100 - PERCENT} / 100", scratch, "group")
+    dealt = leaders.join(_bounded(placed.withColumnRenamed("doc", "d"), 96), F.col("grp") == F.col("node")).select("family", "i", "j", "side", "node", "n", "prefix")
+    dealt = map_arrow(dealt, _packed, "family long, i long, j long, side int, node long, packed binary")
+    pairs = scratch.keep(_in_cells(dealt, "packed", _compared(_plausible, _small_plausible), "long").where("node != reached"), "group-pairs")
+    scratch.drop("group-placed")
+    families = connected(pairs.select(F.col("node").alias("a"), F.col("reached").alias("b")), scratch, "group").withColumnsRenamed({"node": "grp", "comp": "family"})
 
     # classes of the families that have several
     classes = scratch.keep(taking_part.groupBy("digest").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("doc_id").alias("class_id")), "classes")
-    members = classes.join(families.withColumnsRenamed({"node": "grp", "comp": "family"}), "grp", "left").select(F.coalesce("family", "grp").alias("family"), "digest", "class_id", "n")
-    members = scratch.keep(members, "members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
-    sizes = scratch.keep(members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).where("m > 1"), "sizes")
-    # a family of several blocks is cut by size: a block is met by the blocks of its own and of the next band
-    band = F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")).otherwise(0)
-    members = members.join(_bounded(sizes, 32), "family").select("family", band.alias("band"), "digest", F.col("class_id").alias("doc"), "n")
-    members = scratch.keep(members, "in-families")
-    scratch.drop("members", "sizes")
-    bands = scratch.keep(members.groupBy("family", "band").agg(blocks.alias("blocks")), "bands")
-    unit = lambda slots: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda k: F.col("band").cast("long") * slots + k))
-    units = bands.select("family", "band", unit(UNITS).alias("unit"))
-    near = units.withColumnRenamed("unit", "i").join(units.select("family", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("unit").alias("j")), ["family", "band"])
-    near = scratch.keep(near.where("i <= j").select("family", "i", "j"), "near")
-    slot = F.col("band").cast("long") * UNITS + F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    placed = members.join(_bounded(bands, 48), ["family", "band"]).select("family", slot.alias("unit"), "digest", "doc")
-    first = placed.join(near.withColumnRenamed("i", "unit"), ["family", "unit"]).select("family", F.col("unit").alias("i"), "j", F.lit(0).alias("side"), "digest", "doc")
-    second = placed.join(near.where("i < j").withColumnRenamed("j", "unit"), ["family", "unit"]).select("family", "i", F.col("unit").alias("j"), F.lit(1).alias("side"), "digest", "doc")
-    placed = scratch.keep(first.union(second), "placed")
-    scratch.drop("in-families", "bands", "near")
+    members = classes.join(_bounded(families, 48), "grp", "left").select(F.coalesce("family", "grp").alias("family"), F.col("digest").alias("node"), F.col("class_id").alias("doc"), "n")
+    placed = _placed(scratch.keep(members, "members"), "n", scratch, "class")
+    scratch.drop("members", "group-pairs")
 
     # their whole sets, made from one text of each class, dealt to the cells
     asked = scratch.keep(placed.select(F.col("doc").alias("doc_id")).distinct(), "asked")
-    texts = rows.join(_bounded(asked), "doc_id", "left_semi")
+    texts = rows.join(_bounded(asked, 32), "doc_id", "left_semi")
     sets = map_arrow(texts, _sets, "w long, own binary, hashes binary")
-    dealt = sets.join(_bounded(placed, 96), (F.col("w") == F.col("doc")) & (F.col("own") == F.col("digest"))).select("family", "i", "j", "side", "digest", "hashes")
-    cell = ["family", "i", "j"]
-    compared = map_arrow(dealt.repartition(*cell).sortWithinPartitions(*cell, "side", "digest"), _compared, "digest binary, n_links long, reached binary")
+    dealt = sets.join(_bounded(placed, 96), (F.col("w") == F.col("doc")) & (F.col("own") == F.col("node")))
+    compared = _in_cells(dealt, "hashes", _compared(_linked, _small_linked), "binary").withColumnRenamed("node", "digest")
     compared = scratch.keep(compared, "compared")
-    scratch.drop("placed", "asked")
+    scratch.drop("class-placed", "asked")
     degree = compared.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     labels = connected(compared.where("digest != reached").select(F.col("digest").alias("a"), F.col("reached").alias("b")), scratch, "component")
 
