@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_or_empty
+from .storage import map_arrow, text_or_empty
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -187,11 +187,12 @@ class Index:
         self.own, self.stretches = [], []
         for s in shards:
             at = np.array([self.terms[t] for t in s.terms], np.int64)
-            own = np.full(n + 1, -1, np.int64)
+            own = np.full(n + 1, -1, np.int32)
             own[at] = np.arange(len(at))
             width = -(-len(s.items) // STRETCHES)
-            tops = np.zeros((n + 1, STRETCHES), np.float32)
-            for t, (ids, values, _) in zip(at.tolist(), s.postings, strict=True):
+            # by the shard's own numbers; the last row is for terms that it hasn't
+            tops = np.zeros((len(at) + 1, STRETCHES), np.float32)
+            for t, (ids, values, _) in enumerate(s.postings):
                 np.maximum.at(tops[t], np.array(ids) // width, np.array(values, np.float32))
             self.own.append(own)
             self.stretches.append(tops)
@@ -207,14 +208,15 @@ class Index:
         ids = every[at]
         for shard, own, tops in zip(self.shards, self.own, self.stretches, strict=True):
             width = -(-len(shard.items) // STRETCHES)
-            for first, last, start in shard.passages(tops, ids, at, len(words), threshold):
+            numbers = own[ids]
+            for first, last, start in shard.passages(tops, numbers, at, len(words), threshold):
                 # repeated words count once; and only a stretch of items whose own bound reaches the threshold can hold one
-                terms = np.unique(ids[first:last])
+                terms = np.sort(numbers[first:last])
+                terms = terms[np.append(True, terms[1:] != terms[:-1]) & (terms >= 0)]
                 alive = np.flatnonzero(tops[terms].sum(0) >= threshold - 1e-4)
                 if not len(alive):
                     continue
-                mine = own[terms]
-                mine = mine[mine >= 0].tolist()
+                mine = terms.tolist()
                 for stretch in alive.tolist():
                     for item, score in shard.retrieve(mine, threshold, stretch * width, (stretch + 1) * width):
                         question, answer = shard.parts[item]
@@ -322,7 +324,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
     out = docs.sparkSession.createDataFrame([], schema)
     for index in _passes(items):
-        out = out.unionByName(rows.mapInArrow(_finder(index), schema))
+        out = out.unionByName(map_arrow(rows, _finder(index), schema))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
@@ -339,5 +341,5 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return run
 
     for index in _passes(items):
-        docs = docs.mapInArrow(keeper(index, docs.columns.index("text")), docs.schema)
+        docs = map_arrow(docs, keeper(index, docs.columns.index("text")), docs.schema)
     return docs

@@ -4,7 +4,8 @@ A text is a vector of hashed n-grams (one to four characters of the lower-cased
 text, all but letters read as spaces), scaled to unit length.
 Linear support vector machines separate the language families one against the
 rest; inside a family, one machine for each pair of languages votes.  All are
-fitted on the driver on a bounded sample of labelled rows and applied in tasks.
+fitted on the driver on vectors of a bounded sample of labelled rows, made from
+whole texts in tasks, and applied in tasks.
 
 Defined cases: a null text and a text without letters give ``und`` with score
 0; a language that the training rows don't hold is never predicted; without
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows used for fitting, of each language: the smallest by a hash of the id.
+from .storage import map_arrow
+
+#: Labelled rows used for fitting, of each language and in all: the smallest by a hash of id and text.
 ROWS_PER_LANGUAGE = 600
-#: Characters of a training text that are read; predictions read whole texts.
-TRAIN_CHARS = 4000
+ROWS_IN_ALL = 12_000
 DIMENSIONS = 1 << 13
 #: Characters that are turned into n-grams at a time.
 BLOCK = 1 << 20
@@ -78,21 +80,22 @@ def features(text: str) -> np.ndarray | None:
     if not any_letter:
         return None
     found = np.sqrt(counts)
-    return found / np.linalg.norm(found)
+    return (found / np.linalg.norm(found)).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Nesterov's gradient method; y is -1 or 1."""
     n, d = x.shape
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(d + 1)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w = v = np.zeros(d + 1, np.float32)
     step = 1.0 / (2 * 2.0 + regular)
     for k in range(rounds):
         slack = np.maximum(0.0, 1 - y * (x @ v[:d] + v[d]))
         pull = -2 * weight * y * slack
-        grad = np.append(x.T @ pull + regular * v[:d], pull.sum())
-        new = v - step * grad
-        v = new + k / (k + 3) * (new - w)
+        grad = np.append(pull @ x + np.float32(regular) * v[:d], pull.sum())
+        new = v - np.float32(step) * grad
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w[:d], float(w[d])
 
@@ -138,13 +141,16 @@ def _squash(margin: float) -> float:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """Fit both levels on (text, lang) rows."""
-    usable = [(x, lang) for text, lang in rows if lang and (x := features((text or "")[:TRAIN_CHARS])) is not None]
+    usable = [(x, lang) for text, lang in rows if lang and (x := features(text or "")) is not None]
+    return fit_vectors(np.array([u[0] for u in usable]), [u[1] for u in usable])
+
+
+def fit_vectors(x: np.ndarray, named: list[str]) -> Model:
     model = Model()
-    if not usable:
+    if not len(x):
         return model
-    x = np.array([u[0] for u in usable])
-    langs = np.array([u[1] for u in usable])
-    families = np.array([family_of(u[1]) for u in usable])
+    langs = np.array(named)
+    families = np.array([family_of(n) for n in named])
     model.families = sorted(set(families))
     fitted = [fit_svm(x, np.where(families == f, 1.0, -1.0)) for f in model.families] if len(model.families) > 1 else []
     if fitted:
@@ -160,25 +166,38 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``rows_per_language`` rows of each language, the smallest by a hash of the id."""
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, slot, and the slots and values of the vector that aren't zero."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            found = [features(t) for t in part.column(2).to_pylist()]
+            at = [np.flatnonzero(x).astype(np.uint16) if x is not None else np.empty(0, np.uint16) for x in found]
+            values = [x[k].tobytes() if x is not None else b"" for x, k in zip(found, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([k.tobytes() for k in at], pa.binary()), pa.array(values, pa.binary())], names=["lang", "slot", "places", "values"])
+
+
+def fit_on(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """A model of at most ``rows_per_language`` rows of each language, and ROWS_IN_ALL in all, the smallest by a hash."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranked = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = {r["lang"]: r["n"] for r in ranked.collect()}
-    # a threshold on the hash keeps about that many rows without sorting a hot language
-    pick = F.lit(False)
-    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))
-    for lang, n in shares.items():
-        pick = pick | ((F.col("lang") == lang) & (slot < int((1 << 40) * min(1.0, 1.3 * rows_per_language / max(1, n)))))
-    chosen = rows.where(pick).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), slot.alias("slot"), "doc_id")
-    found = sorted(chosen.collect(), key=lambda r: (r["lang"], r["slot"], r["doc_id"]))
-    out: list[tuple[str, str]] = []
-    seen: dict[str, int] = {}
+    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(ROWS_IN_ALL).collect()}
+    most = min(rows_per_language, max(1, ROWS_IN_ALL // max(1, len(shares))))
+    # a threshold on the hash keeps about that many rows without sorting a hot language; equal rows count once
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    share = F.create_map(*(F.lit(v) for lang, n in shares.items() for v in (lang, int((1 << 40) * min(1.0, 1.3 * most / n))))) if shares else None
+    if share is None:
+        return Model()
+    chosen = rows.where(slot < share[F.col("lang")]).select("lang", slot.alias("slot"), "text").dropDuplicates(["lang", "slot"])
+    found = sorted(map_arrow(chosen, _vectors, "lang string, slot long, places binary, values binary").collect(), key=lambda r: (r["lang"], r["slot"]))
+    taken, seen = [], {}
     for r in found:
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= rows_per_language:
-            out.append((r["text"], r["lang"]))
-    return out
+        if seen[r["lang"]] <= most and r["places"]:
+            taken.append(r)
+    x = np.zeros((len(taken), DIMENSIONS), np.float32)
+    for k, r in enumerate(taken):
+        x[k, np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
+    return fit_vectors(x, [r["lang"] for r in taken])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -186,19 +205,21 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each language pair
     width = len(keep)
+    # a text that is kept is sent once
+    body = keep.index("text") if "text" in keep else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [fitted.predict(t) for t in part.column(width).to_pylist()]
+                found = [fitted.predict(t) for t in part.column(body).to_pylist()]
                 columns = [part.column(i) for i in range(width)] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    chosen = docs.select(*keep, F.col("text").alias("__body"))
+    chosen = docs.select(*keep, *([F.col("text").alias("__body")] if body == width else []))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in chosen.dtypes[:width]), f"`{names[0]}` string, `{names[1]}` double"])
-    return chosen.mapInArrow(run, schema)
+    return map_arrow(chosen, run, schema)
 
 
 def held_out(id_column: str = "doc_id"):
@@ -208,12 +229,12 @@ def held_out(id_column: str = "doc_id"):
 
 def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; fitted on the rows that aren't held out."""
-    model = fit(training_rows(docs.where(~held_out()), rows_per_language))
+    model = fit_on(docs.where(~held_out()), rows_per_language)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least_score: float = 0.1, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known and sure enough."""
-    model = fit(training_rows(docs.where(~held_out()), rows_per_language))
+    model = fit_on(docs.where(~held_out()), rows_per_language)
     found = predict(docs, model, docs.columns, ("__lang", "__score"))
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)

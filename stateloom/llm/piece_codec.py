@@ -22,20 +22,20 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_or_empty
+from .storage import hold, map_arrow, text_or_empty
 
 SPACE = "▁"
 #: Entries of a worker's memos: words in each of two generations, of which the
 #: older goes when the younger is full, and piece pairs, emptied when full.
-MEMO_WORDS = 250_000
-MEMO_PAIRS = 1_500_000
+MEMO_WORDS = 200_000
+MEMO_PAIRS = 600_000
 #: Longer words are not memoised.
 MEMO_CHARS = 48
 
@@ -86,8 +86,8 @@ class PieceCodec:
         known = "".join(re.escape(c) for c in sorted(self.characters))
         self._runs = re.compile(f"[{known}]+|[^{known}]+")
         self._pairs: dict[int, bool] = {}
-        self._words: dict[str, tuple[str, int, bytes]] = {}
-        self._older: dict[str, tuple[str, int, bytes]] = {}
+        self._words: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self._older: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     def _merged(self, text: str) -> tuple[list[str], list[tuple[int, str, str]]]:
         """Merge ``text`` from its characters; the parts, and after each merge its rank and the outer parts."""
@@ -188,8 +188,8 @@ class PieceCodec:
         out.reverse()
         return out
 
-    def _word(self, word: str) -> tuple[str, int, bytes]:
-        """Ids as text, their number, and what they decode to."""
+    def _word(self, word: str) -> tuple[str, tuple[int, ...]]:
+        """Ids as text, and as numbers."""
         found = self._older.get(word)
         if found is None:
             ids: list[int] = []
@@ -200,7 +200,7 @@ class PieceCodec:
                     ids += [self.byte_ids[b] for b in run.encode()]
                 else:
                     ids.append(self.unknown_id)
-            found = " ".join(map(str, ids)), len(ids), b"".join(map(self.shown.__getitem__, ids))
+            found = " ".join(map(str, ids)), tuple(ids)
         if len(word) <= MEMO_CHARS:
             if len(self._words) >= MEMO_WORDS:
                 self._older, self._words = self._words, {}
@@ -220,7 +220,7 @@ class PieceCodec:
                 held = ""
         return out + [held] if held else out
 
-    def words(self, text: str) -> list[tuple[str, int, bytes]]:
+    def words(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         if not text:
             return []
         known, make = self._words.get, self._word
@@ -228,21 +228,23 @@ class PieceCodec:
 
     def encode(self, text: str | None) -> list[int]:
         """All ids, the end id last."""
-        return [int(i) for w in self.words(text or "") for i in w[0].split(" ")] + [self.end_id]
+        return [i for w in self.words(text or "") for i in w[1]] + [self.end_id]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``: control ids are silent, runs of byte pieces are UTF-8, one leading space mark goes."""
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """What ``ids`` write: control ids are silent, one leading space mark goes."""
         at = next((k for k, i in enumerate(ids) if i not in self.silent), None)
         if at is None:
-            return ""
+            return b""
         raw = b"".join(map(self.shown.__getitem__, ids))
-        marked = ids[at] not in self.bytes_of and self.pieces[ids[at]].startswith(SPACE)
-        return raw[marked:].decode("utf-8", errors="replace")
+        return raw[1:] if ids[at] not in self.bytes_of and self.pieces[ids[at]].startswith(SPACE) else raw
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``; runs of byte pieces are UTF-8, and what isn't is replaced."""
+        return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def codec(model_path: str) -> PieceCodec:
-    return PieceCodec(model_path)
+    return hold(("pieces", model_path), lambda: PieceCodec(model_path))
 
 
 def _coder(model_path: str, keep_ids: bool, keep_text: bool):
@@ -255,13 +257,12 @@ def _coder(model_path: str, keep_ids: bool, keep_text: bool):
                 counts, digests, decoded, all_ids = [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = coder.words(text)
-                    ids = " ".join([*(w[0] for w in words), end])
-                    counts.append(sum(w[1] for w in words) + 1)
-                    digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                    # the words' own decodings; the first starts with the space mark that encoding put there
-                    decoded.append(b"".join([w[2] for w in words])[1:])
+                    ids = [*chain.from_iterable([w[1] for w in words]), coder.end_id]
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(" ".join([*(w[0] for w in words), end]).encode()).hexdigest())
+                    decoded.append(coder.decode_bytes(ids))
                     if keep_ids:
-                        all_ids.append(np.fromstring(ids, np.int32, sep=" "))
+                        all_ids.append(np.array(ids, np.int32))
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
@@ -269,7 +270,7 @@ def _coder(model_path: str, keep_ids: bool, keep_text: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids))))
                     names.append("ids")
                 if keep_text:
-                    columns.append(pa.array([t.decode("utf-8") for t in decoded], pa.string()))
+                    columns.append(pa.array([t.decode("utf-8", errors="replace") for t in decoded], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -279,4 +280,5 @@ def _coder(model_path: str, keep_ids: bool, keep_text: bool):
 def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and, if asked for, ids and the decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(_coder(model_path, keep_ids, keep_text), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
+    return map_arrow(rows, _coder(model_path, keep_ids, keep_text), schema)

@@ -40,7 +40,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=400)
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=400, keep_text=True)
+    return found.withColumnRenamed("kept_text", "text").withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

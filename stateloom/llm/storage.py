@@ -54,13 +54,35 @@ class Scratch:
             fs.delete(at, True)
 
 
+_owner: list[str] = [""]
+_held: dict = {}
+
+
+def hold(key, make):
+    """What ``make`` returns, kept in this Python process until a task of another operator runs in it."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def _owned(function, owner: str):
+    def run(batches):
+        # workers serve one operator after another; what they hold of the one before goes
+        if _owner[0] != owner:
+            _owner[0] = owner
+            _held.clear()
+        yield from function(batches)
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` in batches of bounded bytes, however long the texts are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if conf.get(key).removesuffix("b") in ("", "-1", str(64 << 20)):
+    if conf.get(key).removesuffix("b") in ("-1", str(64 << 20)):
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_owned(function, function.__module__), schema)
 
 
 def text_or_empty(column: str = "text"):

@@ -12,10 +12,14 @@ threshold.  Two things keep the work near the size of the input:
   anchor).  Equal windows have equal anchors at equal offsets, so a row stands
   for a run of windows around one anchor: anchor, and least and largest offset.
 
-Spark then sorts the rows by rank.  A row whose core is unique leaves.  Rows
-with equal bytes all over their windows are repeated and leave too.  The others
-are cut into runs of fewer windows, whose common part is longer, and are ranked
-anew by it, until a row is one window and its rank covers the threshold.
+Spark then sorts the rows by rank.  A row whose rank is unique leaves.  Rows
+with equal bytes all over their windows are repeated and leave too (told by 128
+bits of their bytes, which alone decide what is removed).  The others are cut
+into runs of fewer windows, whose common part is longer: at first twice the
+core, in the end the threshold.  A common part is ranked by a pair, the rank of
+its first bytes and the rank at a growing offset (128 after 128 bytes, then 256
+after up to 144 bytes), so Spark sorts pairs and reranks until a row is unique,
+settled, or one window whose pair covers the threshold.
 
 Defined cases: a null text is empty; texts shorter than the threshold are kept;
 windows never cross documents; rows repeated in the input count as documents
@@ -34,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, text_or_empty
+from .storage import Scratch, map_arrow, text_or_empty
 
 #: Bytes of the ranks that tasks build by doubling; a power of two.
 CORE = 128
-#: Windows in a row at each refinement after the first ranking.
-RUNS = (64, 8, 1)
+#: Windows in a row at each refinement after that by twice the core.
+RUNS = (32, 8, 1)
 #: Bytes that a task ranks at a time.
 BLOCK = 1 << 20
 
@@ -162,13 +166,36 @@ def _contexts(threshold: int):
     return run
 
 
-def _cut(rows: DataFrame, run: int, threshold: int) -> DataFrame:
-    """Rows of at most ``run`` windows, with the rank of their common part and of all their windows."""
-    slots = rows.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / run).cast("int"), F.floor(F.col("hi") / run).cast("int"))))
-    slots = slots.withColumns({"lo2": F.greatest(F.col("lo"), F.col("slot") * run), "hi2": F.least(F.col("hi"), F.col("slot") * run + run - 1)})
-    common = F.expr(f"substring(held, hi - slot * {run} + 1, {threshold - run + 1})")
-    windows = F.expr(f"substring(held, hi - hi2 + 1, {threshold} + hi2 - lo2)")
-    return slots.select(*_KEY, "at", "slot", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.unhex(F.md5(common)).alias("core"), F.unhex(F.md5(windows)).alias("whole"), windows.alias("held"))
+def _pairs(run: int, threshold: int, core: int):
+    """Rows of at most ``run`` windows: the pair of ranks of their common part, and the digest of all their bytes."""
+    common = threshold - run + 1
+    half = core
+    while half * 2 < common:
+        half *= 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                held = part.column(5).to_pylist()
+                lo, hi = part.column(3).to_numpy(), part.column(4).to_numpy()
+                base = np.cumsum([0, *(len(h) for h in held[:-1])])
+                rank = doubled_ranks(np.frombuffer(b"".join(held), np.uint8), half).astype(np.int64)
+                count = hi // run - lo // run + 1
+                row = np.repeat(np.arange(len(held)), count)
+                slot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + (lo // run)[row]
+                low, high = np.maximum(lo[row], slot * run), np.minimum(hi[row], slot * run + run - 1)
+                start = base[row] + hi[row] - slot * run
+                windows = [held[k][a:b] for k, a, b in zip(row.tolist(), (hi[row] - high).tolist(), (hi[row] - low + threshold).tolist(), strict=True)]
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(index) for k in range(3)), pa.array(slot.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(rank[start]), pa.array(rank[start + common - half]), pa.array([xxhash.xxh3_128_digest(w) for w in windows], pa.binary()), pa.array(windows, pa.binary())],
+                    names=["doc_id", "mark", "at", "slot", "lo", "hi", "left", "right", "whole", "held"],
+                )
+
+    return cut
 
 
 def _shared(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -188,7 +215,7 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
         core //= 2
     keyed = _keyed(docs)
     schema = "doc_id long, mark long, at long, lo int, hi int, core long, whole binary"
-    scratch.keep(keyed.where(F.octet_length("body") >= threshold).mapInArrow(_anchors(threshold, core), schema), "anchors")
+    scratch.keep(map_arrow(keyed.where(F.octet_length("body") >= threshold), _anchors(threshold, core), schema), "anchors")
     anchors = docs.sparkSession.read.schema(schema).parquet(scratch.path("anchors"))
     alive = scratch.keep(_shared(anchors, ["core"], scratch, "shared"), "ranked")
     scratch.drop("anchors")
@@ -214,17 +241,18 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
     # what is neither unique nor settled is looked at again, with its bytes
     wanted = again.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "lo", "hi")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"})
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    held = texts.select(*_KEY, "body", "wanted").mapInArrow(_contexts(threshold), "doc_id long, mark long, at long, lo int, hi int, held binary")
-    runs = [r for r in RUNS if r == 1 or r <= threshold // 2]
-    rows = _cut(held, runs[0], threshold)
-    for k, run in enumerate(runs):
-        rows = scratch.keep(rows, f"cut{run}")
-        alive = scratch.keep(_shared(rows, ["slot", "core"], scratch, f"shared{run}"), f"ranked{run}")
+    held = map_arrow(texts.select(*_KEY, "body", "wanted"), _contexts(threshold), "doc_id long, mark long, at long, lo int, hi int, held binary")
+    widest = max(1, threshold - 2 * core + 1)
+    cut = "doc_id long, mark long, at long, slot int, lo int, hi int, left long, right long, whole binary, held binary"
+    pair = ["slot", "left", "right"]
+    for run in [widest, *(r for r in RUNS if r < widest)]:
+        scratch.keep(map_arrow(held, _pairs(run, threshold, core), cut), f"cut{run}")
+        rows = docs.sparkSession.read.schema(cut).parquet(scratch.path(f"cut{run}"))
+        alive = scratch.keep(_shared(rows, pair, scratch, f"shared{run}"), f"ranked{run}")
         scratch.drop(f"cut{run}")
-        found, again = settle(alive, ["slot", "core"], [*_KEY, "at", "held"], f"groups{run}")
+        found, again = settle(alive, pair, [*_KEY, "at", "held"], f"groups{run}")
         done.append(found)
-        if run > 1:
-            rows = _cut(again, runs[k + 1], threshold)
+        held = again.select(*_KEY, "at", "lo", "hi", "held")
     return reduce(DataFrame.unionByName, done)
 
 
@@ -278,7 +306,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, keep: list[str] | None
     rows = docs.select(text.alias("__body"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__mark"), *keep)
     joined = rows.join(found, F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__mark") == F.col("s_mark")), "left").select("__body", "__spans", *keep)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[2:]), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if keep_text else [])])
-    return joined.mapInArrow(_removed(keep_text, len(keep)), schema)
+    return map_arrow(joined, _removed(keep_text, len(keep)), schema)
 
 
 def without_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, text_or_empty
+from .storage import Scratch, map_arrow, text_or_empty
 
 #: Texts of these characters alone may go through the rank encoder: the letter,
 #: digit and space classes of all Unicode versions agree on them.
@@ -154,7 +154,7 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_
     full = docs.select(F.col(id_column).alias("id"), text.alias("body"), F.sha2(text, 256).alias("digest"))
     wanted = wanted.withColumnRenamed("digest", "want")
     misses = full.join(wanted, (F.col("digest") == F.col("want")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    encoded = misses.select("digest", "body").mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens long")
+    encoded = map_arrow(misses.select("digest", "body"), _encoder(tokenizer_path), "digest string, n_tokens long")
     encoded = encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
