@@ -34,8 +34,8 @@ from .storage import hold, map_arrow, text_or_empty
 SPACE = "▁"
 #: Entries of a worker's memos: words in each of two generations, of which the
 #: older goes when the younger is full, and piece pairs, emptied when full.
-MEMO_WORDS = 200_000
-MEMO_PAIRS = 600_000
+MEMO_WORDS = 120_000
+MEMO_PAIRS = 400_000
 #: Longer words are not memoised.
 MEMO_CHARS = 48
 

@@ -7,9 +7,12 @@ lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +68,25 @@ def hold(key, make):
     return _held[key]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: reused workers would keep it beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it trims by itself or not at all
+
+
 def _owned(function, owner: str):
     def run(batches):
         # workers serve one operator after another; what they hold of the one before goes
         if _owner[0] != owner:
             _owner[0] = owner
             _held.clear()
+            _trim()
         yield from function(batches)
+        _trim()
 
     return run
 

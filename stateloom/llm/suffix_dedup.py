@@ -241,12 +241,16 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
     # what is neither unique nor settled is looked at again, with its bytes
     wanted = again.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "lo", "hi")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"})
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    held = map_arrow(texts.select(*_KEY, "body", "wanted"), _contexts(threshold), "doc_id long, mark long, at long, lo int, hi int, held binary")
+    contexts = _contexts(threshold)
+    held = texts.select(*_KEY, "body", "wanted")
     widest = max(1, threshold - 2 * core + 1)
     cut = "doc_id long, mark long, at long, slot int, lo int, hi int, left long, right long, whole binary, held binary"
     pair = ["slot", "left", "right"]
     for run in [widest, *(r for r in RUNS if r < widest)]:
-        scratch.keep(map_arrow(held, _pairs(run, threshold, core), cut), f"cut{run}")
+        ranked = _pairs(run, threshold, core)
+        # the first time from the texts, in one Python task
+        function = ranked if run < widest else lambda batches, ranked=ranked: ranked(contexts(batches))
+        scratch.keep(map_arrow(held, function, cut), f"cut{run}")
         rows = docs.sparkSession.read.schema(cut).parquet(scratch.path(f"cut{run}"))
         alive = scratch.keep(_shared(rows, pair, scratch, f"shared{run}"), f"ranked{run}")
         scratch.drop(f"cut{run}")
