@@ -448,14 +448,17 @@ def connected(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both, f"{label}-edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{label}-0")
+    # as many labels in each round as nodes; where they were counted to be few, joins with them need no shuffle
+    few = labels.count() <= min(BROADCAST_KEYS, BROADCAST_BYTES // 96)
+    sent = F.broadcast if few else lambda df: df
     turn = 0
     while True:
         turn += 1
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("around"))
-        step = scratch.keep(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("new")), f"{label}-near-{turn}")
+        near = both.join(sent(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("around"))
+        step = scratch.keep(near.join(sent(labels), "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("new")), f"{label}-near-{turn}")
         taken = scratch.keep(step.groupBy("old").agg(F.min("new").alias("taken")), f"{label}-taken-{turn}")
-        step = step.join(taken, "old").select("node", "old", F.col("taken").alias("new"))
-        step = step.join(taken.select(F.col("old").alias("new"), F.col("taken").alias("further")), "new", "left")
+        step = step.join(sent(taken), "old").select("node", "old", F.col("taken").alias("new"))
+        step = step.join(sent(taken.select(F.col("old").alias("new"), F.col("taken").alias("further"))), "new", "left")
         step = scratch.keep(step.select("node", "old", F.coalesce("further", "new").alias("comp")), f"{label}-{turn}")
         scratch.drop(f"{label}-{turn - 1}", f"{label}-near-{turn}", f"{label}-taken-{turn}")
         labels = step.select("node", "comp")
@@ -511,15 +514,17 @@ def _placed(members: DataFrame, weight: str, scratch: Scratch, label: str) -> Da
     members = scratch.keep(members.join(_bounded(sizes, 32), "family").select("family", band.alias("band"), "node", "doc", "n"), f"{label}-members")
     bands = scratch.keep(members.groupBy("family", "band").agg(blocks.alias("blocks")), f"{label}-bands")
     number = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda k: F.col("band").cast("long") * UNITS + k)
-    units = bands.select("family", "band", F.explode(number).alias("unit"))
-    near = units.withColumnRenamed("unit", "i").join(units.select("family", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("unit").alias("j")), ["family", "band"])
+    units = scratch.keep(bands.select("family", "band", F.explode(number).alias("unit")), f"{label}-units")
+    hint = F.broadcast if units.count() <= BROADCAST_BYTES // 64 else lambda df: df
+    near = units.withColumnRenamed("unit", "i").join(hint(units.select("family", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("unit").alias("j"))), ["family", "band"])
     near = scratch.keep(near.where("i <= j").select("family", "i", "j"), f"{label}-near")
     unit = F.col("band").cast("long") * UNITS + F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = members.join(_bounded(bands, 48), ["family", "band"]).select("family", unit.alias("unit"), "node", "doc")
-    first = placed.join(near.withColumnRenamed("i", "unit"), ["family", "unit"]).select("family", F.col("unit").alias("i"), "j", F.lit(0).alias("side"), "node", "doc")
-    second = placed.join(near.where("i < j").withColumnRenamed("j", "unit"), ["family", "unit"]).select("family", "i", F.col("unit").alias("j"), F.lit(1).alias("side"), "node", "doc")
+    few = F.broadcast if near.count() <= BROADCAST_BYTES // 64 else lambda df: df
+    first = placed.join(few(near.withColumnRenamed("i", "unit")), ["family", "unit"]).select("family", F.col("unit").alias("i"), "j", F.lit(0).alias("side"), "node", "doc")
+    second = placed.join(few(near.where("i < j").withColumnRenamed("j", "unit")), ["family", "unit"]).select("family", "i", F.col("unit").alias("j"), F.lit(1).alias("side"), "node", "doc")
     placed = scratch.keep(first.union(second), f"{label}-placed")
-    scratch.drop(*(f"{label}-{x}" for x in ("sizes", "members", "bands", "near")))
+    scratch.drop(*(f"{label}-{x}" for x in ("sizes", "members", "bands", "units", "near")))
     return placed
 
 
@@ -580,11 +585,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     degree = compared.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     labels = connected(compared.where("digest != reached").select(F.col("digest").alias("a"), F.col("reached").alias("b")), scratch, "component")
 
-    named = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    first = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = named.join(first, "comp").join(degree, "digest", "left").select(F.col("digest").alias("d"), "class_id", "component_id", "n_links")
-    named = scratch.keep(named, "named")
-    scratch.drop("compared", "classes")
+    # only the classes with links have components of several
+    linked = scratch.keep(labels.join(classes.select(F.col("digest").alias("node"), "class_id"), "node"), "linked")
+    first = scratch.keep(linked.groupBy("comp").agg(F.min("class_id").alias("component_id")), "first")
+    linked = linked.join(_bounded(first, 64), "comp").select(F.col("node").alias("l"), "component_id")
+    linked = scratch.keep(linked.join(degree, F.col("l") == F.col("digest")).select("l", "component_id", "n_links"), "degrees")
+    named = classes.join(_bounded(linked, 96), F.col("digest") == F.col("l"), "left")
+    named = scratch.keep(named.select(F.col("digest").alias("d"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_links"), "named")
+    scratch.drop("compared", "classes", "linked", "first", "degrees")
     out = described.select("doc_id", "n", "digest").join(named, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
