@@ -162,9 +162,10 @@ def _search(model_sent, top: int, rerank: int):
                 for j in range(len(books)):
                     scores += (part.astype(np.float32) @ books[j].T)[:, codes[:, j]]
                 n = min(rerank, len(ids))
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                # all that score as the last of the shortlist does belong to it
+                least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
                 for k in range(len(part)):
-                    near = best[k][ids[best[k]] != asked[start + k]]
+                    near = np.flatnonzero((scores[k] >= least[k]) & (ids != asked[start + k]))
                     exact = exact_scores(x[near], part[k])
                     first = np.lexsort((ids[near], -exact))[:top]
                     out.append((np.full(len(first), asked[start + k]), ids[near][first], exact[first]))

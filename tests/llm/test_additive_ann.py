@@ -57,3 +57,16 @@ def test_beam_search_never_does_worse_than_one_path():
     assert error(8) <= error(1) * 1.001
     codes, norms = model.encode(x)
     assert np.allclose(norms, (model.decode(codes) ** 2).sum(1), atol=1e-4)
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    same = rng.normal(size=8).tolist()
+    rows = [(i, same if i % 2 else rng.normal(size=8).tolist(), 0) for i in range(1, 2401)]
+    rows = [(i, [-x for x in same] if i % 20 == 0 and i != 20 else same if i == 20 else v, n) for i, v, n in rows]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rerank=64).where("query_id = 20").orderBy("rank").collect()
+    vectors = {i: np.array(v) for i, v, _ in rows}
+    score = lambda v: float(exact_scores(v[None, :], np.array(same))[0])
+    first = sorted((i for i in vectors if i != 20), key=lambda i: (-score(vectors[i]), i))[:20]
+    equal = [i for i in first if score(vectors[i]) == score(np.array(same))]
+    assert [r["vec_id"] for r in found if r["score"] == score(np.array(same))] == equal
