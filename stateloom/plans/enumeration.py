@@ -14,8 +14,8 @@ from ..sources.rounds import Manifest, RoundStore
 
 #: States that one partition of a round holds, about.
 STATES_PER_PARTITION = 2_000_000
-#: Children that a state has at most, about, after batches drop their repetitions.
-GROWTH = 4
+#: A smaller round is dealt to as many files as the cluster has cores, each of at least so many states, since the next expansion follows the files.
+LEAST_STATES = 50_000
 
 
 class VerificationError(RuntimeError):
@@ -63,7 +63,6 @@ class Enumerator:
         count = states.count() if known is None else known.count
         if count == 0:
             return RoundResult(source, None, 0, 0, 0, terminal=True)
-        tasks = max(1, -(-count * GROWTH // STATES_PER_PARTITION))
         children = expand(states, self.board).groupBy("state").agg(F.sum("moves").alias("moves"))
         staged = f"{source + 1}.staged"
         # distinct states are written once with their moves, then dealt in ranges; so the expansion runs once
@@ -71,7 +70,9 @@ class Enumerator:
         children.write.option("compression", "zstd").parquet(self.store.files.at(staged))
         made = self.spark.read.schema("state long, moves long").parquet(self.store.files.at(staged))
         unique, generated = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("moves"), F.lit(0))).first()
-        written = self.store.write(source + 1, made, min(tasks, max(1, -(-unique // STATES_PER_PARTITION))))
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = max(1, -(-unique // STATES_PER_PARTITION), min(cores, unique // LEAST_STATES))
+        written = self.store.write(source + 1, made, parts)
         manifest = sample_manifest(written, self.board.size)
         if manifest.count != unique:
             raise VerificationError(f"round {source + 1}: {unique} states made, {manifest.count} written")
