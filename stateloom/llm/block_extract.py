@@ -3,8 +3,9 @@
 A page is read as a flat sequence of text blocks.  Each block has a word count
 and a link density, and so have its neighbours; with what kind of element
 holds the block these are the features of a decision tree, which is trained
-here on the small labelled table below.  The blocks that it takes for article
-text are joined in page order.
+here on the small labelled table below.  Its first levels ask for word counts
+and link densities alone, the ones below them for the elements too.  The blocks
+that it takes for article text are joined in page order.
 
 Defined cases: a null or empty html gives the empty text; markup without
 article text gives the empty text; an element that only its attributes or a
@@ -12,12 +13,15 @@ form make boilerplate is none if it holds nearly all words of the page, few of
 them links, and no article text stands outside of it; class words after no-,
 has-, with- and the like say nothing of the element; character references are decoded; white
 space inside a block becomes one space; a block of any length is kept whole;
-unclosed and stray tags end blocks as closed ones do.
+unclosed and stray tags end blocks as closed ones do; elements whose end tag
+may be left out end where the next one or their parent does; of a header inside
+an article the headings stay; lists of links are menus, inside an article too.
 """
 
 from __future__ import annotations
 
 import html as html_module
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +34,19 @@ from pyspark.sql import functions as F
 from .storage import map_arrow
 
 # fixed values: element names of HTML by their role for text blocks
-SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER = frozenset("nav header footer aside menu dialog".split())
+BOILER = frozenset("nav header footer aside menu dialog head noscript template svg math object canvas select datalist option button".split())
+#: Elements that a head may hold; any other start tag ends it.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
+#: Elements whose end tags may be left out: the open ones that the next of them ends.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that can't hold an article: without an end tag they end where one starts.
+HELD_BY_NONE = frozenset("head noscript template svg math canvas select datalist option button p".split())
+#: Elements that bound the search for those of ENDS.
+BOUNDS = frozenset("ul ol menu dl table select datalist div section article main body header footer nav aside form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are boilerplate as those with BOILER_WORDS are, unless they hold the page's text.
 WEAK = frozenset("form fieldset".split())
 #: Share of the page's words, largest density of links, and words of article text outside that make a weak element hold it.
@@ -43,6 +56,8 @@ BOILER_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|foot|sidebar|side|aside|widget|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|disqus|replies|reply|reader|tags|pagination|pager|skip|toolbar|copyright|legal|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: Words of elements that hold an article's title if they stand inside the article.
+TITLE_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|article-?body|post-?content)(?:$|[\s_-])", re.I)
 
@@ -66,10 +81,10 @@ class Block:
         return min(1.0, self.link_words / self.words) if self.words else 0.0
 
 
-def _kind(name: str, attributes: str) -> str:
-    """'b' for an element that holds no article text, 'w' for one that seems so ('wa' if it may hold the article), 'a' for one that holds the article."""
+def _kind(name: str, attributes: str, inside: bool = False) -> str:
+    """'b' for an element that holds no article text, 'w' for one that seems so ('wa' if it may hold the article), 'a' for one that holds the article, 'h' for a header."""
     if name in BOILER:
-        return "b"
+        return "h" if name == "header" else "b"
     if name in WEAK:
         return "w"
     if attributes and "=" in attributes:
@@ -77,6 +92,8 @@ def _kind(name: str, attributes: str) -> str:
         if value and name not in ("html", "body"):
             value = _TOLD.sub(" ", value)
             if BOILER_WORDS.search(value):
+                if inside and TITLE_WORDS.search(value):
+                    return "h"
                 return "wa" if name in ARTICLE or ARTICLE_WORDS.search(value) else "w"
             if ARTICLE_WORDS.search(value):
                 return "a"
@@ -85,7 +102,7 @@ def _kind(name: str, attributes: str) -> str:
 
 @lru_cache(maxsize=64)
 def _closing(start: str) -> re.Pattern:
-    return re.compile(re.escape(start), re.I | re.A)
+    return re.compile(re.escape(start) + r"(?=[\s/>]|\Z)", re.I | re.A)
 
 
 def _release(found: list[Block], kinds: list[str]) -> None:
@@ -117,7 +134,7 @@ def blocks(page: str) -> list[Block]:
     kinds: list[str] = []
     held: list[str] = []
     links: list[str] = []
-    boiler = article = in_link = 0
+    boiler = article = titled = in_link = 0
     heading = in_list = False
 
     def flush() -> None:
@@ -126,17 +143,18 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html_module.unescape("".join(held))).strip(" ")
             if text:
                 linked = len(html_module.unescape(" ".join(links)).split())
-                out.append(Block(text, linked, boiler > 0, article > 0, heading, in_list))
+                out.append(Block(text, linked, boiler > 0 or titled > 0 and not heading, article > 0, heading, in_list))
                 out[-1].weak = tuple(weak)
             held.clear()
             links.clear()
 
     def close(upto: int) -> None:
-        nonlocal boiler, article
+        nonlocal boiler, article, titled
         while len(open_elements) > upto:
             _, kind = open_elements.pop()
             boiler -= kind == "b"
             article -= kind == "a"
+            titled -= kind == "h"
             if kind in ("w", "wa"):
                 weak.pop()
 
@@ -165,17 +183,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in INLINE:
             continue
-        if name in SKIPPED:
+        if name in RAW:
             flush()
             if not closing and not found[3].rstrip().endswith("/"):
+                # the content of these has no markup, and without an end tag no end
                 end = _closing("</" + name).search(page, at)
-                if not end:
-                    # an unclosed head ends where the body starts; other contents have no end
-                    end = _closing("<body").search(page, at) if name == "head" else None
-                    at = end.start() if end else n
-                else:
-                    stop = page.find(">", end.start())
-                    at = n if stop < 0 else stop + 1
+                stop = page.find(">", end.start()) if end else -1
+                at = stop + 1 if stop >= 0 else n
             continue
         flush()
         if name in VOID:
@@ -186,17 +200,34 @@ def blocks(page: str) -> list[Block]:
                     close(k)
                     break
         else:
-            kind = _kind(name, found[3])
-            # a paragraph or list item is closed by the next one
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th") and open_elements and open_elements[-1][0] == name:
+            if open_elements and open_elements[-1][0] == "head" and name not in IN_HEAD:
                 close(len(open_elements) - 1)
+            if open_elements and open_elements[-1][0] == "p":
+                close(len(open_elements) - 1)
+            for k in range(len(open_elements) - 1, -1, -1) if name in ENDS else ():
+                if open_elements[k][0] in BOUNDS:
+                    break
+                if open_elements[k][0] in ENDS[name]:
+                    close(k)
+                    break
+            if name in ARTICLE:
+                for k, (other, _) in enumerate(open_elements):
+                    if other in HELD_BY_NONE:
+                        close(k)
+                        break
+            kind = _kind(name, found[3], article > 0)
+            if kind == "h" and not article:
+                kind = "b"
+            if found[3].rstrip().endswith("/") and kind == "b":
+                continue
             open_elements.append((name, kind))
             boiler += kind == "b"
             article += kind == "a"
+            titled += kind == "h"
             if kind in ("w", "wa"):
                 weak.append(len(kinds))
                 kinds.append(kind)
-        heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = not closing and name in HEADINGS
         in_list = not closing and name == "li" or in_list and name not in ("ul", "ol", "p", "div")
     flush()
     if kinds:
@@ -204,47 +235,56 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "article", "page_has_article", "heading", "in_list")
+FLOW = ("words", "density", "words_before", "density_before", "words_after", "density_after")
+FEATURES = (*FLOW, "boiler", "article", "page_has_article", "heading", "in_list")
 
-#: The labelled table: features as named in FEATURES, then 1 for article text.
-#: Rows are typical blocks of news, blog and shop pages.
+#: Labelled blocks of pages that don't tell by elements what is text: the flow
+#: features, heading, in_list, then 1 for article text.
 LABELLED = (
-    # paragraphs and headings inside an article element
-    (60, 0.0, 45, 0.0, 80, 0.0, 0, 1, 1, 0, 0, 1), (120, 0.05, 60, 0.0, 30, 0.1, 0, 1, 1, 0, 0, 1), (8, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 1, 0, 1),
-    (3, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1), (14, 0.3, 33, 0.0, 52, 0.0, 0, 1, 1, 0, 1, 1),
-    (5, 1.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1), (25, 0.6, 50, 0.1, 40, 0.0, 0, 1, 1, 0, 0, 1), (2, 0.0, 0, 0.0, 9, 0.0, 0, 1, 1, 1, 0, 1),
-    (40, 0.0, 8, 0.0, 12, 0.0, 0, 1, 1, 0, 0, 1), (9, 0.0, 12, 0.0, 6, 0.0, 0, 1, 1, 0, 1, 1), (200, 0.0, 8, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
-    # blocks in menus, headers, footers, sidebars, notices, adverts, forms, comments
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0, 0),
-    (45, 0.0, 80, 0.0, 20, 0.0, 1, 0, 1, 0, 0, 0), (30, 0.1, 20, 0.0, 25, 0.0, 1, 0, 0, 0, 0, 0), (14, 0.2, 70, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
-    (60, 0.0, 55, 0.0, 48, 0.0, 1, 1, 1, 0, 0, 0), (20, 0.0, 60, 0.0, 25, 0.0, 1, 1, 1, 0, 0, 0), (3, 0.0, 40, 0.0, 10, 0.0, 1, 1, 1, 1, 0, 0),
-    (150, 0.0, 60, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0), (6, 1.0, 50, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0), (80, 0.0, 7, 0.0, 5, 0.0, 1, 0, 1, 0, 0, 0),
-    # blocks outside of any article element of a page that has one
-    (12, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0, 0, 0), (40, 0.1, 60, 0.0, 3, 0.5, 0, 0, 1, 0, 0, 0), (5, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
-    (100, 0.0, 50, 0.0, 20, 0.0, 0, 0, 1, 0, 0, 0), (7, 0.0, 9, 0.0, 9, 0.0, 0, 0, 1, 1, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1, 0),
-    # pages without article element: long blocks of few links, and short ones among them, are text
-    (60, 0.0, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.1, 3, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (20, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 0, 1), (9, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 1), (14, 0.0, 20, 0.0, 24, 0.0, 0, 0, 0, 0, 0, 1),
-    (16, 0.2, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1), (22, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 1), (4, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1, 0, 1),
-    (50, 0.0, 40, 0.0, 5, 0.0, 0, 0, 0, 0, 0, 1), (80, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.05, 6, 0.0, 10, 0.5, 0, 0, 0, 0, 0, 1),
-    (45, 0.0, 0, 0.0, 8, 0.0, 0, 0, 0, 0, 0, 1), (28, 0.1, 9, 0.2, 3, 1.0, 0, 0, 0, 0, 0, 1), (120, 0.2, 20, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 1),
-    (60, 0.9, 10, 0.5, 8, 1.0, 0, 0, 0, 0, 0, 0), (40, 0.8, 5, 1.0, 30, 0.9, 0, 0, 0, 0, 0, 0), (25, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0),
-    (18, 0.7, 12, 0.0, 40, 0.0, 0, 0, 0, 0, 1, 0), (90, 0.75, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (70, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1, 0), (3, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 0), (12, 0.8, 8, 1.0, 9, 1.0, 0, 0, 0, 0, 0, 0),
-    (30, 0.7, 5, 0.9, 6, 1.0, 0, 0, 0, 0, 0, 0), (2, 0.0, 2, 0.8, 1, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.9, 0, 0, 0, 0, 0, 0),
-    (3, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (5, 0.5, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (6, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 0),
-    (2, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0), (7, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
+    (60, 0.0, 45, 0.0, 80, 0.0, 0, 0, 1), (35, 0.1, 3, 1.0, 40, 0.0, 0, 0, 1), (20, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1), (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1),
+    (9, 0.0, 2, 1.0, 50, 0.0, 1, 0, 1), (14, 0.0, 20, 0.0, 24, 0.0, 0, 0, 1), (16, 0.2, 60, 0.0, 60, 0.0, 0, 0, 1), (22, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1),
+    (4, 0.0, 25, 0.0, 30, 0.0, 1, 0, 1), (50, 0.0, 40, 0.0, 5, 0.0, 0, 0, 1), (80, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (35, 0.05, 6, 0.0, 10, 0.5, 0, 0, 1),
+    (45, 0.0, 0, 0.0, 8, 0.0, 0, 0, 1), (28, 0.1, 9, 0.2, 3, 1.0, 0, 0, 1), (120, 0.2, 20, 0.0, 12, 0.0, 0, 0, 1), (60, 0.9, 10, 0.5, 8, 1.0, 0, 0, 0),
+    (40, 0.8, 5, 1.0, 30, 0.9, 0, 0, 0), (25, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0), (18, 0.7, 12, 0.0, 40, 0.0, 0, 1, 0), (90, 0.75, 3, 1.0, 3, 1.0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (3, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0), (12, 0.8, 8, 1.0, 9, 1.0, 0, 0, 0), (30, 0.7, 5, 0.9, 6, 1.0, 0, 0, 0),
+    (2, 0.0, 2, 0.8, 1, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.9, 0, 0, 0), (3, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (5, 0.5, 60, 0.0, 3, 1.0, 0, 0, 0),
+    (6, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0), (2, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0), (7, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
+    # long blocks among link lists
+    (300, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (150, 0.1, 30, 0.9, 3, 1.0, 0, 0, 1),
 )
 
+#: What the elements around a block say of it: boiler, article, page_has_article,
+#: then 1 for article text, 0 for none, None if the block's flow decides.
+ELEMENTS = ((1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 1, 0), (0, 1, 1, 1), (0, 0, 1, 0), (0, 0, 0, None))
+
+
+def labelled_rows() -> np.ndarray:
+    """Each labelled block in each surrounding; a list of links inside an article is a menu all the same."""
+    out = []
+    # blocks of links, alone, in lists and beside others, tell of no article by themselves
+    linked = itertools.product((1, 6, 60), (0.5, 1.0), (0, 6, 90), (0.0, 1.0), (0, 6, 90), (0.0, 1.0), (0,), (0, 1), (0,))
+    for *flow, heading, in_list, text in (*LABELLED, *linked):
+        menu = in_list and flow[1] >= 0.9 and max(flow[3], flow[5]) >= 0.9
+        for *elements, says in ELEMENTS:
+            out.append((*flow, *elements, heading, in_list, text if says is None else says and not menu))
+    return np.array(out, dtype=float)
+
+
+#: Levels of the tree that ask for word counts and link densities only.
+LEADING = 2
+
+
+def fit_tree(rows: np.ndarray, depth: int = 12, least: int = 1, leading: int = 0):
+    """A binary decision tree by Gini impurity: (feature, threshold, low, high) or the label of a leaf.
 
-def fit_tree(rows: np.ndarray, depth: int = 7, least: int = 1):
-    """A binary decision tree by Gini impurity: (feature, threshold, low, high) or the label of a leaf."""
+    Its first ``leading`` levels split by the features of FLOW.
+    """
     x, y = rows[:, :-1], rows[:, -1]
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0) or len(y) <= least:
         return int(share >= 0.5)
     best = None
-    for f in range(x.shape[1]):
+    for f in range(len(FLOW) if leading > 0 else x.shape[1]):
         values = np.unique(x[:, f])
         for low, high in zip(values[:-1], values[1:], strict=True):
             mask = x[:, f] <= low
@@ -256,12 +296,12 @@ def fit_tree(rows: np.ndarray, depth: int = 7, least: int = 1):
         return int(share >= 0.5)
     _, f, threshold = best
     mask = x[:, f] <= threshold
-    return f, threshold, fit_tree(rows[mask], depth - 1, least), fit_tree(rows[~mask], depth - 1, least)
+    return f, threshold, fit_tree(rows[mask], depth - 1, least, leading - 1), fit_tree(rows[~mask], depth - 1, least, leading - 1)
 
 
 @lru_cache(maxsize=1)
 def default_tree():
-    return fit_tree(np.array(LABELLED, dtype=float))
+    return fit_tree(labelled_rows(), leading=LEADING)
 
 
 def classify(tree, row: tuple) -> int:

@@ -1,10 +1,11 @@
 import html
+import itertools
 import os
 import re
 
 import pytest
 
-from stateloom.llm.block_extract import blocks, extract_main_text, main_text
+from stateloom.llm.block_extract import ELEMENTS, FEATURES, FLOW, LEADING, blocks, classify, default_tree, extract_main_text, main_text
 
 LONG = "The quick brown fox jumps over the lazy dog and then it runs away through the wide green fields until the night falls."
 
@@ -77,3 +78,40 @@ def test_comments_longer_than_the_article():
 def test_letters_that_grow_in_lower_case():
     dots = "\u0130" * 40
     assert main_text(f"<article><p>{dots} {LONG}</p><SCRIPT>x = '<p>'</Script><p>{LONG}</p></article>") == f"{dots} {LONG} {LONG}"
+
+
+def test_tree_asks_for_words_and_links_first():
+    level = [default_tree()]
+    for _ in range(LEADING):
+        assert all(FEATURES[t[0]] in FLOW for t in level)
+        level = [t for node in level for t in node[2:] if not isinstance(t, int)]
+    assert level
+
+
+def test_tree_keeps_to_elements_at_all_word_counts():
+    """Labels of any block inside of boilerplate or an article, and beside an article."""
+    counts, shares = (0, 1, 3, 8, 40, 900, 60_000), (0.0, 0.3, 0.8, 1.0)
+    for words, density, before, after, (db, da), (heading, in_list) in itertools.product(counts[1:], shares, counts, counts, ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)), ((0, 0), (1, 0), (0, 1))):
+        menu = in_list and density >= 0.9 and max(db, da) >= 0.9
+        for *elements, says in ELEMENTS:
+            if says is not None and not menu:
+                assert classify(default_tree(), (words, density, before, db, after, da, *elements, heading, in_list)) == says
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<head><title>x</title><body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header><p>{LONG}</p></article>", f"Title {LONG}"),
+        (f"<article><div class='entry-header'><h1>Title</h1><span>By me</span></div><p>{LONG}</article>", f"Title {LONG}"),
+        (f"<datalist><option>a<option>b</datalist><article><p>{LONG}</p></article>", LONG),
+        (f"<head><meta charset=a><header>Site</header><article><p>{LONG}</p></article>", LONG),
+        (f"<article class='post has-sidebar'><p>{LONG}</article>", LONG),
+        (f"<main class='content no-comments'><p>{LONG}</main>", LONG),
+        (f"<article><ul><li class=share>Share<li>Item text</ul><p class=ad>Buy this<p>{LONG}</article>", f"Item text {LONG}"),
+        (f"<article><p>{LONG}</p><p><a href=a>Alone</a></p><p>{LONG}</p><ul><li><a href=a>One two</a><li><a href=b>Three</a></ul></article>", f"{LONG} Alone {LONG}"),
+        (f"<svg><text>aa</text></svg><button>Go<article><p>{LONG}</p></article>", LONG),
+        (f"<nav/><article><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_optional_end_tags_and_titles(page, text):
+    assert main_text(page) == text
