@@ -42,12 +42,28 @@ def children(states: DataFrame, board: Board) -> DataFrame:
     return joined.select("state", F.least(*(F.col(f"t{t}").bitwiseXOR(F.col(f"m{t}")) for t in range(8))).alias("child"))
 
 
+def check_board(board: Board) -> None:
+    """Jumps must be two neighbours on the board and a third hole, and the symmetries must map holes and jumps to each other."""
+    jumps = {(occupied, target) for occupied, target, _ in board.jumps}
+    for occupied, target, changed in board.jumps:
+        if occupied.bit_count() != 2 or target.bit_count() != 1 or occupied & target or (occupied | target) & ~board.full:
+            raise ValueError(f"no jump: {occupied:#x} to {target:#x}")
+        if changed != occupied | target:
+            raise ValueError(f"a jump of {occupied:#x} to {target:#x} can't change {changed:#x}")
+    for t in range(8):
+        if sorted(board.transform(1 << k, t) for k in range(board.size)) != [1 << k for k in range(board.size)]:
+            raise ValueError(f"symmetry {t} isn't a permutation of the holes")
+        if {(board.transform(o, t), board.transform(e, t)) for o, e in jumps} != jumps:
+            raise ValueError(f"symmetry {t} doesn't keep the jumps")
+
+
 class Kernel:
     """Tables for numpy: images of each byte of a state under each symmetry, and the jumps' masks."""
 
     def __init__(self, board: Board):
         if board.size > 63:
             raise ValueError("a state has at most 63 holes")
+        check_board(board)
         self.full = np.int64(board.full)
         n_bytes = -(-board.size // 8)
         self.tables = np.zeros((8, n_bytes, 256), np.int64)

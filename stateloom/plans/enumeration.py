@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..boards import Board
 from ..operators import keys as key_ops
 from ..operators.kernel import expand
-from ..sources.rounds import Manifest, RoundStore
+from ..sources.rounds import SAMPLE, Manifest, RoundStore, numbered, order_faults
 
 #: States that one partition of a round holds, about.
 STATES_PER_PARTITION = 2_000_000
@@ -29,14 +29,19 @@ class RoundResult:
     processed: int
     generated: int
     unique: int
+    #: States that went into the distinct, after repetitions in a batch were dropped, and tasks that made them.
+    submitted: int = 0
+    tasks: int = 0
     initialized: bool = False
     terminal: bool = False
 
 
 def sample_manifest(states: DataFrame, bits: int) -> Manifest:
-    """Count and ordinal sample of a round."""
-    rows = key_ops.ordinal_sample(states.select(F.col("state").alias("key")), most=key_ops.SAMPLE).orderBy("key").collect()  # at most SAMPLE rows
-    return Manifest(bits, sum(r["weight"] for r in rows), [r["key"] for r in rows], [r["weight"] for r in rows])
+    """Count and ordinal sample of a round's sorted files; no state is moved."""
+    n = states.count()
+    stride = key_ops.ordinal_stride(n, SAMPLE)
+    picked = sorted((r["ordinal"], r["state"]) for r in numbered(states).where(F.col("ordinal") % stride == 0).collect())  # at most SAMPLE rows
+    return Manifest(bits, n, [state for _, state in picked], [min(stride, n - place) for place, _ in picked])
 
 
 class Enumerator:
@@ -63,7 +68,9 @@ class Enumerator:
         count = states.count() if known is None else known.count
         if count == 0:
             return RoundResult(source, None, 0, 0, 0, terminal=True)
-        children = expand(states, self.board).groupBy("state").agg(F.sum("moves").alias("moves"))
+        seen = Observation(f"round {source + 1}")
+        expanded = expand(states, self.board).observe(seen, F.count(F.lit(1)).alias("submitted"))
+        children = expanded.groupBy("state").agg(F.sum("moves").alias("moves"))
         staged = f"{source + 1}.staged"
         # distinct states are written once with their moves, then dealt in ranges; so the expansion runs once
         self.store.files.delete(staged)
@@ -73,18 +80,29 @@ class Enumerator:
         cores = self.spark.sparkContext.defaultParallelism
         parts = max(1, -(-unique // STATES_PER_PARTITION), min(cores, unique // LEAST_STATES))
         written = self.store.write(source + 1, made, parts)
+        # of a round without states nothing is observed
+        submitted = seen.get["submitted"] if unique else 0
         manifest = sample_manifest(written, self.board.size)
         if manifest.count != unique:
             raise VerificationError(f"round {source + 1}: {unique} states made, {manifest.count} written")
         if self.verify:
-            check_round(written, manifest)
+            check_files(written, manifest)
         self.store.publish(source + 1, manifest)
         self.store.files.delete(staged)
-        return RoundResult(source, source + 1, count, int(generated), unique)
+        return RoundResult(source, source + 1, count, int(generated), unique, submitted, states.rdd.getNumPartitions())
+
+
+def check_files(states: DataFrame, manifest: Manifest) -> None:
+    """A whole scan of a round's files in order must give ascending distinct keys, as many as the manifest says."""
+    n, faults = order_faults(states)
+    if n != manifest.count:
+        raise VerificationError(f"{n} states, the manifest has {manifest.count}")
+    if faults:
+        raise VerificationError(f"{faults} states aren't above the ones before them")
 
 
 def check_round(states: DataFrame, manifest: Manifest) -> None:
-    """A whole scan in key order must give ascending distinct keys, as many as the manifest says."""
+    """States in any order must be distinct and as many as the manifest says."""
     keys = states.select(F.col("state").alias("key"))
     n = keys.count()
     if n != manifest.count:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,8 +21,10 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
+        self.gateway = spark.sparkContext._gateway
         self.root = root.rstrip("/")
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(path)
@@ -45,12 +48,17 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(self.at(name)), True)
 
-    def rename(self, old: str, new: str) -> None:
-        """Rename, refusing to replace."""
-        if self.exists(new):
-            raise FileExistsError(self.at(new))
-        if not self.fs.rename(self._path(self.at(old)), self._path(self.at(new))):
-            raise OSError(f"{self.at(old)} wasn't renamed to {new}")
+    def rename(self, old: str, new: str, replace: bool = False) -> None:
+        """Rename in one step of the file system; what has the new name already is an error, or replaced if asked."""
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if replace else kind.NONE
+        try:
+            self.context.rename(self._path(self.at(old)), self._path(self.at(new)), options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                raise FileExistsError(self.at(new)) from e
+            raise OSError(f"{self.at(old)} wasn't renamed to {new}") from e
 
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self._path(self.at(name)))
@@ -60,13 +68,16 @@ class Files:
             stream.close()
 
     def write(self, name: str, data: bytes) -> None:
-        """Write to another name first and rename, so that a reader sees all or nothing."""
-        temporary = f".{name}.tmp"
-        stream = self.fs.create(self._path(self.at(temporary)), True)
+        """Write to another name first and replace by rename, so that a reader sees the old bytes or the new ones."""
+        temporary = f".{name}.{uuid.uuid4().hex}.tmp"
         try:
-            stream.write(bytearray(data))
-        finally:
-            stream.close()
-        if self.exists(name):
-            self.delete(name)
-        self.rename(temporary, name)
+            stream = self.fs.create(self._path(self.at(temporary)), False)
+            try:
+                stream.write(bytearray(data))
+                stream.hsync()
+            finally:
+                stream.close()
+            self.rename(temporary, name, replace=True)
+        except BaseException:
+            self.delete(temporary)
+            raise

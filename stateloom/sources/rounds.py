@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import Files
@@ -64,6 +64,60 @@ class Manifest:
         return found.check()
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """(state, ordinal) of a folder of files that RoundStore.write made: places in key order, from the files' order and row counts alone."""
+    rows = files.select("state", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    # a row for each file
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(_part("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(offsets), F.col("file") == F.col("f")).select("state", (F.col("place") + F.col("before")).alias("ordinal"))
+
+
+def _part(file: str):
+    return F.regexp_extract(file, r"part-([0-9]+)", 1).cast("long")
+
+
+def order_faults(files: DataFrame) -> tuple[int, int]:
+    """(rows, neighbours that don't increase) of a round's files, read in order without moving a state.
+
+    Each stretch of a file that a task reads gives its ends and its faults; the
+    stretches, about one for each task, are then compared in order.
+    """
+
+    def run(batches):
+        held = None  # file, first place, first state, last state, rows, faults
+        for batch in batches:
+            names, places = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            states = batch.column(0).to_numpy()
+            for start, stop in _runs(names, places):
+                faults = int((np.diff(states[start:stop]) <= 0).sum())
+                if held and held[0] == names[start] and held[1] + held[4] == places[start]:
+                    faults += int(states[start] <= held[3])
+                    held = (*held[:3], int(states[stop - 1]), held[4] + stop - start, held[5] + faults)
+                    continue
+                if held:
+                    yield pa.RecordBatch.from_pylist([dict(zip(_STRETCH.names, held, strict=True))], _STRETCH)
+                held = names[start], int(places[start]), int(states[start]), int(states[stop - 1]), stop - start, faults
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(_STRETCH.names, held, strict=True))], _STRETCH)
+
+    rows = files.select("state", "_metadata.file_name", "_metadata.row_index")
+    stretches = rows.mapInArrow(run, "file string, place long, first long, last long, n long, faults long")
+    last = F.lag("last").over(Window.orderBy(_part("file"), "file", "place"))
+    found = stretches.withColumn("before", last).agg(F.sum("n"), F.sum(F.col("faults") + F.coalesce((F.col("first") <= F.col("before")).cast("long"), F.lit(0)))).first()
+    return found[0] or 0, found[1] or 0
+
+
+_STRETCH = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("place", "first", "last", "n", "faults"))])
+
+
+def _runs(names: list[str], places: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of neighbouring rows of one file."""
+    cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or places[i] != places[i - 1] + 1), len(names)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
 class RoundStore:
     """A folder of rounds: N holds a finished one, N.in-progress one that is being written, N.manifest what is known of it."""
 
@@ -103,8 +157,11 @@ class RoundStore:
         return self.files.size(str(number))
 
 
-def read_key_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, key) of files of big-endian 64-bit keys, each file ascending without repetitions."""
+def read_key_files(spark: SparkSession, path: str, bits: int | None = None, pegs: int | None = None) -> DataFrame:
+    """(file, key) of files of big-endian 64-bit keys, each file ascending without repetitions.
+
+    bits, pegs: the width that keys must keep to and the number of bits that each must have set.
+    """
 
     def run(batches):
         for batch in batches:
@@ -115,6 +172,10 @@ def read_key_files(spark: SparkSession, path: str) -> DataFrame:
                 keys = np.frombuffer(data, ">i8").astype(np.int64)
                 if (np.diff(keys) <= 0).any():
                     raise ValueError(f"{name}: keys don't increase")
+                if bits is not None and len(keys) and (keys[0] < 0 or int(keys[-1]) >> bits):
+                    raise ValueError(f"{name}: a key has more than {bits} bits")
+                if pegs is not None and (np.bitwise_count(keys.view(np.uint64)) != pegs).any():
+                    raise ValueError(f"{name}: a key doesn't have {pegs} bits set")
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys)], names=["file", "key"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, key long")

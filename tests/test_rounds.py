@@ -5,8 +5,8 @@ import pytest
 
 from stateloom.boards import BOARDS
 from stateloom.cli import UsageError, parse, run, stats_table
-from stateloom.plans.enumeration import Enumerator, VerificationError, check_round, round_counts
-from stateloom.sources.rounds import Manifest, ManifestError, RoundStore, file_sizes, read_key_files
+from stateloom.plans.enumeration import Enumerator, VerificationError, check_files, check_round, round_counts, sample_manifest
+from stateloom.sources.rounds import Manifest, ManifestError, RoundStore, file_sizes, numbered, order_faults, read_key_files
 
 
 def states_of(store, n):
@@ -106,3 +106,51 @@ def test_wrong_arguments(arguments):
 
 def test_stats_table():
     assert stats_table([(1, 1), (2, 1234)]).splitlines()[-1] == "%-18s %20s" % ("Total", "1,235")
+
+
+def test_files_in_order(spark, tmp_path):
+    store = RoundStore(spark, f"file://{tmp_path}/order")
+    keys = spark.range(0, 60_000, 3).selectExpr("id as state").repartition(5)
+    written = store.write(1, keys, 7)
+    assert order_faults(written) == (20_000, 0)
+    assert [r["ordinal"] for r in numbered(written).orderBy("state").collect()] == list(range(20_000))
+    m = sample_manifest(written, 33)
+    assert (m.count, m.keys[:3], m.weights[:2], len(m.keys)) == (20_000, [0, 24, 48], [8, 8], 2500) and m.check()
+    check_files(written, m)
+    with pytest.raises(VerificationError, match="manifest"):
+        check_files(written, Manifest(33, 1, [1], [1]))
+    keys.coalesce(1).sortWithinPartitions("state").unionByName(spark.createDataFrame([(6,), (6,)], "state long").coalesce(1)).write.parquet(f"file://{tmp_path}/wrong")
+    wrong = spark.read.schema("state long").parquet(f"file://{tmp_path}/wrong")
+    assert order_faults(wrong) == (20_002, 2)
+    with pytest.raises(VerificationError, match="above"):
+        check_files(wrong, Manifest(33, 20_002, [0], [20_002]))
+    assert order_faults(store.write(2, keys.where("state < 0"), 2)) == (0, 0)
+
+
+def test_submitted_states_and_tasks(spark, tmp_path):
+    e = Enumerator(spark, BOARDS["cross33"], f"file://{tmp_path}/counted")
+    results = [e.run_one_round() for _ in range(6)]
+    assert all(r.unique <= r.submitted <= r.generated and r.tasks >= 1 for r in results[1:])
+
+
+def test_files_are_replaced_at_once(spark, tmp_path):
+    files = RoundStore(spark, f"file://{tmp_path}/files").files
+    files.make_root()
+    files.write("a", b"one")
+    files.write("a", b"two")
+    files.write("b", b"three")
+    assert files.read("a") == b"two"
+    with pytest.raises(FileExistsError):
+        files.rename("a", "b")
+    with pytest.raises(OSError):
+        files.rename("none", "c")
+    assert sorted(n for n, _, _ in files.names() if n.endswith(".tmp")) == []
+
+
+def test_key_files_keep_to_width_and_pegs(spark, tmp_path):
+    (tmp_path / "k.longs").write_bytes(b"".join(k.to_bytes(8, "big") for k in (3, 5, 1 << 33 | 1)))
+    path = f"file://{tmp_path}/k.longs"
+    assert read_key_files(spark, path, bits=34, pegs=2).count() == 3
+    for wrong, message in (({"bits": 33}, "33 bits"), ({"pegs": 3}, "3 bits set")):
+        with pytest.raises(Exception, match=message):
+            read_key_files(spark, path, **wrong).collect()
