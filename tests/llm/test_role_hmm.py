@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from stateloom.llm import role_hmm
-from stateloom.llm.role_hmm import STATES, as_transcripts, borders, fit, fit_on, format_chats, marker_of, parse_transcripts, path, segment_table, symbols_of, viterbi
+from stateloom.llm.role_hmm import STATES, as_transcripts, borders, fit, fit_on, format_chats, fit_halves, marker_of, parse_transcripts, path, segment_table, symbols_of, viterbi
 
 SCHEMA = "conv_id long, turn long, role string, text string, segment string"
 
@@ -88,3 +88,34 @@ def test_raw_transcripts(spark):
     out = parse_transcripts(df, model, lines_per_segment=4).orderBy("conv_id", "turn_no").collect()
     assert [(r["role"], r["text"]) for r in out if r["conv_id"] == 1] == [("system", "be nice"), ("user", "what is it?\nmore words here"), ("assistant", "a thing"), ("user", "thanks")]
     assert [r["text"] for r in out if r["conv_id"] == 3] == [f"t{k}" for k in range(50)]
+
+
+def test_each_half_is_decoded_with_the_other(spark):
+    """All rows against conversations decoded one by one, in plain Python, with what the other half holds."""
+    rows = talks(120, 9) + [(c, t, role, text, None) for c in range(500, 506) for t, role, text in ((0, "user", "a b c?"), (1, "tool", "x: 1"), (2, None, "none at all"), (3, "assistant", None))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = as_transcripts(df)
+    halves = {r["conv_id"]: r["half"] for r in made.select("conv_id", role_hmm._half().alias("half")).collect()}
+    talks_of = made.collect()
+    assert {r["segment"] for r in talks_of} == {0} and set(halves.values()) == {0, 1}
+    of = lambda half: fit([[(t["role"], t["shown"].split("\n")) for t in r["labels"]] for r in talks_of if halves[r["conv_id"]] == half])
+    plain = [of(0), of(1)]
+    for a, b in zip(plain, fit_halves(made), strict=True):
+        assert np.allclose(a.emit, b.emit) and np.allclose(a.move, b.move) and np.allclose(a.first, b.first)
+    expected = []
+    for r in talks_of:
+        lines = r["text"].split("\n")
+        turns = []
+        for line, state in zip(lines, viterbi(plain[1 - halves[r["conv_id"]]], symbols_of(lines, r["after_blank"])), strict=True):
+            if state % 2 == 0 or not turns:
+                turns.append((role_hmm.ROLES[state // 2], []))
+            turns[-1][1].append(line[marker_of(line)[1] :] if state % 2 == 0 else line)
+        expected += [(r["conv_id"], k, role, "\n".join(held).strip(" \n\r\t"), len(held)) for k, (role, held) in enumerate(turns)]
+    found = [(r["conv_id"], r["turn_no"], r["role"], r["text"], r["n_lines"]) for r in format_chats(df).collect()]
+    assert sorted(found) == sorted(expected)
+
+
+def test_other_roles_have_no_marker(spark):
+    rows = [(1, 0, "user", "hello", None), (1, 1, "tool", "result", None), (1, 2, None, "nothing", None)]
+    (r,) = as_transcripts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {"result", "nothing"} <= set(r["text"].split("\n"))
