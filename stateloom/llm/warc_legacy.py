@@ -15,6 +15,14 @@ Defined cases: a null html is the empty payload; a null url is
 ``about:blank``; a null page_id stays null; white space in an url is
 percent-encoded; repeated rows keep a record each, of the same type; an empty
 table gives no archive and an empty result; further columns are ignored.
+Pages have no date of their own, so their records have NO_DATE; converted ARC
+files keep each record's date and address.
+
+Archives of other writers are read too: field names in any case, continued
+lines, records without a payload digest (it is computed) or with one of
+another form (it isn't compared); records without a payload of their own, such
+as warcinfo and request, are passed over; lengths that are missing or no
+numbers are an ArchiveError.
 """
 
 from __future__ import annotations
@@ -83,6 +91,12 @@ def _header_text(line: bytes) -> str:
         return line.decode("latin-1")
 
 
+def _length(text: str | None, at: int) -> int:
+    if text is None or not re.fullmatch(r"[0-9]+", text.strip()):
+        raise ArchiveError(f"no length at byte {at}: {text!r}")
+    return int(text)
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC file after its ``filedesc`` record."""
     version, at = None, 0
@@ -98,7 +112,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         names = FIELDS[version] if version else None
         if names is not None and len(words) != len(names):
             raise ArchiveError(f"{len(words)} fields at byte {at}; version {version} has {len(names)}")
-        length = int(words[-1])
+        length = _length(words[-1], at)
         block = data[end + 1 : end + 1 + length]
         if len(block) != length:
             raise ArchiveError(f"{length} bytes declared at byte {at}, {len(block)} present")
@@ -106,12 +120,15 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if version is None:
             if not words[0].startswith("filedesc://"):
                 raise ArchiveError("an archive starts with a filedesc record")
-            version = int(block.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ArchiveError(f"version {version}")
+            first = block.split(b" ", 1)[0]
+            if first not in (b"1", b"2"):
+                raise ArchiveError(f"version {first[:20]!r}")
+            version = int(first)
             continue
         field = dict(zip(names, words, strict=True))
-        yield ArcRecord(field["url"], field["ip"], field["date"], field["mime"], int(field.get("status", "200")), block)
+        # a result code that is none, as "-", is no HTTP status
+        status = field.get("status", "200")
+        yield ArcRecord(field["url"], field["ip"], field["date"], field["mime"], int(status) if status.isdigit() else 0, block)
 
 
 def base32_sha1(data: bytes) -> str:
@@ -162,6 +179,33 @@ def to_warc(record: ArcRecord, key: str, refers_to: tuple[str, str] | None = Non
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
 
 
+#: Field names as this writer spells them, by their lower case.
+_NAMES = {
+    n.lower(): n
+    for n in (
+        "WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-IP-Address", "WARC-Payload-Digest", "WARC-Block-Digest",
+        "Content-Type", "WARC-Profile", "WARC-Refers-To", "X-Refers-To-Key", "X-Payload-Length", "X-Source-Key", "Content-Length",
+    )
+}
+#: Records that stand for a resource.
+PAYLOAD_TYPES = ("response", "resource", "revisit")
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        left, found, right = line.partition(":")
+        if not found:
+            raise ArchiveError(f"no field: {line[:80]!r}")
+        name = _NAMES.get(left.strip().lower(), left.strip())
+        out[name] = right.strip()
+    return out
+
+
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of a WARC file, by declared lengths."""
     at = 0
@@ -170,11 +214,11 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
             continue
         end = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(end, at)].decode("utf-8").split("\r\n")
+        lines = _header_text(data[at : max(end, at)]).split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
             raise ArchiveError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(fields["Content-Length"])
+        fields = _fields(lines[1:])
+        length = _length(fields.get("Content-Length"), at)
         block = data[end + 4 : end + 4 + length]
         if len(block) != length:
             raise ArchiveError(f"{length} bytes declared at byte {at}, {len(block)} present")
@@ -217,16 +261,25 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = content.as_py()
             data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             for fields, block in read_warc(data):
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                kind = fields.get("WARC-Type")
+                if kind not in PAYLOAD_TYPES:
+                    continue
                 _, payload = _split_http(block)
-                # archived HTTP headers may lack the payload's length or state another
-                length = int(fields["X-Payload-Length"]) if fields["WARC-Type"] == "revisit" else len(payload)
-                if fields["WARC-Type"] != "revisit" and base32_sha1(payload) != digest:
-                    raise ArchiveError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-                rows["key"].append(fields["X-Source-Key"])
+                stated = fields.get("WARC-Payload-Digest", "")
+                digest = stated[5:].upper() if stated[:5].lower() == "sha1:" else None
+                if kind == "revisit":
+                    # its payload is elsewhere; of other writers' revisits the length isn't known
+                    length = int(fields["X-Payload-Length"]) if fields.get("X-Payload-Length", "").isdigit() else None
+                else:
+                    # archived HTTP headers may lack the payload's length or state another
+                    length, made = len(payload), base32_sha1(payload)
+                    if digest is not None and len(digest) == len(made) and digest != made:
+                        raise ArchiveError(f"payload of {fields.get('WARC-Record-ID')} differs from its digest")
+                    digest = made
+                rows["key"].append(fields.get("X-Source-Key"))
                 rows["payload_bytes"].append(length)
                 rows["payload_digest"].append(digest)
-                rows["record_type"].append(fields["WARC-Type"])
+                rows["record_type"].append(kind)
                 rows["first"].append(fields.get("X-Refers-To-Key"))
             yield pa.RecordBatch.from_arrays([pa.array(rows["key"], pa.string()), pa.array(rows["payload_bytes"], pa.int64()), *(pa.array(rows[c], pa.string()) for c in ("payload_digest", "record_type", "first"))], names=list(rows))
 

@@ -87,3 +87,36 @@ def test_converted_bytes_and_revisits(spark, tmp_path):
     assert found["http://b/1"][0]["WARC-Refers-To"] == found["http://a/1"][0]["WARC-Record-ID"]
     rows = sorted((r["payload_bytes"], r["record_type"]) for r in read_warc_files(spark, f"file://{tmp_path}/out").collect())
     assert rows == sorted([(len(image), "response"), (len(image), "revisit"), (len(latin), "response"), (len(latin), "resource"), (0, "response")])
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, block, *more, length=True):
+        lines = ["WARC/1.0", f"warc-type: {kind}", *more, *([f"CONTENT-LENGTH:{len(block)}"] if length else [])]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    image = bytes(range(256))
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "part-0.warc").write_bytes(
+        record("warcinfo", b"software: x\r\n")
+        + record("request", b"GET / HTTP/1.1\r\n\r\n")
+        + record("response", b"HTTP/1.1 200 OK\r\n\r\n" + image, "X-Note: one", " and more")
+        + record("resource", image, "WARC-Payload-Digest: md5:abc")
+        + record("resource", b"", "WARC-Target-URI: http://\xe9/".encode("latin-1").decode("latin-1"))
+        + record("revisit", b"", f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(image).digest()).decode().lower()}")
+    )
+    found = sorted(((r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in read_warc_files(spark, f"file://{tmp_path}/o").collect()), key=str)
+    name = base64.b32encode(hashlib.sha1(image).digest()).decode()
+    assert found == sorted([("resource", 0, digest("")), ("resource", 256, name), ("response", 256, name), ("revisit", None, name)], key=str)
+    for wrong in (record("resource", b"abc", length=False), record("resource", b"abc", "Content-Length: three", length=False), b"WARC/1.0\r\nno field\r\n\r\n"):
+        with pytest.raises(ArchiveError):
+            list(read_warc(wrong))
+
+
+def test_malformed_lengths_of_arc_files():
+    data = arc_bytes(1, [("http://a/", "20010203040506", "text/html", b"abc")])
+    with pytest.raises(ArchiveError, match="length"):
+        list(read_arc(data.replace(b"text/html 3", b"text/html -3")))
+    with pytest.raises(ArchiveError, match="version"):
+        list(read_arc(data.replace(b"\n1 0 ", b"\nx 0 ")))
+    (record,) = read_arc(arc_bytes(2, [("http://a/", "20010203040506", "text/html", b"abc")]).replace(b"text/html 200", b"text/html -"))
+    assert record.status == 0
