@@ -96,15 +96,26 @@ class Kernel:
 
 
 def expand(states: DataFrame, board: Board, rows: int = 65536) -> DataFrame:
-    """(state, moves): canonical children, once for each batch, and how many jumps of the batch lead there."""
+    """(state, moves): canonical children, once for every ``rows`` states of a task, and how many jumps of these lead there."""
     kernel = Kernel(board)
 
+    def made(parents: np.ndarray) -> pa.RecordBatch:
+        unique, counts = np.unique(kernel.expand(parents), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], names=["state", "moves"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow's batches are smaller than what is worth expanding at once
+        held, n = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
-                found = kernel.expand(batch.column(0).slice(start, rows).to_numpy(zero_copy_only=False))
-                unique, counts = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], names=["state", "moves"])
+                part = batch.column(0).slice(start, rows).to_numpy(zero_copy_only=False)
+                if held and n + len(part) > rows:
+                    yield made(np.concatenate(held))
+                    held, n = [], 0
+                held.append(part)
+                n += len(part)
+        if held:
+            yield made(np.concatenate(held))
 
     return states.select("state").mapInArrow(run, "state long, moves long")
 

@@ -65,3 +65,13 @@ def test_shard_bounds_belong_to_the_right(spark):
     keys = {low: 1, -8: 1, -7: 2, -1: 2, 0: 3, high - 1: 3, high: 4}
     rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", bitboard.shard(F.col("k"), [low, -7, 0, high]).alias("s")).collect()
     assert {r["k"]: r["s"] for r in rows} == keys
+
+
+@pytest.mark.parametrize("rows", [1, 7, 65536])
+def test_groups_of_any_size_give_the_same_moves(spark, rows):
+    b = BOARDS["cross33"]
+    states = sample(b, 5)
+    expected = Counter(b.canonical(c) for s in states for c in b.successors(s))
+    df = spark.createDataFrame([(s,) for s in states], "state long").repartition(3)
+    found = kernel.expand(df, b, rows).groupBy("state").agg(F.sum("moves").alias("moves")).collect()
+    assert {r["state"]: r["moves"] for r in found} == expected
