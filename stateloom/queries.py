@@ -151,11 +151,11 @@ def frontier_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_publish_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round made of the states is published, advanced from disk by the enumerator, and counted again."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stateloom-")
-    enumerator = Enumerator(spark, _SMALL, f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}", verify=True)
+    from .sources.files import shared_root
+
+    enumerator = Enumerator(spark, _SMALL, f"{shared_root(spark)}/rounds-{uuid.uuid4().hex}", verify=True)
     store = enumerator.store
     store.files.make_root()
     written = store.write(1, _states(spark, sf_dir), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))

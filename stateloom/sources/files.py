@@ -9,11 +9,21 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local one if all tasks run in this process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-stateloom-")
+    return found.rstrip("/")
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and return the table read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stateloom-")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

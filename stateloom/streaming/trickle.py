@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_root
+
 
 def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and summed value of each user, kept up by a stream over the events' files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stateloom-")
-    root = f"{root.rstrip('/')}/totals-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/totals-{uuid.uuid4().hex}"
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(path).schema
     jvm = spark.sparkContext._jvm
