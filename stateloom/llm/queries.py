@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, run_catch, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -64,6 +64,12 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", run_catch.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_catch.run_digests(run_catch.periodic_runs(docs, exponent=4, length=6))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op1_ngram_links": op1_ngram_links,
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_additive_ann": op10_additive_ann,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _NGRAM_SQL = r"""
