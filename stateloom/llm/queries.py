@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, run_catch, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, coordinate_negatives, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, run_catch, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -64,6 +64,12 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.select("vec_id", "embedding", coordinate_negatives.relabelled(F.col("vec_id"), F.col("label")).alias("label"))
+    return coordinate_negatives.hard_negatives(vectors, every=50, positives=5, negatives=3, low=50, high=95)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", run_catch.planted(F.col("doc_id"), F.col("text")).alias("text"))
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_additive_ann": op10_additive_ann,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -116,4 +123,13 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
-SQL = {"op1_ngram_join": _NGRAM_SQL, "op1_ngram_links": _LINKS_SQL, "op4_warc": _WARC_SQL}
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.vec, b.vec)::BIGINT AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3
+"""
+
+SQL = {"op1_ngram_join": _NGRAM_SQL, "op1_ngram_links": _LINKS_SQL, "op4_warc": _WARC_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
