@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, block_extract, coordinate_negatives, decontaminate, group_join, lang_hierarchy, piece_codec, role_hmm, run_catch, suffix_dedup, token_cache, warc_legacy
+from . import additive_ann, block_extract, coordinate_negatives, decontaminate, group_join, hamming_join, lang_hierarchy, piece_codec, role_hmm, run_catch, suffix_dedup, token_cache, warc_legacy
 from .storage import table
 
 
@@ -70,6 +70,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordinate_negatives.hard_negatives(vectors, every=50, positives=5, negatives=3, low=50, high=95)
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", run_catch.planted(F.col("doc_id"), F.col("text")).alias("text"))
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_additive_ann": op10_additive_ann,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_near_duplicates": op12_near_duplicates,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -123,6 +128,19 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM w),
+member AS (SELECT doc_id, len(shingles) AS n, min(doc_id) OVER (PARTITION BY list_sort(shingles)) AS class_id, shingles FROM s),
+x AS (SELECT class_id, n, unnest(shingles) AS shingle FROM member WHERE doc_id = class_id),
+joined AS (SELECT a.class_id AS a, b.class_id AS b, first(a.n) AS n, first(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.shingle = b.shingle AND a.class_id < b.class_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM joined WHERE 100 * k >= 85 * (n + m - k)),
+reach AS (SELECT class_id AS a, class_id AS b FROM member UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
+comp AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1),
+named AS (SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM member JOIN comp USING (class_id))
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM named
+"""
+
 _NEGATIVES_SQL = """
 WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.vec, b.vec)::BIGINT AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
@@ -132,4 +150,4 @@ FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AN
 QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3
 """
 
-SQL = {"op1_ngram_join": _NGRAM_SQL, "op1_ngram_links": _LINKS_SQL, "op4_warc": _WARC_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
+SQL = {"op1_ngram_join": _NGRAM_SQL, "op1_ngram_links": _LINKS_SQL, "op4_warc": _WARC_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_near_duplicates": _NEAR_SQL}
