@@ -18,7 +18,7 @@ sets have a Jaccard similarity of at least 0.85.
    forms whose classes aren't all in one component, so what is left are forms
    with classes that are neither.
 4. There all pairs of different components are compared by their signatures,
-   in cells of two blocks.  A pair in reach ties its classes to a family.
+   in cells of two blocks.  A pair in reach ties its components to a family.
 5. In a family, cells of two blocks hold whole sets, and pairs of different
    components are verified.  One side of a cell are only classes outside of the
    family's largest component, so a large group of copies, once joined, isn't
@@ -60,6 +60,8 @@ DISTANCE = 2 * CHUNKS - 1
 HUBS = 2
 #: Classes with one hub, or of a block, that are compared in one place.
 CELL = 128
+#: Rows that a task gathers before it gives those that differ.
+HELD = 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -163,36 +165,51 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(decide):
-    """(a, b) of what ``decide`` joins between the sides of each cell; rows (group, i, j, side, node, comp, value) come cell by cell.
+    """(node, a, b) of what ``decide`` joins between the sides of each cell; rows (group, i, j, side, node, comp, value) come cell by cell.
 
-    Of what is joined, directly or through others, each node gives a row with the first one.
+    node is one that was joined to another component, a its own, b the first of
+    the components that are joined in the cell, directly or through others.
     """
 
+    def joined(sides: list[tuple[list, list, list]]) -> np.ndarray:
+        (left, left_comp, left_value), (right, right_comp, right_value) = sides
+        comps, number = np.unique(left_comp + right_comp, return_inverse=True)
+        i, j = number[: len(left)], number[len(left) :]
+        apart = i[:, None] != j[None, :]
+        if not apart.any():
+            return np.empty((0, 3), np.int64)
+        met = decide(left_value, right_value) & apart
+        x, y = np.nonzero(met)
+        label = _least_reached(len(comps), i[x], j[y])
+        at = np.concatenate((met.any(1), met.any(0)))
+        return np.stack((np.array(left + right)[at], comps[number[at]], comps[label[number[at]]]), axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        key, held = None, 0
         sides: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+        found: list[np.ndarray] = []
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            (left, left_comp, left_value), (right, right_comp, right_value) = sides
-            if left and right:
-                apart = np.array(left_comp)[:, None] != np.array(right_comp)[None, :]
-                if apart.any():
-                    a, b = np.nonzero(decide(left_value, right_value) & apart)
-                    nodes = np.array(left + right)
-                    label = _least_reached(len(nodes), a, b + len(left))
-                    # a node may stand on both sides
-                    joined = np.flatnonzero(label != np.arange(len(nodes)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[label[joined]])], names=["a", "b"])
+        def out() -> pa.RecordBatch:
+            # many cells join the same
+            rows = np.unique(np.concatenate([np.empty((0, 3), np.int64), *found]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["node", "a", "b"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
             for row, (group, i, j, side, node, comp) in enumerate(zip(*columns, strict=True)):
                 if (group, i, j) != key:
-                    yield from finish()
+                    if sides[0][0] and sides[1][0]:
+                        found.append(joined(sides))
+                        held += len(found[-1])
                     key, sides = (group, i, j), [([], [], []), ([], [], [])]
-                for held, value in zip(sides[side], (node, comp, batch.column(6)[row].as_py()), strict=True):
-                    held.append(value)
-        yield from finish()
+                    if held > HELD:
+                        yield out()
+                        found, held = [], 0
+                for column, value in zip(sides[side], (node, comp, batch.column(6)[row].as_py()), strict=True):
+                    column.append(value)
+        if sides[0][0] and sides[1][0]:
+            found.append(joined(sides))
+        yield out()
 
     return run
 
@@ -271,7 +288,7 @@ class _Join:
         return keep(map_arrow(dealt, _verified, "a long, b long"), f"{label}-linked")
 
     def in_cells(self, left: DataFrame, right: DataFrame, value: DataFrame, decide, label: str) -> DataFrame:
-        """(a, b) of what ``decide`` joins of left (group, node, comp) and right of the same group, in cells of blocks of both."""
+        """(node, a, b) of what ``decide`` joins of left (group, node, comp) and right of the same group, in cells of blocks of both."""
         keep = self.scratch.keep
         sizes = [side.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name)) for side, name in ((left, "rows"), (right, "columns"))]
         sizes = keep(sizes[0].join(sizes[1], "group"), f"{label}-sizes")
@@ -285,22 +302,23 @@ class _Join:
         cell = ["group", "i", "j"]
         dealt = placed(left, "rows", "columns", 0).union(placed(right, "columns", "rows", 1)).join(value, "node")
         dealt = dealt.select(*cell, "side", "node", "comp", value.columns[1]).repartition(*cell).sortWithinPartitions(*cell, "side", "node")
-        return keep(map_arrow(dealt, _cells(decide), "a long, b long"), f"{label}-joined")
+        return keep(map_arrow(dealt, _cells(decide), "node long, a long, b long"), f"{label}-joined")
 
     def rest(self, entries: DataFrame) -> DataFrame:
-        """(a, b): links between components that no hub shows; entries are the forms that are open still."""
+        """(a, b): components with a link that no hub shows; entries are the forms that are open still."""
         keep = self.scratch.keep
         grouped = entries.withColumnRenamed("form", "group")
         ties = self.in_cells(grouped, grouped, self.classes.select("node", "signature"), _in_reach, "tie")
-        families = connected(ties, self.scratch, "family").withColumnsRenamed({"comp": "group"})
-        comps = entries.select("node", "comp").distinct()
-        members = keep(comps.join(_bounded(families, 48), "node").select("group", "node", "comp"), "members")
+        # components that are near each other are a family; of their classes only those take part that are near another component
+        families = connected(keep(ties.select("a", "b").distinct(), "family-ties"), self.scratch, "family").withColumnsRenamed({"comp": "group", "node": "own"})
+        near = keep(ties.select("node", F.col("a").alias("comp")).distinct(), "near")
+        members = keep(near.join(_bounded(families, 48), F.col("comp") == F.col("own")).select("group", "node", "comp"), "members")
         sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("m"))
         largest = sizes.groupBy("group").agg(F.max(F.struct("m", "comp")).alias("largest")).select("group", F.col("largest.comp").alias("main"))
         largest = keep(largest, "largest")
         outside = members.join(_bounded(largest, 48), "group").where("comp != main").select("group", "node", "comp")
         sets = self.sets(keep(members.select("node"), "member-nodes"), "family")
-        return self.in_cells(keep(outside, "outside"), members, sets, _linked, "family")
+        return self.in_cells(keep(outside, "outside"), members, sets, _linked, "family").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
