@@ -1,6 +1,7 @@
 """Commands: ``count`` makes the next round of a board, ``stats`` counts the states of all rounds.
 
     python -m stateloom.cli count -b cross33 -d DIR [-w WORKERS] [-q QUEUE] [--verify-ready]
+                                 [--ranked] [--rows ROWS] [--interval SECONDS]
     python -m stateloom.cli stats -d DIR
 """
 
@@ -26,6 +27,10 @@ class Configuration:
     workers: int
     queue: int
     verify: bool
+    #: Store rounds as ranks; states that a task expands at once; seconds between lines on progress.
+    ranked: bool = False
+    rows: int = 1 << 18
+    interval: int = 60
 
 
 class _Parser(argparse.ArgumentParser):
@@ -57,6 +62,9 @@ def parse(arguments: list[str]) -> Configuration | None:
     count.add_argument("-w", "--workers", type=_between(1, 256), default=8)
     count.add_argument("-q", "--queue", type=_between(1, 1_000_000), default=32)
     count.add_argument("--verify-ready", action="store_true")
+    count.add_argument("--ranked", action="store_true")
+    count.add_argument("--rows", type=_between(1, 1 << 24), default=1 << 18)
+    count.add_argument("--interval", type=_between(1, 86_400), default=60)
     found = parser.parse_args(arguments)
     try:
         chosen = board(found.board)
@@ -64,7 +72,9 @@ def parse(arguments: list[str]) -> Configuration | None:
         raise UsageError(str(e)) from e
     if not found.directory.strip():
         raise UsageError("an empty directory")
-    return Configuration(found.action, chosen, found.directory, getattr(found, "workers", 8), getattr(found, "queue", 32), getattr(found, "verify_ready", False))
+    if found.action == "stats":
+        return Configuration("stats", chosen, found.directory, 8, 32, False)
+    return Configuration("count", chosen, found.directory, found.workers, found.queue, found.verify_ready, found.ranked, found.rows, found.interval)
 
 
 def stats_table(rows: list[tuple[int, int]]) -> str:
@@ -85,7 +95,7 @@ def run(arguments: list[str], spark=None, out=sys.stdout) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .plans.enumeration import Enumerator, round_counts
+    from .plans.enumeration import Enumerator, Tuning, round_counts
     from .plans.shipping import ship
     from .sources.rounds import RoundStore
 
@@ -96,7 +106,8 @@ def run(arguments: list[str], spark=None, out=sys.stdout) -> int:
         if config.action == "stats":
             print(stats_table(round_counts(RoundStore(spark, config.directory))), file=out)
             return 0
-        result = Enumerator(spark, config.board, config.directory, config.verify).run_one_round()
+        tuning = Tuning(rows=config.rows, interval=config.interval)
+        result = Enumerator(spark, config.board, config.directory, config.verify, config.ranked, tuning).run_one_round()
         if result.initialized:
             print("Initialized round 1 with 1 state", file=out)
         elif result.terminal:

@@ -82,40 +82,43 @@ class Kernel:
                 out[t] |= self.tables[t, k, part]
         return out
 
-    def expand(self, states: np.ndarray) -> np.ndarray:
-        """Canonical children of all states, with repetitions."""
+    def expand(self, states: np.ndarray, owners: bool = False):
+        """Canonical children of all states, with repetitions; with owners also the place of each one's parent."""
         if len(states) and (states & ~self.full).any():
             raise ValueError("a state has pegs outside of the board")
         images = self.images(states)
-        out = []
+        out, parents = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for (occupied, target, _), changed in zip(self.jumps, self.changed, strict=True):
             legal = np.flatnonzero((states & (occupied | target)) == occupied)
             if len(legal):
                 out.append((images[:, legal] ^ changed[:, None]).min(0))
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+                parents.append(legal)
+        return (np.concatenate(out), np.concatenate(parents)) if owners else np.concatenate(out)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    """First columns of batches, ``rows`` values or a little less at a time; Arrow's batches are smaller than what is worth expanding at once."""
+    held, n = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.column(0).slice(start, rows).to_numpy(zero_copy_only=False)
+            if held and n + len(part) > rows:
+                yield np.concatenate(held)
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if held:
+        yield np.concatenate(held)
 
 
 def expand(states: DataFrame, board: Board, rows: int = 65536) -> DataFrame:
     """(state, moves): canonical children, once for every ``rows`` states of a task, and how many jumps of these lead there."""
     kernel = Kernel(board)
 
-    def made(parents: np.ndarray) -> pa.RecordBatch:
-        unique, counts = np.unique(kernel.expand(parents), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], names=["state", "moves"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Arrow's batches are smaller than what is worth expanding at once
-        held, n = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.column(0).slice(start, rows).to_numpy(zero_copy_only=False)
-                if held and n + len(part) > rows:
-                    yield made(np.concatenate(held))
-                    held, n = [], 0
-                held.append(part)
-                n += len(part)
-        if held:
-            yield made(np.concatenate(held))
+        for parents in grouped(batches, rows):
+            unique, counts = np.unique(kernel.expand(parents), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], names=["state", "moves"])
 
     return states.select("state").mapInArrow(run, "state long, moves long")
 

@@ -1,21 +1,44 @@
-"""Breadth-first enumeration, one persisted round for each call."""
+"""Breadth-first enumeration, one persisted round for each call.
+
+A round's stored sample forecasts where its children lie, before any is made:
+children go to ranges by these boundaries in the one shuffle of states, and
+what arrives sorted is merged as it is written.  Counts and the next sample
+come from the files' footers.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..boards import Board
+from ..functions.ranks import Ranks, with_rank
 from ..operators import keys as key_ops
-from ..operators.kernel import expand
+from ..operators.routing import expand_routed, forecast, in_ranges
 from ..sources.rounds import SAMPLE, Manifest, RoundStore, numbered, order_faults
+from .progress import Progress
+
+
+#: A round of at most so many states is sampled by their places, a larger one by its row groups.
+SMALL = 4 * SAMPLE
+
+
+@dataclass(frozen=True)
+class Tuning:
+    """States that a task expands at once; moves that a range takes at most, as forecast, and at least unless a round is small; ranges for each core."""
 
-#: States that one partition of a round holds, about.
-STATES_PER_PARTITION = 2_000_000
-#: A smaller round is dealt to as many files as the cluster has cores, each of at least so many states, since the next expansion follows the files.
-LEAST_STATES = 50_000
+    rows: int = 1 << 18
+    most_moves: int = 8_000_000
+    least_moves: int = 200_000
+    per_core: int = 3
+    #: Seconds between lines on a round's progress.
+    interval: float = 60.0
+
+    def ranges(self, moves: float, cores: int) -> int:
+        return int(max(1, -(-moves // self.most_moves), min(self.per_core * cores, moves // self.least_moves)))
 
 
 class VerificationError(RuntimeError):
@@ -29,7 +52,7 @@ class RoundResult:
     processed: int
     generated: int
     unique: int
-    #: States that went into the distinct, after repetitions in a batch were dropped, and tasks that made them.
+    #: States that were shuffled, after repetitions in a batch were dropped, and tasks that made them.
     submitted: int = 0
     tasks: int = 0
     initialized: bool = False
@@ -37,16 +60,19 @@ class RoundResult:
 
 
 def sample_manifest(states: DataFrame, bits: int) -> Manifest:
-    """Count and ordinal sample of a round's sorted files; no state is moved."""
+    """Count and ordinal sample of a round's sorted files by a scan; no state is moved."""
     n = states.count()
     stride = key_ops.ordinal_stride(n, SAMPLE)
     picked = sorted((r["ordinal"], r["state"]) for r in numbered(states).where(F.col("ordinal") % stride == 0).collect())  # at most SAMPLE rows
-    return Manifest(bits, n, [state for _, state in picked], [min(stride, n - place) for place, _ in picked])
+    return Manifest(bits, n, [state for _, state in picked], [min(stride, n - place) for place, _ in picked], stride)
 
 
 class Enumerator:
-    def __init__(self, spark: SparkSession, board: Board, root: str, verify: bool = False):
-        self.spark, self.board, self.verify = spark, board, verify
+    """ranked: rounds whose states all have one number of pegs and one parity class are stored as ranks in it."""
+
+    def __init__(self, spark: SparkSession, board: Board, root: str, verify: bool = False, ranked: bool = False, tuning: Tuning | None = None, tell=None):
+        self.spark, self.board, self.verify, self.ranked = spark, board, verify, ranked
+        self.tuning, self.tell = tuning or Tuning(), tell
         self.store = RoundStore(spark, root)
 
     def run_one_round(self) -> RoundResult:
@@ -58,38 +84,70 @@ class Enumerator:
     def _initialize(self) -> RoundResult:
         start = self.board.canonical(self.board.start)
         self.store.write(1, self.spark.createDataFrame([(start,)], "state long"), 1)
-        self.store.publish(1, Manifest(self.board.size, 1, [start], [1]))
+        self.store.publish(1, Manifest(self.board.size, 1, [start], [1], 1))
         return RoundResult(None, 1, 0, 0, 1, initialized=True)
 
+    def _domain(self, known: Manifest) -> tuple[int, int] | None:
+        """Population and parities of the children, if the sampled states agree in theirs."""
+        found = {(k.bit_count(), self.board.syndrome(k)) for k in known.keys}
+        if not self.ranked or len(found) != 1:
+            return None
+        population, parity = found.pop()
+        return (max(0, population - 1), parity) if population > 1 else None
+
     def _advance(self, source: int) -> RoundResult:
-        states = self.store.read(source)
         # a malformed manifest fails here, before anything is written; a missing one is rebuilt in memory
-        known = self.store.manifest(source, self.board.size)
-        count = states.count() if known is None else known.count
-        if count == 0:
+        known = self.store.manifest(source, self.board.size) or sample_manifest(self.store.stored(source), self.board.size)
+        if known.count == 0:
             return RoundResult(source, None, 0, 0, 0, terminal=True)
-        seen = Observation(f"round {source + 1}")
-        expanded = expand(states, self.board).observe(seen, F.count(F.lit(1)).alias("submitted"))
-        children = expanded.groupBy("state").agg(F.sum("moves").alias("moves"))
-        staged = f"{source + 1}.staged"
-        # distinct states are written once with their moves, then dealt in ranges; so the expansion runs once
-        self.store.files.delete(staged)
-        children.write.option("compression", "zstd").parquet(self.store.files.at(staged))
-        made = self.spark.read.schema("state long, moves long").parquet(self.store.files.at(staged))
-        unique, generated = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("moves"), F.lit(0))).first()
+        states = self.store.decoded(self.store.stored(source), known)
         cores = self.spark.sparkContext.defaultParallelism
-        parts = max(1, -(-unique // STATES_PER_PARTITION), min(cores, unique // LEAST_STATES))
-        written = self.store.write(source + 1, made, parts)
+        expected = forecast(self.board, known.keys, known.weights, lambda moves: self.tuning.ranges(moves, cores))
+        seen, merged = Observation(f"round {source + 1} routed"), Observation(f"round {source + 1} merged")
+        routed = expand_routed(states, self.board, expected.bounds, self.tuning.rows).observe(seen, F.count(F.lit(1)).alias("submitted"))
+        made = in_ranges(routed, len(expected.bounds) + 1).observe(merged, F.count(F.lit(1)).alias("unique"), F.sum("moves").alias("generated"))
+        domain = self._domain(known)
+        ordered = made.select("state") if domain is None else in_class(made.select("state"), self.board, *domain)
+        with Progress(self.spark, f"round {source + 1}", known.count, self.tuning.interval, self.tell):
+            written = self.store.write_ranges(source + 1, ordered, int(expected.moves) // SAMPLE, domain is not None)
+        manifest = self._manifest(source + 1, written, domain)
         # of a round without states nothing is observed
-        submitted = seen.get["submitted"] if unique else 0
-        manifest = sample_manifest(written, self.board.size)
+        unique, generated = (merged.get["unique"], merged.get["generated"]) if manifest.count else (0, 0)
         if manifest.count != unique:
             raise VerificationError(f"round {source + 1}: {unique} states made, {manifest.count} written")
         if self.verify:
             check_files(written, manifest)
         self.store.publish(source + 1, manifest)
-        self.store.files.delete(staged)
-        return RoundResult(source, source + 1, count, int(generated), unique, submitted, states.rdd.getNumPartitions())
+        submitted = seen.get["submitted"] if unique else 0
+        return RoundResult(source, source + 1, known.count, int(generated), unique, submitted, states.rdd.getNumPartitions())
+
+    def _manifest(self, number: int, written: DataFrame, domain: tuple[int, int] | None) -> Manifest:
+        """From footers; by a scan where the round is small or tasks can't open the files themselves."""
+        stride = 0
+        head = [r["state"] for r in written.limit(SMALL + 1).collect()]
+        if len(head) <= SMALL:
+            stride = key_ops.ordinal_stride(len(head), SAMPLE)
+            keys = sorted(head)[::stride]
+            weights = [min(stride, len(head) - k) for k in range(0, len(head), stride)]
+        else:
+            try:
+                keys, weights = self.store.summary(number, finished=False)
+            except Exception as e:  # noqa: BLE001
+                if "Unrecognized filesystem" not in str(e) and "libhdfs" not in str(e):
+                    raise
+                found = sample_manifest(written, 63)
+                keys, weights, stride = found.keys, found.weights, found.stride
+        if domain is not None:
+            population, parity = (np.full(len(keys), d) for d in domain)
+            keys = Ranks.of(self.board).unrank(population, parity, np.array(keys, np.int64)).tolist()
+        return Manifest(self.board.size, sum(weights), keys, weights, stride, *(domain or (None, None)))
+
+
+def in_class(states: DataFrame, board: Board, population: int, parity: int) -> DataFrame:
+    """(state): the rank of each state in its class, in the order of the states; one of another class is an error."""
+    ranked = with_rank(states, Ranks.of(board))
+    own = (F.col("population") == population) & (F.col("parity") == parity)
+    return ranked.select(F.when(own, F.col("rank")).otherwise(F.raise_error(F.lit("a state is of another class")).cast("long")).alias("state"))
 
 
 def check_files(states: DataFrame, manifest: Manifest) -> None:
@@ -116,7 +174,7 @@ def round_counts(store: RoundStore) -> list[tuple[int, int]]:
     numbers = store.completed()
     if not numbers:
         return []
-    parts = [store.read(n).select(F.lit(n).alias("round")) for n in numbers]
+    parts = [store.stored(n).select(F.lit(n).alias("round")) for n in numbers]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

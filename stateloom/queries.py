@@ -8,14 +8,19 @@ with the expressions under test.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boards import BOARDS, Board
-from .functions import bitboard
-from .operators import kernel, keys
+from .functions import bitboard, gf2, tables
+from .functions.ranks import Ranks, with_rank, with_state
+from .operators import kernel, keys, routing
 from .plans.enumeration import Enumerator, sample_manifest
-from .sources.rounds import file_sizes
+from .sources import footers, key_files
+from .sources.files import shared_root
+from .sources.rounds import RoundStore, file_sizes
 from .streaming.trickle import user_totals
 
 FLAGSHIP = "frontier_step"
@@ -26,16 +31,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _states(spark: SparkSession, sf_dir: str, board: Board = _SMALL, extra: int = 0) -> DataFrame:
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _states(spark: SparkSession, sf_dir: str, board: Board = _SMALL, extra: int = 0, where: str = "true") -> DataFrame:
     """(state): distinct states made from lineitem; ``extra`` more bits than the board has."""
     number = (F.col("l_orderkey") % 1000003) * F.lit(2147483647) + F.col("l_partkey") * 65537 + F.col("l_linenumber") * 8191
     mask = (1 << (board.size + extra)) - 1
-    return _table(spark, sf_dir, "lineitem").select(number.bitwiseAND(F.lit(mask)).alias("state")).distinct()
+    return _table(spark, sf_dir, "lineitem").where(where).select(number.bitwiseAND(F.lit(mask)).alias("state")).distinct()
 
 
-def _state_sql(board: Board = _SMALL, extra: int = 0) -> str:
+def _state_sql(board: Board = _SMALL, extra: int = 0, where: str = "true", name: str = "st") -> str:
     mask = (1 << (board.size + extra)) - 1
-    return f"st AS (SELECT DISTINCT (((l_orderkey % 1000003) * 2147483647 + l_partkey * 65537 + l_linenumber * 8191) & {mask}) AS state FROM lineitem)"
+    return f"{name} AS (SELECT DISTINCT (((l_orderkey % 1000003) * 2147483647 + l_partkey * 65537 + l_linenumber * 8191) & {mask}) AS state FROM lineitem WHERE {where})"
+
+
+def _closure_sql() -> str:
+    """Full images of all states on all boards, and their parities."""
+    parts = []
+    for name, b in BOARDS.items():
+        for t in range(8):
+            parts.append(f"SELECT '{name}' AS board, {t} AS symmetry, syndrome, {_parities_sql('image', b)} AS image FROM (SELECT {_parities_sql('state', b)} AS syndrome, {_image_sql('state', b, t)} AS image FROM {name})")
+    states = ", ".join(_state_sql(b, name=name) for name, b in BOARDS.items())
+    return f"WITH {states}, i AS ({' UNION ALL '.join(parts)}) SELECT board, symmetry::BIGINT AS symmetry, syndrome, image, count(*) AS states FROM i GROUP BY ALL"
 
 
 def _jumps_sql(board: Board) -> str:
@@ -151,11 +170,7 @@ def frontier_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_publish_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round made of the states is published, advanced from disk by the enumerator, and counted again."""
-    import uuid
-
-    from .sources.files import shared_root
-
-    enumerator = Enumerator(spark, _SMALL, f"{shared_root(spark)}/rounds-{uuid.uuid4().hex}", verify=True)
+    enumerator = Enumerator(spark, _SMALL, _folder(spark, "rounds"), verify=True)
     store = enumerator.store
     store.files.make_root()
     written = store.write(1, _states(spark, sf_dir), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -165,6 +180,84 @@ def round_publish_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("round").agg(F.count(F.lit(1)).alias("states"))
 
 
+def forecast_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of 128 ranges for the children of all states, from the children of a sample of them."""
+    sample = keys.ordinal_sample(_states(spark, sf_dir), "state")
+    return routing.forecast_bounds(sample, _SMALL)
+
+
+def _stored(spark: SparkSession, states: DataFrame, label: str) -> RoundStore:
+    """A store whose round 1 is in progress with these states, in as many ranges as there are shuffle partitions."""
+    store = RoundStore(spark, _folder(spark, label))
+    store.files.make_root()
+    store.write(1, states, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    store.files.rename("1.in-progress", "1")
+    return store
+
+
+def round_footer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states as a round's files: count, least and greatest key from the footers, and neighbouring row groups out of order."""
+    store = _stored(spark, _states(spark, sf_dir), "footers")
+    found = footers.footers(spark, store.files.at("1"))
+    bounds = found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("states"), F.min("first").alias("least"), F.max("last").alias("greatest"))
+    weights = footers.summary(found, keys.SAMPLE).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("summary_weight"))
+    return bounds.crossJoin(weights).crossJoin(footers.disorder(found))  # one row each
+
+
+def round_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of returned items against those of items with an even line number, compared as two rounds' files."""
+    parts = [_stored(spark, _states(spark, sf_dir, where=w), "compared") for w in ("l_returnflag = 'R'", "l_linenumber % 2 = 0")]
+    return footers.key_differences(spark, *(store.files.at("1") for store in parts))
+
+
+def key_files_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of line items, written as key files and read again."""
+    path = _folder(spark, "keys")
+    key_files.write_key_files(_keys(spark, sf_dir, "lineitem", "l_orderkey").distinct(), path, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return key_files.read_key_files(spark, path, bits=63)
+
+
+#: Bits of the states whose ranks are compared with places among all words of so many bits.
+_RANK_BITS = 16
+
+
+def state_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 lowest holes of each state: place among all patterns of its number of pegs and parities, and the pattern made from that again."""
+    ranks = Ranks(_RANK_BITS, _SMALL.parity_masks)
+    low = _states(spark, sf_dir).select(F.col("state").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)).alias("state")).distinct()
+    return with_state(with_rank(low, ranks), ranks, "again")
+
+
+def state_rank_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By board and number of pegs: states, and those that come back from their ranks (all should)."""
+    out = None
+    for name, board in BOARDS.items():
+        ranks = Ranks.of(board)
+        found = with_state(with_rank(_states(spark, sf_dir, board), ranks), ranks, "again")
+        kept = F.sum((F.col("state") == F.col("again")).cast("long"))
+        found = found.groupBy(F.lit(name).alias("board"), "population").agg(F.count(F.lit(1)).alias("states"), kept.alias("kept"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def state_class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By board, symmetry and parity class: the class of the states' images, by the symmetry's map of classes alone, and states."""
+    out = None
+    for name, board in BOARDS.items():
+        own = _states(spark, sf_dir, board).groupBy(bitboard.syndrome(F.col("state"), board).alias("syndrome")).agg(F.count(F.lit(1)).alias("states"))
+        for t in range(8):
+            found = own.select(F.lit(name).alias("board"), F.lit(t).cast("long").alias("symmetry"), "syndrome", gf2.image_class(F.col("syndrome"), board, t).alias("image"), "states")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def successors_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every legal jump of every state by the table function."""
+    tables.register(spark)
+    _states(spark, sf_dir).createOrReplaceTempView("stateloom_states")
+    return spark.sql("SELECT state, jump, child FROM successors(TABLE(SELECT state FROM stateloom_states), 'cross33')")
+
+
 def _keys(spark: SparkSession, sf_dir: str, table: str, column: str) -> DataFrame:
     return _table(spark, sf_dir, table).select(F.col(column).cast("long").alias("key"))
 
@@ -292,6 +385,8 @@ def _registered() -> tuple[dict, dict]:
     stride = "(SELECT CASE " + " ".join(f"WHEN ceil(count(*) / {2.0**i}) <= 4096 THEN {2**i}" for i in range(31)) + " END FROM k)"
     case = "CASE " + " ".join(f"WHEN key >= {x} THEN {i}" for i, x in reversed(list(enumerate(_BOUNDS, 1)))) + " ELSE 0 END"
     shards = f"c AS (SELECT {case} AS shard, count(*) AS n FROM k GROUP BY 1), s AS (SELECT range AS shard, coalesce(n, 0) AS n FROM range(128) LEFT JOIN c ON c.shard = range)"
+    returned = "l_returnflag = 'R'"
+    cuts = "c AS (SELECT key, coalesce(sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(w) OVER () AS total, least(127, count(*) OVER () - 1) AS b FROM w), q AS (SELECT key, (SELECT count(*) FROM range(1, 128) t(i) WHERE i <= b AND run >= total * i / (b + 1)) AS q FROM c) SELECT key AS bound FROM (SELECT key, q, lag(q, 1, 0) OVER (ORDER BY key) AS p FROM q) WHERE q > p"
     queries: dict = {}
     sql: dict = {}
     for name, chosen in (("frontier_step", b), ("frontier_step_cross37", BOARDS["cross37"]), ("frontier_step_cross49", BOARDS["cross49"])):
@@ -299,6 +394,7 @@ def _registered() -> tuple[dict, dict]:
     for f in (
         state_encode_decode, state_legal_moves, state_successors, state_transforms, state_canonical, state_canonical_children, state_expand_batches,
         state_population_syndrome, state_invariant_after_jump, state_validate, frontier_growth, frontier_stats_total, frontier_terminal, round_publish_resume,
+        forecast_bounds, round_footer_summary, round_differences, key_files_cycle, state_rank, state_rank_cycle, state_class_closure, successors_in_sql,
         key_hash_mix64, key_prefix_shard, keys_distinct_sorted, keys_union_dedup, keys_except_both, keys_recent_antijoin, keys_ordinal_sample,
         keys_increasing_check, keys_gap_bytes, quantile_bounds_unweighted, quantile_bounds_weighted, shard_assign, shard_balance, batch_accounting,
         summary_from_partitions, dir_name_filter, throughput_summary, pair_compare, file_size_report,
@@ -320,6 +416,14 @@ def _registered() -> tuple[dict, dict]:
         "frontier_stats_total": f"{states}, c AS (SELECT bit_count(state)::BIGINT AS population, count(*) AS states FROM st GROUP BY 1) SELECT * FROM c UNION ALL SELECT -1, count(*) FROM st",
         "frontier_terminal": f"{children} SELECT state FROM st WHERE state NOT IN (SELECT state FROM ch)",
         "round_publish_resume": f"{children} SELECT 1::BIGINT AS round, count(*) AS states FROM st UNION ALL SELECT 2, count(DISTINCT {_canonical_sql('child', b)}) FROM ch",
+        "forecast_bounds": f"WITH {_state_sql(b)}, {_jumps_sql(b)}, k AS (SELECT state AS key FROM st), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS o, count(*) OVER () AS n FROM k), sm AS (SELECT key AS state, least({stride}, n - o) AS weight FROM r WHERE o % {stride} = 0), ch AS (SELECT xor(state, chg) AS child, weight FROM sm JOIN jumps ON (state & occ) = occ AND (state & dst) = 0), w AS (SELECT {_canonical_sql('child', b)} AS key, sum(weight)::DOUBLE AS w FROM ch GROUP BY 1), {cuts}",
+        "round_footer_summary": f"{states} SELECT count(*) AS states, min(state) AS least, max(state) AS greatest, count(*) AS summary_weight, 0::BIGINT AS faults FROM st",
+        "round_differences": f"WITH {_state_sql(b, where=returned, name='a')}, {_state_sql(b, where='l_linenumber % 2 = 0', name='z')} SELECT state AS key, 'left' AS side FROM a WHERE state NOT IN (SELECT state FROM z) UNION ALL SELECT state, 'right' FROM z WHERE state NOT IN (SELECT state FROM a)",
+        "key_files_cycle": "SELECT DISTINCT l_orderkey AS key FROM lineitem",
+        "state_rank": f"{states}, low AS (SELECT DISTINCT state & 65535 AS state FROM st), a AS (SELECT range AS state, bit_count(range)::BIGINT AS population, {_parities_sql('range')} AS parity FROM range(65536)), r AS (SELECT *, row_number() OVER (PARTITION BY population, parity ORDER BY state) - 1 AS rank FROM a) SELECT state, population, parity, rank, state AS again FROM r WHERE state IN (SELECT state FROM low)",
+        "state_rank_cycle": "WITH " + ", ".join(_state_sql(x, name=n) for n, x in BOARDS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS board, bit_count(state)::BIGINT AS population, count(*) AS states, count(*) AS kept FROM {n} GROUP BY 2" for n in BOARDS),
+        "state_class_closure": _closure_sql(),
+        "successors_in_sql": f"{children} SELECT state, jump::BIGINT AS jump, child FROM ch",
         "key_hash_mix64": _MIX_SQL.format(x="key::UBIGINT") + " SELECT key, (h & 4294967295)::BIGINT AS low32, (h >> 32)::BIGINT AS high32, xor(h & 4294967295, h >> 32)::BIGINT AS folded FROM m",
         "key_prefix_shard": _MIX_SQL.format(x="(key >> 7)::UBIGINT") + ", s AS (SELECT (xor(h, h >> 32) & 127)::BIGINT AS shard, count(*) AS n FROM m GROUP BY 1) SELECT range AS shard, coalesce(n, 0) AS n FROM range(128) LEFT JOIN s ON s.shard = range",
         "keys_distinct_sorted": "SELECT l_partkey AS key, row_number() OVER (ORDER BY l_partkey) - 1 AS ordinal FROM (SELECT DISTINCT l_partkey FROM lineitem)",
@@ -330,7 +434,7 @@ def _registered() -> tuple[dict, dict]:
         "keys_increasing_check": "SELECT count(*) AS violations FROM (SELECT o_custkey <= lag(o_custkey) OVER (ORDER BY o_orderkey) AS v FROM orders) WHERE v",
         "keys_gap_bytes": "SELECT key, gap, ceil(length(bin(gap)) / 7)::BIGINT AS bytes FROM (SELECT key, key - coalesce(lag(key) OVER (ORDER BY key), 0) AS gap FROM (SELECT DISTINCT l_partkey AS key FROM lineitem))",
         "quantile_bounds_unweighted": "WITH k AS (SELECT DISTINCT o_custkey AS key FROM orders), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS o, count(*) OVER () AS n FROM k), q AS (SELECT range AS i, least(127, greatest(0, (SELECT count(*) FROM k) - 1)) AS b FROM range(127)) SELECT i AS bound_no, key AS bound FROM q JOIN r ON i < b AND o = ((i + 1) * n) // (b + 1)",
-        "quantile_bounds_weighted": "WITH w AS (SELECT o_custkey AS key, count(*)::DOUBLE AS w FROM orders GROUP BY 1), c AS (SELECT key, coalesce(sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(w) OVER () AS total, least(127, count(*) OVER () - 1) AS b FROM w), q AS (SELECT key, (SELECT count(*) FROM range(1, 128) t(i) WHERE i <= b AND run >= total * i / (b + 1)) AS q FROM c) SELECT key AS bound FROM (SELECT key, q, lag(q, 1, 0) OVER (ORDER BY key) AS p FROM q) WHERE q > p",
+        "quantile_bounds_weighted": f"WITH w AS (SELECT o_custkey AS key, count(*)::DOUBLE AS w FROM orders GROUP BY 1), {cuts}",
         "shard_assign": f"WITH k AS (SELECT DISTINCT l_partkey AS key FROM lineitem) SELECT key, ({case})::BIGINT AS shard FROM k",
         "shard_balance": f"WITH k AS (SELECT l_partkey AS key FROM lineitem), {shards} SELECT max(n) AS largest, round(avg(n), 6) AS mean, round(max(n) / avg(n), 6) AS ratio, sum((n = 0)::BIGINT)::BIGINT AS empty FROM s",
         "batch_accounting": "SELECT o // 4096 AS batch, count(*) AS rows, min(key) AS first_key FROM (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS o FROM orders) GROUP BY 1",

@@ -48,9 +48,9 @@ class Files:
     def make_root(self) -> None:
         self.fs.mkdirs(self._path(self.root))
 
-    def names(self) -> list[tuple[str, bool, int]]:
-        """(name, is a folder, bytes) of what the root holds; fails if the root isn't there."""
-        return [(s.getPath().getName(), s.isDirectory(), s.getLen()) for s in self.fs.listStatus(self._path(self.root))]
+    def names(self, folder: str | None = None) -> list[tuple[str, bool, int]]:
+        """(name, is a folder, bytes) of what the root, or a folder in it, holds; fails if that isn't there."""
+        return [(s.getPath().getName(), s.isDirectory(), s.getLen()) for s in self.fs.listStatus(self._path(self.at(folder) if folder else self.root))]
 
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self._path(self.at(name))).getLength()

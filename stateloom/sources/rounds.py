@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -12,11 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..boards import BOARDS
+from ..functions.ranks import Ranks, with_state
+from .checksum import crc32c
 from .files import Files
+from .footers import footers, part_of, summary
 
 _ROUND = re.compile(r"[1-9][0-9]*")
 LARGEST_ROUND = 2**31 - 1
 SAMPLE = 4096
+LARGEST_MANIFEST = 1 << 20
+#: Rows of a row group, at least; smaller ones would be mostly headers.
+LEAST_GROUP = 1024
 
 
 class ManifestError(ValueError):
@@ -25,12 +33,21 @@ class ManifestError(ValueError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """What is known of a finished round without reading it; the weights of the sampled keys sum to the count."""
+    """What is known of a finished round without reading it; the weights of the sampled keys sum to the count.
+
+    stride: every so many keys were sampled in order, each standing for as many
+    (the last for what is left); 0 where each key's weight is its own.
+    population, parity: of all states, where their ranks in this class are what
+    the files hold; else None.
+    """
 
     bits: int
     count: int
     keys: list[int] = field(default_factory=list)
     weights: list[int] = field(default_factory=list)
+    stride: int = 0
+    population: int | None = None
+    parity: int | None = None
 
     def check(self) -> Manifest:
         if not 1 <= self.bits <= 63 or self.count < 0:
@@ -39,22 +56,35 @@ class Manifest:
             raise ManifestError(f"{len(self.keys)} sampled keys and {len(self.weights)} weights")
         if any(b <= a for a, b in zip(self.keys, self.keys[1:], strict=False)):
             raise ManifestError("sampled keys don't increase")
-        if any(k >> self.bits for k in self.keys):
+        if any(k < 0 or k >> self.bits for k in self.keys):
             raise ManifestError("a sampled key has bits above the board")
         if any(w <= 0 for w in self.weights) or sum(self.weights) != self.count:
             raise ManifestError("weights aren't positive or don't sum to the count")
+        if self.stride:
+            if self.stride < 0 or self.stride & (self.stride - 1):
+                raise ManifestError(f"a stride of {self.stride}")
+            if len(self.keys) != -(-self.count // self.stride) or any(w != self.stride for w in self.weights[:-1]):
+                raise ManifestError(f"{len(self.keys)} keys of {self.count} aren't every {self.stride}th")
+        if (self.population is None) != (self.parity is None):
+            raise ManifestError("population and parity belong together")
+        if self.population is not None and (not 0 <= self.population <= self.bits or not 0 <= self.parity < 16 or any(k.bit_count() != self.population for k in self.keys)):
+            raise ManifestError(f"no class: population {self.population}, parity {self.parity}")
         return self
 
     def dump(self) -> bytes:
         body = json.dumps(asdict(self.check()), sort_keys=True)
-        return json.dumps({"version": 2, "crc": zlib.crc32(body.encode()), "body": body}).encode()
+        return json.dumps({"version": 3, "crc32c": crc32c(body.encode()), "body": body}).encode()
 
     @staticmethod
     def load(data: bytes, bits: int) -> Manifest:
+        if len(data) > LARGEST_MANIFEST:
+            raise ManifestError(f"{len(data)} bytes")
         try:
             outer = json.loads(data)
             body = outer["body"]
-            if outer["version"] != 2 or zlib.crc32(body.encode()) != outer["crc"]:
+            # version 2 had no strides and another checksum
+            known = zlib.crc32(body.encode()) == outer["crc"] if outer["version"] == 2 else outer["version"] == 3 and crc32c(body.encode()) == outer["crc32c"]
+            if not known:
                 raise ManifestError("version or checksum differ")
             found = Manifest(**json.loads(body))
         except (ValueError, KeyError, TypeError) as e:
@@ -118,6 +148,14 @@ def _runs(names: list[str], places: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
+def _bits_of(data: bytes) -> int:
+    """The width that a manifest says it is for; load() checks the rest."""
+    try:
+        return int(json.loads(json.loads(data)["body"])["bits"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise ManifestError(str(e)) from e
+
+
 class RoundStore:
     """A folder of rounds: N holds a finished one, N.in-progress one that is being written, N.manifest what is known of it."""
 
@@ -132,21 +170,66 @@ class RoundStore:
     def latest(self) -> int | None:
         return max(self.completed(), default=None)
 
-    def read(self, number: int) -> DataFrame:
-        return self.spark.read.schema("state long").parquet(self.files.at(str(number)))
-
-    def manifest(self, number: int, bits: int) -> Manifest | None:
+    def stored(self, number: int) -> DataFrame:
+        """The folder's one column as it is: states, or ranks under the same name."""
+        return self._opened(self.files.at(str(number)))
+
+    def _opened(self, path: str) -> DataFrame:
+        return self.spark.read.schema("state long").parquet(path)
+
+    def read(self, number: int, bits: int | None = None) -> DataFrame:
+        """(state) in no order; bits: what the manifest must be for, if there is one."""
+        found = self.manifest(number, bits)
+        return self.stored(number) if found is None else self.decoded(self.stored(number), found)
+
+    def decoded(self, stored: DataFrame, manifest: Manifest) -> DataFrame:
+        if manifest.population is None:
+            return stored
+        ranked = stored.select(F.lit(manifest.population).cast("long").alias("population"), F.lit(manifest.parity).cast("long").alias("parity"), F.col("state").alias("rank"))
+        return with_state(ranked, self._ranks(manifest.bits)).select("state")
+
+    def _ranks(self, bits: int) -> Ranks:
+        sizes = {b.size: b for b in BOARDS.values()}
+        if bits not in sizes:
+            raise ManifestError(f"no board has {bits} holes")
+        return Ranks.of(sizes[bits])
+
+    def stream(self, number: int, bits: int | None = None) -> Iterator[int]:
+        """All states, ascending, file by file; the driver holds a partition of a file at a time."""
+        manifest = self.manifest(number, bits)
+        names = sorted((name for name, folder, _ in self.files.names(str(number)) if name.endswith(".parquet")), key=lambda n: (part_of(n), n))
+        for name in names:
+            df = self._opened(f"{self.files.at(str(number))}/{name}")
+            for row in (self.decoded(df, manifest) if manifest else df).toLocalIterator():
+                yield row["state"]
+
+    def manifest(self, number: int, bits: int | None = None) -> Manifest | None:
         """None if it is missing, in which case it may be rebuilt; a malformed one is an error."""
         name = f"{number}.manifest"
-        return Manifest.load(self.files.read(name), bits) if self.files.exists(name) else None
+        if not self.files.exists(name):
+            return None
+        data = self.files.read(name)
+        return Manifest.load(data, bits if bits is not None else _bits_of(data))
 
     def write(self, number: int, states: DataFrame, partitions: int) -> DataFrame:
         """Write distinct states in ascending ranges to the round's folder in progress; the table read back."""
+        ordered = states.select("state").repartitionByRange(partitions, "state").sortWithinPartitions("state")
+        return self.write_ranges(number, ordered)
+
+    def write_ranges(self, number: int, ordered: DataFrame, group: int = LEAST_GROUP, ranks: bool = False) -> DataFrame:
+        """The same of states, or ranks, whose partitions are ascending ranges already; ``group``: rows of a row group."""
         name = f"{number}.in-progress"
         self.files.delete(name)
-        ordered = states.select("state").repartitionByRange(partitions, "state").sortWithinPartitions("state")
-        ordered.write.option("compression", "zstd").parquet(self.files.at(name))
-        return self.spark.read.schema("state long").parquet(self.files.at(name))
+        writer = ordered.write.option("compression", "zstd").option("parquet.block.row.count.limit", max(LEAST_GROUP, group)).option("parquet.enable.dictionary", "false")
+        # neighbouring ranks are near each other and stored as differences; those of states have too many bits for that to help
+        writer.option("parquet.writer.version", "PARQUET_2_0" if ranks else "PARQUET_1_0").parquet(self.files.at(name))
+        return self._opened(self.files.at(name))
+
+    def summary(self, number: int, finished: bool = True) -> tuple[list[int], list[int]]:
+        """At most SAMPLE stored numbers, ascending, and what each stands for, from the files' footers."""
+        path = self.files.at(str(number) if finished else f"{number}.in-progress")
+        rows = summary(footers(self.spark, path), SAMPLE).collect()
+        return [r["key"] for r in rows], [r["weight"] for r in rows]
 
     def publish(self, number: int, manifest: Manifest) -> None:
         """The manifest first, then the folder's rename, which makes the round visible."""
@@ -157,30 +240,6 @@ class RoundStore:
         return self.files.size(str(number))
 
 
-def read_key_files(spark: SparkSession, path: str, bits: int | None = None, pegs: int | None = None) -> DataFrame:
-    """(file, key) of files of big-endian 64-bit keys, each file ascending without repetitions.
-
-    bits, pegs: the width that keys must keep to and the number of bits that each must have set.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                if len(data) % 8:
-                    raise ValueError(f"{name}: {len(data)} bytes aren't whole keys")
-                keys = np.frombuffer(data, ">i8").astype(np.int64)
-                if (np.diff(keys) <= 0).any():
-                    raise ValueError(f"{name}: keys don't increase")
-                if bits is not None and len(keys) and (keys[0] < 0 or int(keys[-1]) >> bits):
-                    raise ValueError(f"{name}: a key has more than {bits} bits")
-                if pegs is not None and (np.bitwise_count(keys.view(np.uint64)) != pegs).any():
-                    raise ValueError(f"{name}: a key doesn't have {pegs} bits set")
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys)], names=["file", "key"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, key long")
-
-
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(suffix, files, bytes) of what a folder holds, below it too."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

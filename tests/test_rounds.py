@@ -1,12 +1,15 @@
 import io
 import json
+import zlib
 
 import pytest
 
 from stateloom.boards import BOARDS
 from stateloom.cli import UsageError, parse, run, stats_table
 from stateloom.plans.enumeration import Enumerator, VerificationError, check_files, check_round, round_counts, sample_manifest
-from stateloom.sources.rounds import Manifest, ManifestError, RoundStore, file_sizes, numbered, order_faults, read_key_files
+from stateloom.sources.checksum import crc32c
+from stateloom.sources.key_files import read_key_files
+from stateloom.sources.rounds import Manifest, ManifestError, RoundStore, file_sizes, numbered, order_faults
 
 
 def states_of(store, n):
@@ -62,10 +65,17 @@ def test_leftovers_and_manifests(spark, tmp_path):
 def test_malformed_manifests():
     good = Manifest(33, 100, [3, 7], [90, 10]).dump()
     assert Manifest.load(good, 33).weights == [90, 10]
-    changed = json.loads(good) | {"crc": 1}
+    changed = json.loads(good) | {"crc32c": 1}
     for data, bits in ((good, 37), (good[:-5], 33), (json.dumps(changed).encode(), 33)):
         with pytest.raises(ManifestError):
             Manifest.load(data, bits)
+    body = json.dumps({"bits": 33, "count": 3, "keys": [5], "weights": [3]})
+    assert Manifest.load(json.dumps({"version": 2, "crc": zlib.crc32(body.encode()), "body": body}).encode(), 33).stride == 0
+    assert crc32c(b"123456789") == 0xE3069283
+    assert Manifest(33, 5, [1, 4, 9], [2, 2, 1], 2).check().stride == 2
+    for bad in (Manifest(33, 5, [1, 4], [2, 3], 2), Manifest(33, 6, [1, 4], [3, 3], 3), Manifest(33, 5, [1, 4, 9], [1, 2, 2], 2), Manifest(33, 2, [3], [2], 0, 1, 0), Manifest(33, 2, [3], [2], 0, 2, None), Manifest(33, 2, [-3], [2])):
+        with pytest.raises(ManifestError):
+            bad.check()
     for bad in (Manifest(33, 3, [7, 3], [1, 2]), Manifest(33, 3, [1 << 33], [3]), Manifest(33, 3, [1], [2]), Manifest(33, 0, [1], [0])):
         with pytest.raises(ManifestError):
             bad.dump()
