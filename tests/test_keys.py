@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stateloom.functions import bitboard
 from stateloom.operators import keys
 
 
@@ -76,3 +77,26 @@ def test_many_rows_over_many_partitions(spark):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_previous_rows_by_border_rows(spark):
+    rows = [(k * 7919 % 100_003, k % 11, f"s{k}") for k in range(40_000)]
+    df = spark.createDataFrame(rows, "place long, key long, tag string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        found = {r["place"]: (r["prev_key"], r["prev_tag"]) for r in keys.with_previous(df, ["place"], ["key", "tag"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ordered = sorted(rows)
+    assert found[ordered[0][0]] == (None, None) and len(found) == 40_000
+    assert all(found[b[0]] == a[1:] for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+def test_shards_by_binary_search(spark):
+    rng = random.Random(8)
+    bounds = sorted({rng.randrange(-1000, 1000) for _ in range(100)})
+    rows = spark.createDataFrame([(k,) for k in range(-1100, 1100)], "k long").select("k", bitboard.shard(F.col("k"), bounds).alias("s")).collect()
+    assert all(r["s"] == sum(b <= r["k"] for b in bounds) for r in rows)
+    with pytest.raises(ValueError, match="increase"):
+        bitboard.shard(F.col("k"), [3, 3])
