@@ -601,13 +601,16 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one of each component; rows without id stay."""
-    found = similar_components(docs).where("doc_id = component_id").select("doc_id")
-    found = Scratch(docs.sparkSession, "group-join").keep(found, "kept")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = found.distinct().withColumnsRenamed({"doc_id": "__kept"}) if repeated else found.withColumnsRenamed({"doc_id": "__kept"})
-    out = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    if repeated:
-        # rows that repeat an id: equal texts are copies of each other
-        out = out.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs``, all columns, without all but one of each component: that of the smallest id; rows without id stay."""
+    scratch = Scratch(docs.sparkSession, "group-join")
+    with_id = docs.where("doc_id is not null")
+    if with_id.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+        out = docs.join(scratch.keep(found, "kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    else:
+        # an id doesn't name one row: rows are numbered in order of their ids and stand for themselves
+        ordered = with_id.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        numbered = scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        found = similar_components(numbered.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+        out = numbered.join(scratch.keep(found, "kept"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
     return out.unionByName(docs.where("doc_id is null"))

@@ -103,3 +103,20 @@ def test_links_equal_brute_force(spark, monkeypatch, longest, block):
     assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in out) == sorted((i, len(s), degree.get(s, 0)) for i, s in sets)
     assert max(degree.values()) > 8
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == sorted(brute(rows), key=str)
+
+
+def test_one_of_each_where_ids_repeat(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(7, a, 1), (7, b, 2), (3, f"{a} more", 3), (9, b, 4), (9, b, 5), (None, a, 6), (8, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    kept = group_join.one_of_each(df)
+    assert kept.columns == df.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    assert [r for r in found if r[0] in (7, 3, 9)] == [(3, f"{a} more", 3), (7, b, 2)]
+    assert sorted(r[2] for r in found if r[0] not in (7, 3, 9)) == [6, 7, 8]
+
+
+def test_one_of_each_keeps_the_smallest_id(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(5, a), (2, f"{a} x"), (4, "other words that stand alone here"), (None, a)], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in group_join.one_of_each(df).collect()) == [0, 2, 4]

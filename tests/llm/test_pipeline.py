@@ -57,7 +57,7 @@ def test_stages_take_effect(spark, folder):
 
 
 def test_registered():
-    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
