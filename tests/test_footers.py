@@ -98,7 +98,7 @@ def test_failed_writes_leave_nothing(spark, tmp_path):
     wrong = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 8, 7)], "key long").coalesce(1)
     with pytest.raises(Exception, match="increase"):
         wrong.write.format("key-files").mode("append").save(path)
-    overlapping = spark.range(1, 10, 4, 1).unionByName(spark.range(3, 4, 1, 1)).withColumnRenamed("id", "key")
+    overlapping = spark.range(1, 17, 4, 2).unionByName(spark.range(3, 4, 1, 1)).withColumnRenamed("id", "key")
     with pytest.raises(Exception, match="overlap"):
         overlapping.write.format("key-files").mode("append").save(path)
     assert os.listdir(tmp_path / "failed") == []
