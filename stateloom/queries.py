@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boards import BOARDS, Board
-from .functions import bitboard, gf2, tables
+from .functions import bitboard, gf2, tables, units
 from .functions.ranks import Ranks, with_rank, with_state
 from .operators import kernel, keys, routing
 from .plans.enumeration import Enumerator, sample_manifest
@@ -356,6 +356,16 @@ def throughput_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "least", "most")
 
 
+def unit_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type as if each were a state of eight bytes and its value milliseconds: MiB a second, bytes for a state, and the mean's change against all in percent."""
+    events = _table(spark, sf_dir, "events")
+    ms, n = F.sum("value"), F.count(F.lit(1))
+    every = events.agg(F.avg("value").alias("mean_of_all"))
+    found = events.groupBy("event_type").agg(ms.alias("ms"), n.alias("states"), F.avg("value").alias("mean")).crossJoin(every)  # one row
+    rates = units.mib_per_second(F.col("states") * 8, F.col("ms")), units.bytes_per_state(F.col("states") * 8, F.col("states")), units.percent(F.col("mean_of_all"), F.col("mean"))
+    return found.select("event_type", "states", *(F.round(c, 9).alias(name) for c, name in zip(rates, ("mib_per_s", "bytes_per_state", "percent"), strict=True)))
+
+
 def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean quantity of returned against other line items by line number, and whether their ranges overlap."""
     lines = _table(spark, sf_dir, "lineitem")
@@ -397,7 +407,7 @@ def _registered() -> tuple[dict, dict]:
         forecast_bounds, round_footer_summary, round_differences, key_files_cycle, state_rank, state_rank_cycle, state_class_closure, successors_in_sql,
         key_hash_mix64, key_prefix_shard, keys_distinct_sorted, keys_union_dedup, keys_except_both, keys_recent_antijoin, keys_ordinal_sample,
         keys_increasing_check, keys_gap_bytes, quantile_bounds_unweighted, quantile_bounds_weighted, shard_assign, shard_balance, batch_accounting,
-        summary_from_partitions, dir_name_filter, throughput_summary, pair_compare, file_size_report,
+        summary_from_partitions, dir_name_filter, throughput_summary, unit_maths, pair_compare, file_size_report,
     ):
         queries[f.__name__] = f
     queries["stream_user_totals"] = user_totals
@@ -441,6 +451,7 @@ def _registered() -> tuple[dict, dict]:
         "summary_from_partitions": f"{numbered} SELECT (o * 256) // n AS bucket, min(key) AS first_key, count(*) AS weight FROM r GROUP BY 1",
         "dir_name_filter": f"SELECT try_cast(name AS BIGINT) AS round, count(*) AS n FROM (SELECT (o_custkey % 40)::VARCHAR || {_NAME_SQL} AS name FROM orders) WHERE regexp_full_match(name, '[1-9][0-9]*') GROUP BY 1",
         "throughput_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
+        "unit_maths": "WITH a AS (SELECT avg(value) AS mean FROM events) SELECT event_type, count(*) AS states, round(count(*) * 8 / 1048576.0::DOUBLE / (sum(value) / 1000), 9) AS mib_per_s, 8.0::DOUBLE AS bytes_per_state, round((avg(value) - any_value(a.mean)) / any_value(a.mean) * 100, 9) AS percent FROM events, a GROUP BY 1",
         "pair_compare": "WITH s AS (SELECT l_linenumber, l_returnflag = 'R' AS r, avg(l_quantity) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2) SELECT coalesce(a.l_linenumber, b.l_linenumber)::BIGINT AS line, round((b.m - a.m) / a.m * 100, 6) AS percent, (greatest(a.lo, b.lo) <= least(a.hi, b.hi))::BIGINT AS overlap FROM (SELECT * FROM s WHERE r) a FULL JOIN (SELECT * FROM s WHERE NOT r) b ON a.l_linenumber = b.l_linenumber",
         "stream_user_totals": "SELECT user_id, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1",
     }
