@@ -91,10 +91,15 @@ def is_increasing(keys: DataFrame, order: str, key: str = "key") -> DataFrame:
 
 
 def gaps(keys: DataFrame, key: str = "key") -> DataFrame:
-    """(key, gap, bytes): difference to the key before and its length in groups of seven bits; the first key is its own gap."""
-    gap = F.col(key) - F.coalesce(f"prev_{key}", F.lit(0))
+    """(key, gap, bytes) of each key once: difference to the key before and its length in groups of seven bits; the first key is its own gap.
+
+    Repetitions stand next to each other once the keys are in order, so no distinct comes first.
+    """
+    before = F.col(f"prev_{key}")
+    gap = F.col(key) - F.coalesce(before, F.lit(0))
     bits = F.length(F.bin(gap))
-    return with_previous(keys, [key], [key], "gaps").select(F.col(key), gap.alias("gap"), F.ceil(bits / 7).cast("long").alias("bytes"))
+    found = with_previous(keys, [key], [key], "gaps").where(before.isNull() | (before != F.col(key)))
+    return found.select(F.col(key), gap.alias("gap"), F.ceil(bits / 7).cast("long").alias("bytes"))
 
 
 def quantile_bounds(keys: DataFrame, key: str = "key", most: int = BOUNDS) -> DataFrame:

@@ -19,7 +19,7 @@ from .functions.ranks import Ranks, with_rank, with_state
 from .operators import kernel, keys, routing
 from .plans.enumeration import Enumerator, sample_manifest
 from .sources import footers, key_files
-from .sources.files import shared_root
+from .sources.files import drop_at_end, shared_root
 from .sources.rounds import RoundStore, file_sizes
 from .streaming.trickle import user_totals
 
@@ -32,7 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder that goes when the driver ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
 
 
 def _states(spark: SparkSession, sf_dir: str, board: Board = _SMALL, extra: int = 0, where: str = "true") -> DataFrame:
@@ -306,7 +309,7 @@ def keys_increasing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys_gap_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.gaps(_keys(spark, sf_dir, "lineitem", "l_partkey").distinct())
+    return keys.gaps(_keys(spark, sf_dir, "lineitem", "l_partkey"))
 
 
 def quantile_bounds_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,20 @@ def shared_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder, made now if it isn't there, deleted when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once below ``spark.checkpoint.dir`` and return the table read back."""
+    """Write ``df`` once below ``spark.checkpoint.dir`` and return the table read back; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
