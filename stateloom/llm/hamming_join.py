@@ -20,9 +20,10 @@ sets have a Jaccard similarity of at least 0.85.
 4. There all pairs of different components are compared by their signatures,
    in cells of two blocks.  A pair in reach ties its components to a family.
 5. In a family, cells of two blocks hold whole sets, and pairs of different
-   components are verified.  One side of a cell are only classes outside of the
-   family's largest component, so a large group of copies, once joined, isn't
-   compared with itself.
+   components are verified.
+   In both steps one side of a cell are only classes outside of the largest
+   component of the form, or family, so a large group of copies, once joined,
+   isn't compared with itself.
 
 Pairs are looked at where they meet; only pairs with a hub become rows, one
 for each class and hub.
@@ -304,21 +305,25 @@ class _Join:
         dealt = dealt.select(*cell, "side", "node", "comp", value.columns[1]).repartition(*cell).sortWithinPartitions(*cell, "side", "node")
         return keep(map_arrow(dealt, _cells(decide), "node long, a long, b long"), f"{label}-joined")
 
+    def outside(self, members: DataFrame, label: str) -> DataFrame:
+        """Of (group, node, comp) those that aren't of the component with most members in their group."""
+        sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("m"))
+        largest = sizes.groupBy("group").agg(F.max(F.struct("m", "comp")).alias("largest")).select("group", F.col("largest.comp").alias("main"))
+        largest = self.scratch.keep(largest, f"{label}-largest")
+        return self.scratch.keep(members.join(_bounded(largest, 48), "group").where("comp != main").select("group", "node", "comp"), f"{label}-outside")
+
     def rest(self, entries: DataFrame) -> DataFrame:
         """(a, b): components with a link that no hub shows; entries are the forms that are open still."""
         keep = self.scratch.keep
         grouped = entries.withColumnRenamed("form", "group")
-        ties = self.in_cells(grouped, grouped, self.classes.select("node", "signature"), _in_reach, "tie")
+        ties = self.in_cells(self.outside(grouped, "tie"), grouped, self.classes.select("node", "signature"), _in_reach, "tie")
         # components that are near each other are a family; of their classes only those take part that are near another component
         families = connected(keep(ties.select("a", "b").distinct(), "family-ties"), self.scratch, "family").withColumnsRenamed({"comp": "group", "node": "own"})
         near = keep(ties.select("node", F.col("a").alias("comp")).distinct(), "near")
         members = keep(near.join(_bounded(families, 48), F.col("comp") == F.col("own")).select("group", "node", "comp"), "members")
-        sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("group").agg(F.max(F.struct("m", "comp")).alias("largest")).select("group", F.col("largest.comp").alias("main"))
-        largest = keep(largest, "largest")
-        outside = members.join(_bounded(largest, 48), "group").where("comp != main").select("group", "node", "comp")
+        outside = self.outside(members, "family")
         sets = self.sets(keep(members.select("node"), "member-nodes"), "family")
-        return self.in_cells(keep(outside, "outside"), members, sets, _linked, "family").select("a", "b")
+        return self.in_cells(outside, members, sets, _linked, "family").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
