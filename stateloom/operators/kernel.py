@@ -7,6 +7,7 @@ the same in Arrow batches and is what rounds use.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,10 @@ class Kernel:
         self.full = np.int64(board.full)
         n_bytes = -(-board.size // 8)
         self.tables = np.zeros((8, n_bytes, 256), np.int64)
+        values = np.arange(256)
         for t in range(8):
-            for k in range(n_bytes):
-                for value in range(256):
-                    self.tables[t, k, value] = board.transform((value << 8 * k) & board.full, t)
+            for source, target in enumerate(board.permutations[t]):
+                self.tables[t, source // 8] |= (values >> source % 8 & 1) << target
         self.jumps = np.array(board.jumps, np.int64)
         self.changed = np.array([[board.transform(c, t) for t in range(8)] for _, _, c in board.jumps], np.int64)
 
@@ -96,6 +97,12 @@ class Kernel:
         return (np.concatenate(out), np.concatenate(parents)) if owners else np.concatenate(out)
 
 
+@lru_cache
+def kernel_of(board: Board) -> Kernel:
+    """The board's kernel, made once in a process."""
+    return Kernel(board)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
     """First columns of batches, ``rows`` values or a little less at a time; Arrow's batches are smaller than what is worth expanding at once."""
     held, n = [], 0
@@ -113,7 +120,7 @@ def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray
 
 def expand(states: DataFrame, board: Board, rows: int = 65536) -> DataFrame:
     """(state, moves): canonical children, once for every ``rows`` states of a task, and how many jumps of these lead there."""
-    kernel = Kernel(board)
+    kernel = kernel_of(board)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parents in grouped(batches, rows):

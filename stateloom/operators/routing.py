@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..boards import Board
 from . import keys as key_ops
-from .kernel import Kernel, children, grouped
+from .kernel import children, grouped, kernel_of
+
+#: States of a block at most, and states that a merge gathers before it gives what is complete.
+BLOCK = 4096
+MERGED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,7 @@ def forecast(board: Board, keys: Sequence[int], weights: Sequence[int], ranges)
     ranges: how many there should be for a number of moves.
     """
     parents = np.array(keys, np.int64)
-    made, owner = Kernel(board).expand(parents, owners=True)
+    made, owner = kernel_of(board).expand(parents, owners=True)
     found, inverse = np.unique(made, return_inverse=True)
     mass = np.bincount(inverse, np.array(weights, float)[owner], len(found)) if len(found) else np.empty(0)
     moves = float(mass.sum())
@@ -52,44 +56,54 @@ def forecast_bounds(sample: DataFrame, board: Board, most: int = key_ops.BOUNDS)
 
 
 def expand_routed(states: DataFrame, board: Board, bounds: np.ndarray, rows: int) -> DataFrame:
-    """(state, moves, range): canonical children, once for every ``rows`` states of a task, with the range that they belong to."""
-    kernel = Kernel(board)
+    """(range, first, states, n, moves): canonical children, once for every ``rows`` states of a task, in blocks.
+
+    A block holds ascending states of one range, big enough that the shuffle
+    moves few rows and small enough that a merge holds few states; n is their
+    number, moves how many jumps lead to them.
+    """
+    kernel = kernel_of(board)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parents in grouped(batches, rows):
             unique, counts = np.unique(kernel.expand(parents), return_counts=True)
+            if not len(unique):
+                continue
             # ascending, so the boundaries are looked for among the states
-            cuts = np.searchsorted(unique, bounds, side="left")
-            place = np.repeat(np.arange(len(bounds) + 1, dtype=np.int32), np.diff(cuts, prepend=0, append=len(unique)))
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64)), pa.array(place)], names=["state", "moves", "range"])
+            starts = np.unique(np.concatenate(([0], np.searchsorted(unique, bounds, side="left"), np.arange(0, len(unique), BLOCK))))
+            starts = starts[starts < len(unique)]
+            sizes = np.diff(starts, append=len(unique))
+            data = pa.py_buffer(unique.tobytes())
+            blocks = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(unique)) * 8).astype(np.int32).tobytes()), data])
+            place = np.searchsorted(bounds, unique[starts], side="right").astype(np.int32)
+            columns = [pa.array(place), pa.array(unique[starts]), blocks, pa.array(sizes), pa.array(np.add.reduceat(counts, starts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "first", "states", "n", "moves"])
 
-    return states.select("state").mapInArrow(run, "state long, moves long, range int")
+    return states.select("state").mapInArrow(run, "range int, first long, states binary, n long, moves long")
 
 
 def in_ranges(routed: DataFrame, ranges: int) -> DataFrame:
-    """(state, moves): each state once with its moves summed, ascending in each of the partitions, one for each range.
+    """(state): each state once, ascending in each of the partitions, one for each range.
 
-    The only shuffle of states; equal states meet as neighbours of a sorted range and are merged as they pass.
+    The only shuffle of states.  In a range blocks come in order of their first
+    states; what lies below the next block's first state can't come again, so
+    a merge holds the blocks that overlap and little more.
     """
-    dealt = routed.repartitionById(ranges, "range").sortWithinPartitions("state").select("state", "moves")
+    dealt = routed.repartitionById(ranges, "range").sortWithinPartitions("first").select("first", "states")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, moves = None, 0
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            states, counts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            first = np.flatnonzero(np.concatenate(([True], states[1:] != states[:-1])))
-            sums, found = np.add.reduceat(counts, first), states[first]
-            if last is not None:
-                if found[0] == last:
-                    sums[0] += moves
-                else:
-                    found, sums = np.concatenate(([last], found)), np.concatenate(([moves], sums))
-            # the last one may go on in the next batch
-            last, moves = found[-1], sums[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:-1]), pa.array(sums[:-1])], names=["state", "moves"])
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([moves], pa.int64())], names=["state", "moves"])
-
-    return dealt.mapInArrow(run, "state long, moves long")
+            for first, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if n >= MERGED:
+                    merged = np.unique(np.concatenate(held))
+                    cut = int(np.searchsorted(merged, first, side="left"))
+                    yield pa.RecordBatch.from_arrays([pa.array(merged[:cut])], names=["state"])
+                    held, n = [merged[cut:]], len(merged) - cut
+                held.append(np.frombuffer(block.as_buffer(), np.int64))
+                n += len(held[-1])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["state"])
+
+    return dealt.mapInArrow(run, "state long")

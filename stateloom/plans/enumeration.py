@@ -104,39 +104,36 @@ class Enumerator:
         cores = self.spark.sparkContext.defaultParallelism
         expected = forecast(self.board, known.keys, known.weights, lambda moves: self.tuning.ranges(moves, cores))
         seen, merged = Observation(f"round {source + 1} routed"), Observation(f"round {source + 1} merged")
-        routed = expand_routed(states, self.board, expected.bounds, self.tuning.rows).observe(seen, F.count(F.lit(1)).alias("submitted"))
-        made = in_ranges(routed, len(expected.bounds) + 1).observe(merged, F.count(F.lit(1)).alias("unique"), F.sum("moves").alias("generated"))
+        routed = expand_routed(states, self.board, expected.bounds, self.tuning.rows).observe(seen, F.sum("n").alias("submitted"), F.sum("moves").alias("generated"))
+        made = in_ranges(routed, len(expected.bounds) + 1).observe(merged, F.count(F.lit(1)).alias("unique"))
         domain = self._domain(known)
-        ordered = made.select("state") if domain is None else in_class(made.select("state"), self.board, *domain)
+        ordered = made if domain is None else in_class(made, self.board, *domain)
         with Progress(self.spark, f"round {source + 1}", known.count, self.tuning.interval, self.tell):
             written = self.store.write_ranges(source + 1, ordered, int(expected.moves) // SAMPLE, domain is not None)
         manifest = self._manifest(source + 1, written, domain)
         # of a round without states nothing is observed
-        unique, generated = (merged.get["unique"], merged.get["generated"]) if manifest.count else (0, 0)
+        unique = merged.get["unique"] if manifest.count else 0
         if manifest.count != unique:
             raise VerificationError(f"round {source + 1}: {unique} states made, {manifest.count} written")
         if self.verify:
             check_files(written, manifest)
         self.store.publish(source + 1, manifest)
-        submitted = seen.get["submitted"] if unique else 0
-        return RoundResult(source, source + 1, known.count, int(generated), unique, submitted, states.rdd.getNumPartitions())
+        submitted, generated = (seen.get["submitted"], seen.get["generated"]) if unique else (0, 0)
+        return RoundResult(source, source + 1, known.count, generated, unique, submitted, states._jdf.rdd().getNumPartitions())
 
     def _manifest(self, number: int, written: DataFrame, domain: tuple[int, int] | None) -> Manifest:
         """From footers; by a scan where the round is small or tasks can't open the files themselves."""
-        stride = 0
-        head = [r["state"] for r in written.limit(SMALL + 1).collect()]
-        if len(head) <= SMALL:
-            stride = key_ops.ordinal_stride(len(head), SAMPLE)
-            keys = sorted(head)[::stride]
-            weights = [min(stride, len(head) - k) for k in range(0, len(head), stride)]
-        else:
-            try:
-                keys, weights = self.store.summary(number, finished=False)
-            except Exception as e:  # noqa: BLE001
-                if "Unrecognized filesystem" not in str(e) and "libhdfs" not in str(e):
-                    raise
-                found = sample_manifest(written, 63)
-                keys, weights, stride = found.keys, found.weights, found.stride
+        try:
+            keys, weights, stride = *self.store.summary(number, finished=False), 0
+        except Exception as e:  # noqa: BLE001
+            if "Unrecognized filesystem" not in str(e) and "libhdfs" not in str(e):
+                raise
+            found = sample_manifest(written, 63)
+            keys, weights, stride = found.keys, found.weights, found.stride
+        if sum(weights) <= SMALL and not stride:
+            every = sorted(r["state"] for r in written.collect())  # at most SMALL
+            stride = key_ops.ordinal_stride(len(every), SAMPLE)
+            keys, weights = every[::stride], [min(stride, len(every) - k) for k in range(0, len(every), stride)]
         if domain is not None:
             population, parity = (np.full(len(keys), d) for d in domain)
             keys = Ranks.of(self.board).unrank(population, parity, np.array(keys, np.int64)).tolist()

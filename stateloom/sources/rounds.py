@@ -17,7 +17,7 @@ from ..boards import BOARDS
 from ..functions.ranks import Ranks, with_state
 from .checksum import crc32c
 from .files import Files
-from .footers import footers, part_of, summary
+from .footers import footers, part_of
 
 _ROUND = re.compile(r"[1-9][0-9]*")
 LARGEST_ROUND = 2**31 - 1
@@ -227,9 +227,12 @@ class RoundStore:
 
     def summary(self, number: int, finished: bool = True) -> tuple[list[int], list[int]]:
         """At most SAMPLE stored numbers, ascending, and what each stands for, from the files' footers."""
-        path = self.files.at(str(number) if finished else f"{number}.in-progress")
-        rows = summary(footers(self.spark, path), SAMPLE).collect()
-        return [r["key"] for r in rows], [r["weight"] for r in rows]
+        found = footers(self.spark, self.files.at(str(number) if finished else f"{number}.in-progress"))
+        # row groups grow with a round: there are about as many as samples, and one more for each file
+        groups = sorted((r["part"], r["file"], r["row_group"], r["first"], r["rows"]) for r in found.select("part", "file", "row_group", "first", "rows").collect())
+        together = max(1, -(-len(groups) // SAMPLE))
+        starts = range(0, len(groups), together)
+        return [groups[k][3] for k in starts], [sum(g[4] for g in groups[k : k + together]) for k in starts]
 
     def publish(self, number: int, manifest: Manifest) -> None:
         """The manifest first, then the folder's rename, which makes the round visible."""

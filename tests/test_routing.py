@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stateloom.boards import BOARDS
 from stateloom.operators import keys as key_ops
+from stateloom.operators import routing
 from stateloom.operators.kernel import Kernel, children, step
 from stateloom.operators.routing import expand_routed, forecast, forecast_bounds, in_ranges, weighted_cuts
 from stateloom.plans.enumeration import Enumerator, Tuning
@@ -50,11 +51,12 @@ def test_ranges_hold_each_child_once_in_one_shuffle(spark):
     rng = random.Random(3)
     states = spark.createDataFrame([(rng.getrandbits(33),) for _ in range(2000)], "state long").repartition(5)
     bounds = np.array(sorted(rng.getrandbits(32) for _ in range(6)), np.int64)
-    merged = in_ranges(expand_routed(states, BOARD, bounds, 300), 7)
-    placed = merged.withColumn("range", F.spark_partition_id())
+    routed = expand_routed(states, BOARD, bounds, 300)
     due = {r["state"]: r["moves"] for r in step(states, BOARD).collect()}
-    rows = placed.collect()
-    assert {r["state"]: r["moves"] for r in rows} == due and len(rows) == len(due)
+    blocks = routed.collect()
+    assert sum(r["moves"] for r in blocks) == sum(due.values()) and sum(r["n"] for r in blocks) == sum(len(r["states"]) // 8 for r in blocks) >= len(due)
+    rows = in_ranges(routed, 7).withColumn("range", F.spark_partition_id()).collect()
+    assert {r["state"] for r in rows} == set(due) and len(rows) == len(due)
     assert all(np.searchsorted(bounds, r["state"], "right") == r["range"] for r in rows)
     for k in range(7):
         own = [r["state"] for r in rows if r["range"] == k]
@@ -63,13 +65,19 @@ def test_ranges_hold_each_child_once_in_one_shuffle(spark):
     assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
 
 
-def test_equal_states_over_batches(spark):
+def test_merge_of_overlapping_blocks(spark, monkeypatch):
+    monkeypatch.setattr(routing, "MERGED", 7)
+    rng = random.Random(9)
+    runs = [sorted(rng.sample(range(-200, 200), 60)) for _ in range(9)]
+    rows = [(0, run[k], np.array(run[k : k + 5], np.int64).tobytes(), 5, 5) for run in runs for k in range(0, 60, 5)]
+    rows += [(0, -500, np.array([-500, 300], np.int64).tobytes(), 2, 2)]
+    rng.shuffle(rows)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        rows = [(k, 1, 0) for k in (5, 5, 5, 5, 5, 5, 5, 7, 8, 8, 9)]
-        made = in_ranges(spark.createDataFrame(rows, "state long, moves long, range int"), 1).collect()
-        assert [tuple(r) for r in made] == [(5, 7), (7, 1), (8, 2), (9, 1)]
+        made = in_ranges(spark.createDataFrame(rows, "range int, first long, states binary, n long, moves long"), 1).collect()
+        assert [r["state"] for r in made] == sorted({k for run in runs for k in run} | {-500, 300})
+        assert in_ranges(spark.createDataFrame([], "range int, first long, states binary, n long, moves long"), 3).collect() == []
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
