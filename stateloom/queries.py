@@ -189,6 +189,14 @@ def forecast_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.forecast_bounds(sample, _SMALL)
 
 
+def forecast_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How evenly the children of all states, once each, fall into the forecast ranges."""
+    bounds = sorted(r["bound"] for r in forecast_bounds(spark, sf_dir).collect())  # at most 127
+    made = kernel.step(_states(spark, sf_dir), _SMALL)
+    found = keys.shard_counts(made, bitboard.shard(F.col("state"), bounds), len(bounds) + 1)
+    return keys.shard_balance(found).select("largest", F.round("mean", 6).alias("mean"), F.round("ratio", 6).alias("ratio"), "empty")
+
+
 def _stored(spark: SparkSession, states: DataFrame, label: str) -> RoundStore:
     """A store whose round 1 is in progress with these states, in as many ranges as there are shuffle partitions."""
     store = RoundStore(spark, _folder(spark, label))
@@ -400,6 +408,7 @@ def _registered() -> tuple[dict, dict]:
     shards = f"c AS (SELECT {case} AS shard, count(*) AS n FROM k GROUP BY 1), s AS (SELECT range AS shard, coalesce(n, 0) AS n FROM range(128) LEFT JOIN c ON c.shard = range)"
     returned = "l_returnflag = 'R'"
     cuts = "c AS (SELECT key, coalesce(sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(w) OVER () AS total, least(127, count(*) OVER () - 1) AS b FROM w), q AS (SELECT key, (SELECT count(*) FROM range(1, 128) t(i) WHERE i <= b AND run >= total * i / (b + 1)) AS q FROM c) SELECT key AS bound FROM (SELECT key, q, lag(q, 1, 0) OVER (ORDER BY key) AS p FROM q) WHERE q > p"
+    sampled = f"k AS (SELECT state AS key FROM st), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS o, count(*) OVER () AS n FROM k), sm AS (SELECT key AS state, least({stride}, n - o) AS weight FROM r WHERE o % {stride} = 0), sc AS (SELECT xor(state, chg) AS child, weight FROM sm JOIN jumps ON (state & occ) = occ AND (state & dst) = 0), w AS (SELECT {_canonical_sql('child', b)} AS key, sum(weight)::DOUBLE AS w FROM sc GROUP BY 1), {cuts}"
     queries: dict = {}
     sql: dict = {}
     for name, chosen in (("frontier_step", b), ("frontier_step_cross37", BOARDS["cross37"]), ("frontier_step_cross49", BOARDS["cross49"])):
@@ -407,7 +416,7 @@ def _registered() -> tuple[dict, dict]:
     for f in (
         state_encode_decode, state_legal_moves, state_successors, state_transforms, state_canonical, state_canonical_children, state_expand_batches,
         state_population_syndrome, state_invariant_after_jump, state_validate, frontier_growth, frontier_stats_total, frontier_terminal, round_publish_resume,
-        forecast_bounds, round_footer_summary, round_differences, key_files_cycle, state_rank, state_rank_cycle, state_class_closure, successors_in_sql,
+        forecast_bounds, forecast_balance, round_footer_summary, round_differences, key_files_cycle, state_rank, state_rank_cycle, state_class_closure, successors_in_sql,
         key_hash_mix64, key_prefix_shard, keys_distinct_sorted, keys_union_dedup, keys_except_both, keys_recent_antijoin, keys_ordinal_sample,
         keys_increasing_check, keys_gap_bytes, quantile_bounds_unweighted, quantile_bounds_weighted, shard_assign, shard_balance, batch_accounting,
         summary_from_partitions, dir_name_filter, throughput_summary, unit_maths, pair_compare, file_size_report,
@@ -429,7 +438,8 @@ def _registered() -> tuple[dict, dict]:
         "frontier_stats_total": f"{states}, c AS (SELECT bit_count(state)::BIGINT AS population, count(*) AS states FROM st GROUP BY 1) SELECT * FROM c UNION ALL SELECT -1, count(*) FROM st",
         "frontier_terminal": f"{children} SELECT state FROM st WHERE state NOT IN (SELECT state FROM ch)",
         "round_publish_resume": f"{children} SELECT 1::BIGINT AS round, count(*) AS states FROM st UNION ALL SELECT 2, count(DISTINCT {_canonical_sql('child', b)}) FROM ch",
-        "forecast_bounds": f"WITH {_state_sql(b)}, {_jumps_sql(b)}, k AS (SELECT state AS key FROM st), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS o, count(*) OVER () AS n FROM k), sm AS (SELECT key AS state, least({stride}, n - o) AS weight FROM r WHERE o % {stride} = 0), ch AS (SELECT xor(state, chg) AS child, weight FROM sm JOIN jumps ON (state & occ) = occ AND (state & dst) = 0), w AS (SELECT {_canonical_sql('child', b)} AS key, sum(weight)::DOUBLE AS w FROM ch GROUP BY 1), {cuts}",
+        "forecast_bounds": f"WITH {_state_sql(b)}, {_jumps_sql(b)}, {sampled}",
+        "forecast_balance": f"{children}, every AS (SELECT DISTINCT {_canonical_sql('child', b)} AS child FROM ch), bnd AS (WITH {sampled}), p AS (SELECT (SELECT count(*) FROM bnd WHERE bound <= child) AS shard FROM every), n AS (SELECT shard, count(*) AS n FROM p GROUP BY 1), s AS (SELECT range AS shard, coalesce(n, 0) AS n FROM range((SELECT count(*) + 1 FROM bnd)) LEFT JOIN n ON n.shard = range) SELECT max(n) AS largest, round(avg(n), 6) AS mean, round(max(n) / avg(n), 6) AS ratio, sum((n = 0)::BIGINT)::BIGINT AS empty FROM s",
         "round_footer_summary": f"{states} SELECT count(*) AS states, min(state) AS least, max(state) AS greatest, count(*) AS summary_weight, 0::BIGINT AS faults FROM st",
         "round_differences": f"WITH {_state_sql(b, where=returned, name='a')}, {_state_sql(b, where='l_linenumber % 2 = 0', name='z')} SELECT state AS key, 'left' AS side FROM a WHERE state NOT IN (SELECT state FROM z) UNION ALL SELECT state, 'right' FROM z WHERE state NOT IN (SELECT state FROM a)",
         "key_files_cycle": "SELECT DISTINCT l_orderkey AS key FROM lineitem",

@@ -164,3 +164,15 @@ def test_key_files_keep_to_width_and_pegs(spark, tmp_path):
     for wrong, message in (({"bits": 33}, "33 bits"), ({"pegs": 3}, "3 bits set")):
         with pytest.raises(Exception, match=message):
             read_key_files(spark, path, **wrong).collect()
+
+
+def test_launch_script(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = Path(__file__).resolve().parent.parent / "bin" / "stateloom"
+    env = {"PATH": "/usr/bin:/bin", "PYTHON": sys.executable}
+    wrong = subprocess.run([script, "count", "square", str(tmp_path)], env=env, capture_output=True, text=True)
+    assert wrong.returncode == 2 and "unknown board" in wrong.stdout
+    assert subprocess.run([script, "count"], env=env, capture_output=True).returncode not in (0, 1)
