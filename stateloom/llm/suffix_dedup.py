@@ -1,8 +1,8 @@
 """Removal of long repeated byte strings by distributed prefix doubling.
 
-The suffix order of a corpus is built by doubling: positions that share a
-prefix share a rank, ranks are refined with what follows at growing offsets,
-and a position leaves once its rank is unique or its prefix has reached the
+What a suffix order of a corpus tells of repeats is found by doubling: positions
+that share a prefix share a rank, ranks are refined with what follows at growing
+offsets, and a position leaves once its rank is unique or its prefix has reached the
 threshold.  Two things keep the work near the size of the input:
 
 * Ranks of the shortest prefixes are doubled inside each task (1, 2, 4 ...
@@ -12,14 +12,17 @@ threshold.  Two things keep the work near the size of the input:
   anchor).  Equal windows have equal anchors at equal offsets, so a row stands
   for a run of windows around one anchor: anchor, and least and largest offset.
 
-Spark then sorts the rows by rank.  A row whose rank is unique leaves.  Rows
-with equal bytes all over their windows are repeated and leave too (told by 128
-bits of their bytes, which alone decide what is removed).  The others are cut
-into runs of fewer windows, whose common part is longer: at first twice the
-core, in the end the threshold.  A common part is ranked by a pair, the rank of
-its first bytes and the rank at a growing offset (128 after 128 bytes, then 256
-after up to 144 bytes), so Spark sorts pairs and reranks until a row is unique,
-settled, or one window whose pair covers the threshold.
+A rank is a 64-bit hash made by doubling: equal bytes have equal ranks, and
+different ones other ranks all but surely, but ranks don't follow the bytes'
+order and aren't numbered anew.  So Spark groups rows of equal rank instead of
+sorting them.  A row whose rank is unique leaves.  Rows with equal bytes all
+over their windows are repeated and leave too (told by 128 bits of their bytes,
+which alone decide what is removed).  The others are cut into runs of fewer
+windows, whose common part is longer: at first twice the core, in the end the
+threshold.  A common part is ranked by a pair, the rank of its first bytes and
+the rank at a growing offset (128 after 128 bytes, then 256 after up to 144
+bytes), so pairs are grouped until a row is unique, settled, or one window
+whose pair covers the threshold.
 
 Defined cases: a null text is empty; texts shorter than the threshold are kept;
 windows never cross documents; rows repeated in the input count as documents
