@@ -59,8 +59,9 @@ VALUES = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: Hubs of each form of a chunk that are tried before blocks.
 HUBS = 2
-#: Classes with one hub, or of a block, that are compared in one place.
+#: Classes with one hub, or of a block, whose sets, or signatures, are compared in one place.
 CELL = 128
+SIGNED = 768
 #: Rows that a task gathers before it gives those that differ.
 HELD = 1 << 17
 
@@ -120,11 +121,14 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, node, lead, gap): lead is whether the chunk's first value is left out, gap the value that is."""
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
-            keys = forms(_matrix(part.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), VALUES))], names=["form", "node"])
+            signature = _matrix(part.column(1))
+            lead = np.tile(np.arange(VALUES) % WIDTH == 0, len(signature))
+            columns = [forms(signature).ravel(), np.repeat(part.column(0).to_numpy(), VALUES), lead, signature.ravel().astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["form", "node", "lead", "gap"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +241,16 @@ class _Join:
         self.classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def entries(self) -> DataFrame:
-        """(form, node) of the forms that several classes have."""
-        made = map_arrow(self.classes.select("node", "signature"), _entries, "form long, node long")
-        several = made.groupBy("form").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("form")
-        several = self.scratch.keep(several, "several")
-        return self.scratch.keep(made.join(_bounded(several), "form"), "entries")
+        """(form, node) of the forms that several classes have.
+
+        Classes that agree in a whole chunk have all five of its forms; the one
+        without the first value will do, so another form is needed only where
+        the values that it leaves out differ.
+        """
+        made = map_arrow(self.classes.select("node", "signature"), _entries, "form long, node long, lead boolean, gap int")
+        ends = made.groupBy("form").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("lead").alias("lead"), F.min("gap").alias("low"), F.max("gap").alias("high"))
+        several = self.scratch.keep(ends.where("first < last and (lead or low < high)").select("form"), "several")
+        return self.scratch.keep(made.select("form", "node").join(_bounded(several), "form"), "entries")
 
     def unsettled(self, entries: DataFrame, labels: DataFrame | None, least: int, label: str) -> DataFrame:
         """(form, node, comp) of the forms of ``least`` classes or more, of several components."""
@@ -288,21 +297,22 @@ class _Join:
         dealt = own.union(rest).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side", "node")
         return keep(map_arrow(dealt, _verified, "a long, b long"), f"{label}-linked")
 
-    def in_cells(self, left: DataFrame, right: DataFrame, value: DataFrame, decide, label: str) -> DataFrame:
+    def in_cells(self, left: DataFrame, right: DataFrame, value: DataFrame, decide, cell: int, label: str) -> DataFrame:
         """(node, a, b) of what ``decide`` joins of left (group, node, comp) and right of the same group, in cells of blocks of both."""
         keep = self.scratch.keep
-        sizes = [side.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name)) for side, name in ((left, "rows"), (right, "columns"))]
+        sizes = [side.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(name)) for side, name in ((left, "rows"), (right, "columns"))]
         sizes = keep(sizes[0].join(sizes[1], "group"), f"{label}-sizes")
 
         def placed(side: DataFrame, mine: str, other: str, number: int) -> DataFrame:
             own = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
             every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-            rows = side.join(_bounded(sizes, 48), "group").select("group", own.alias(mine), every.alias(other), F.lit(number).alias("side"), "node", "comp")
-            return rows.select("group", F.col("rows").alias("i"), F.col("columns").alias("j"), "side", "node", "comp")
+            rows = side.join(_bounded(sizes, 48), "group").join(value, "node")
+            rows = rows.select("group", own.alias(mine), every.alias(other), F.lit(number).alias("side"), "node", "comp", value.columns[1])
+            return rows.select("group", F.col("rows").alias("i"), F.col("columns").alias("j"), "side", "node", "comp", value.columns[1])
 
-        cell = ["group", "i", "j"]
-        dealt = placed(left, "rows", "columns", 0).union(placed(right, "columns", "rows", 1)).join(value, "node")
-        dealt = dealt.select(*cell, "side", "node", "comp", value.columns[1]).repartition(*cell).sortWithinPartitions(*cell, "side", "node")
+        key = ["group", "i", "j"]
+        dealt = placed(left, "rows", "columns", 0).union(placed(right, "columns", "rows", 1))
+        dealt = dealt.repartition(*key).sortWithinPartitions(*key, "side", "node")
         return keep(map_arrow(dealt, _cells(decide), "node long, a long, b long"), f"{label}-joined")
 
     def outside(self, members: DataFrame, label: str) -> DataFrame:
@@ -316,14 +326,14 @@ class _Join:
         """(a, b): components with a link that no hub shows; entries are the forms that are open still."""
         keep = self.scratch.keep
         grouped = entries.withColumnRenamed("form", "group")
-        ties = self.in_cells(self.outside(grouped, "tie"), grouped, self.classes.select("node", "signature"), _in_reach, "tie")
+        ties = self.in_cells(self.outside(grouped, "tie"), grouped, self.classes.select("node", "signature"), _in_reach, SIGNED, "tie")
         # components that are near each other are a family; of their classes only those take part that are near another component
         families = connected(keep(ties.select("a", "b").distinct(), "family-ties"), self.scratch, "family").withColumnsRenamed({"comp": "group", "node": "own"})
         near = keep(ties.select("node", F.col("a").alias("comp")).distinct(), "near")
         members = keep(near.join(_bounded(families, 48), F.col("comp") == F.col("own")).select("group", "node", "comp"), "members")
         outside = self.outside(members, "family")
         sets = self.sets(keep(members.select("node"), "member-nodes"), "family")
-        return self.in_cells(outside, members, sets, _linked, "family").select("a", "b")
+        return self.in_cells(outside, members, sets, _linked, CELL, "family").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

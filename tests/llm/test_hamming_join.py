@@ -62,6 +62,7 @@ def corpus(seed, families, copies, edits=(0, 0, 1, 1, 2, 3)):
 @pytest.mark.parametrize("cell", [3, 128])
 def test_equals_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(hamming_join, "CELL", cell)
+    monkeypatch.setattr(hamming_join, "SIGNED", cell)
     rows = corpus(cell, 40, 9) + [(5000 + i, r[1], None, None) for i, r in enumerate(corpus(7, 1, 300, (1, 2, 3, 4, 6)))]
     assert found(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
