@@ -1,7 +1,7 @@
 """Approximate nearest neighbours with additive quantisation.
 
-A vector is stored as the sum of one entry from each of several full-length
-codebooks and the squared norm of that sum.  The codebooks start as residual
+A vector is stored as its length and, for its direction, the sum of one entry
+from each of several full-length codebooks and the squared norm of that sum.  The codebooks start as residual
 k-means and are then refitted by least squares to the codes that beam search
 finds.  A query scores codes with lookup tables of its products with all
 entries; the best of each block of rows are ranked again by the exact measure
@@ -13,9 +13,10 @@ one block of either.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do vectors of another length than most; a query
-is never its own candidate; equal scores go to the smaller id; with fewer
-candidates than asked for all are returned; an empty table gives an empty
-result; rows repeated with the same id count once.
+is never its own candidate; equal scores go to the smaller id, scores that
+overflow to no number come last; with fewer candidates than asked for all are
+returned; an empty table gives an empty result; of rows with one id the one
+with the smallest vector counts.
 """
 
 from __future__ import annotations
@@ -127,6 +128,14 @@ def _matrix(column) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors (float32), and lengths as largest component and length in units of it: no size of component overflows."""
+    peak = np.abs(x).max(1)
+    scaled = x / peak[:, None]
+    length = np.sqrt((scaled * scaled).sum(1))
+    return (scaled / length[:, None]).astype(np.float32), peak, length
+
+
 def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
     """Every row with its codes and stored norm."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -134,7 +143,8 @@ def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                codes, norms = sent.value.encode(_matrix(batch.column(1)).astype(np.float32))
+                unit, _, _ = directions(_matrix(batch.column(1)))
+                codes, norms = sent.value.encode(unit)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["id", "vec", "codes", "norm"])
 
     return rows.mapInArrow(run, "id long, vec array<double>, codes binary, norm float")
@@ -143,8 +153,9 @@ def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in order of the components."""
     total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        total += x[:, j] * q[j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            total += x[:, j] * q[j]
     return total
 
 
@@ -156,11 +167,16 @@ def _search(model_sent, top: int, rerank: int):
             ids, x = data.column("id").to_numpy(), _matrix(data.column("vec"))
             codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             asked, q = queries.column("query_id").to_numpy(), _matrix(queries.column("query"))
+            _, peak, length = directions(x)
+            # lengths against the block's largest; what underflows ties at zero and is ranked again as a whole
+            length = peak / peak.max() * length
             for start in range(0, len(asked), 256):
                 part = q[start : start + 256]
+                towards, _, _ = directions(part)
                 scores = np.zeros((len(part), len(ids)), np.float32)
                 for j in range(len(books)):
-                    scores += (part.astype(np.float32) @ books[j].T)[:, codes[:, j]]
+                    scores += (towards @ books[j].T)[:, codes[:, j]]
+                scores = scores * length
                 n = min(rerank, len(ids))
                 # all that score as the last of the shortlist does belong to it
                 least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
@@ -179,7 +195,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = RE
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``top`` others of largest inner product."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "additive-ann")
-    rows = usable(vectors).dropDuplicates(["id"])
+    rows = usable(vectors).groupBy("id").agg(F.min("vec").alias("vec"))
     rows = scratch.keep(rows, "rows")
     total = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -189,7 +205,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = RE
     sample = rows.where(slot < int((1 << 40) * min(1.0, FIT_ROWS / total))).select("vec").limit(2 * FIT_ROWS).toArrow()
     if sample.num_rows == 0:
         sample = rows.select("vec").limit(FIT_ROWS).toArrow()
-    model = fit_codebooks(_matrix(sample.column(0)))
+    model = fit_codebooks(directions(_matrix(sample.column(0)))[0])
     index = scratch.keep(build_index(rows, model), "index")
     asked = index.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
     n_queries = asked.count()
@@ -205,5 +221,5 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = RE
     run = _search(sent, top, rerank)
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: run(a, b), "query_id long, vec_id long, score double")
     # at most `top` rows of each block and query
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from stateloom.llm.additive_ann import Codebooks, exact_scores, fit_codebooks, nearest
 
@@ -70,3 +71,25 @@ def test_many_equal_vectors(spark):
     first = sorted((i for i in vectors if i != 20), key=lambda i: (-score(vectors[i]), i))[:20]
     equal = [i for i in first if score(vectors[i]) == score(np.array(same))]
     assert [r["vec_id"] for r in found if r["score"] == score(np.array(same))] == equal
+
+
+@pytest.mark.parametrize("factor", [1e19, 1e100, 1e-30, 1e-150])
+def test_recall_with_components_of_any_size(spark, factor):
+    """Every seventh vector is scaled; overflow of scores is left to doubles, codes don't overflow."""
+    x = np.random.default_rng(11).normal(size=(3000, 8))
+    x[::7] *= factor
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    expected = {}
+    for i in range(0, 3000, 20):
+        s = exact_scores(x, x[i])
+        expected[i] = [k for k in np.lexsort((np.arange(3000), -s)) if k != i][:20]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rerank=200).collect()
+    assert len(found) == 150 * 20
+    hits = sum(r["vec_id"] in expected[r["query_id"]] for r in found)
+    assert hits / len(found) >= 0.9
+
+
+def test_of_rows_with_one_id_the_smallest_vector_counts(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [2.0, 9.0]), (1, [2.0, 5.0]), (2, [1e200, 1e200])]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(2, 1e200), (1, 2.0)]
