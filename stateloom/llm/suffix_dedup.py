@@ -24,6 +24,14 @@ the rank at a growing offset (128 after 128 bytes, then 256 after up to 144
 bytes), so pairs are grouped until a row is unique, settled, or one window
 whose pair covers the threshold.
 
+A text with a short period has an anchor each period.  Where anchors of one
+core follow each other at one distance and the bytes agree, a window equals the
+one a period before: the stretch is settled in the task, as one span, and only
+the windows of its first period stay as rows, as witnesses for other texts.
+
+A document's spans meet in one row: at most one for each anchor, so they are
+bounded by its own length.
+
 Defined cases: a null text is empty; texts shorter than the threshold are kept;
 windows never cross documents; rows repeated in the input count as documents
 of their own; an empty table gives an empty result; further columns are
@@ -78,19 +86,41 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchor_rows(texts: list[bytes], threshold: int, core: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(text number, anchor, least offset, largest offset, rank of the core, digest of all windows)."""
+def periodic_stretches(data: np.ndarray, ends: np.ndarray, piece: np.ndarray, anchor: np.ndarray, cores: np.ndarray, threshold: int, core: int) -> list[tuple[int, int, int, int]]:
+    """(piece, first window, last window, period) of stretches of windows that equal the one a period before or after."""
+    gap = np.diff(anchor)
+    linked = np.flatnonzero((np.diff(piece) == 0) & (np.diff(cores) == 0) & (gap > 0) & (gap <= threshold - core))
+    found = []
+    for chain in np.split(linked, np.flatnonzero((np.diff(linked) != 1) | (np.diff(gap[linked]) != 0)) + 1) if len(linked) else ():
+        period, first, stop = int(gap[chain[0]]), int(anchor[chain[0]]), int(anchor[chain[-1] + 1]) + core
+        if not np.array_equal(data[first + period : stop], data[first : stop - period]):
+            continue
+        # the last windows have their anchor at their start: the period goes on behind its core
+        ahead = data[stop : min(stop + threshold - core, int(ends[piece[chain[0]]]))]
+        differ = np.flatnonzero(ahead != data[stop - period : stop - period + len(ahead)])
+        last = stop + (int(differ[0]) if len(differ) else len(ahead)) - threshold
+        if last >= first + 2 * period:
+            found.append((int(piece[chain[0]]), first, last, period))
+    return found
+
+
+def anchor_rows(texts: list[bytes], threshold: int, core: int) -> Iterator[tuple[int, int, int, int, int | None, bytes]]:
+    """(text number, anchor, least offset, largest offset, rank of the core, digest of all windows).
+
+    Without a rank the row is a settled stretch of windows.
+    """
     import xxhash
 
     digest = xxhash.xxh3_128_digest
     pending: list[tuple[int, int, bytes]] = []  # text number, where the piece starts in it, piece
     size = 0
 
-    def rows() -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    def rows() -> Iterator[tuple[int, int, int, int, int | None, bytes]]:
         joined = b"".join(p[2] for p in pending)
         lengths = np.array([len(p[2]) for p in pending])
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        rank = doubled_ranks(np.frombuffer(joined, np.uint8), core)
+        data = np.frombuffer(joined, np.uint8)
+        rank = doubled_ranks(data, core)
         # the smallest rank, the first of equal ones: rank above, position below
         packed = ((rank >> np.uint64(24)) << np.uint64(23)) | np.arange(len(rank), dtype=np.uint64)
         least = sliding_minimum(packed, threshold - core + 1)
@@ -99,8 +129,21 @@ def anchor_rows(texts: list[bytes], threshold: int, core: int) -> Iterator[tuple
         first_window = np.concatenate(([0], np.cumsum(windows)[:-1]))
         at = np.arange(len(number)) - first_window[number] + starts[number]
         anchor = (least[at] & np.uint64((1 << 23) - 1)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (number[1:] != number[:-1]))))
+        change = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (number[1:] != number[:-1])))
+        new = np.flatnonzero(change)
+        stretches = periodic_stretches(data, starts + lengths, number[new], anchor[new], rank[anchor[new]].astype(np.int64), threshold, core)
+        if stretches:
+            settled = np.zeros(len(at) + 1, bool)
+            for k, first, last, period in stretches:
+                text, base, _ = pending[k]
+                yield text, base + first - int(starts[k]), first - last, 0, None, b""
+                shift = int(first_window[k] - starts[k])
+                settled[first + period + shift : last + 1 + shift] = True
+            new = np.flatnonzero(change | np.concatenate(([True], settled[1:-1] != settled[:-2])))
         low, high = at[new], at[np.concatenate((new[1:], [len(at)])) - 1]
+        if stretches:
+            wanted = ~settled[new]
+            new, low, high = new[wanted], low[wanted], high[wanted]
         piece, anchor = number[new], anchor[new]
         cores = rank[anchor].astype(np.int64)
         for k, a, lo, hi, c in zip(piece.tolist(), anchor.tolist(), low.tolist(), high.tolist(), cores.tolist(), strict=True):
@@ -220,12 +263,14 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
     schema = "doc_id long, mark long, at long, lo int, hi int, core long, whole binary"
     scratch.keep(map_arrow(keyed.where(F.octet_length("body") >= threshold), _anchors(threshold, core), schema), "anchors")
     anchors = docs.sparkSession.read.schema(schema).parquet(scratch.path("anchors"))
-    alive = scratch.keep(_shared(anchors, ["core"], scratch, "shared"), "ranked")
-    scratch.drop("anchors")
+    alive = scratch.keep(_shared(anchors.where("core is not null"), ["core"], scratch, "shared"), "ranked")
 
     def spans(rows: DataFrame) -> DataFrame:
         return rows.select(*_KEY, (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + threshold).alias("stop"))
 
+    done = [scratch.keep(spans(anchors.where("core is null")), "stretches")]
+    scratch.drop("anchors", "shared")
+
     def settle(alive: DataFrame, core: list[str], row: list[str], name: str) -> tuple[DataFrame, DataFrame]:
         """Spans of the rows that are repeated as a whole, and the rows to look at again.
 
@@ -240,7 +285,9 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
         return spans(alive.join(often, exact, "left_semi")), again
 
     found, again = settle(alive, ["core"], [*_KEY, "at"], "groups")
-    done = [found]
+    done.append(scratch.keep(found, "spans"))
+    scratch.drop("ranked")
+    last = "groups"
     # what is neither unique nor settled is looked at again, with its bytes
     wanted = again.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "lo", "hi")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"})
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
@@ -254,12 +301,16 @@ def repeated_spans(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFra
         # the first time from the texts, in one Python task
         function = ranked if run < widest else lambda batches, ranked=ranked: ranked(contexts(batches))
         scratch.keep(map_arrow(held, function, cut), f"cut{run}")
+        scratch.drop(last)
         rows = docs.sparkSession.read.schema(cut).parquet(scratch.path(f"cut{run}"))
         alive = scratch.keep(_shared(rows, pair, scratch, f"shared{run}"), f"ranked{run}")
-        scratch.drop(f"cut{run}")
+        scratch.drop(f"cut{run}", f"shared{run}")
         found, again = settle(alive, pair, [*_KEY, "at", "held"], f"groups{run}")
-        done.append(found)
+        done.append(scratch.keep(found, f"spans{run}"))
+        scratch.drop(f"ranked{run}")
+        last = f"groups{run}"
         held = again.select(*_KEY, "at", "lo", "hi", "held")
+    scratch.drop(last)
     return reduce(DataFrame.unionByName, done)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stateloom.llm.suffix_dedup import doubled_ranks, remove_repeats, sliding_minimum
+from stateloom.llm.suffix_dedup import BLOCK, anchor_rows, doubled_ranks, remove_repeats, sliding_minimum
 
 SCHEMA = "doc_id long, text string, body string, spans string"
 
@@ -80,3 +80,35 @@ def test_ranks_depend_on_the_bytes_alone():
 def test_sliding_minimum():
     values = np.random.default_rng(3).integers(0, 99, 1000).astype(np.uint64)
     assert sliding_minimum(values, 37).tolist() == [values[i : i + 37].min() for i in range(964)]
+
+
+def test_periodic_texts_equal_brute_force(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for period in (1, 2, 3, 7, 64, 128, 129, 200, 272, 273, 300):
+        unit = letters(period)
+        for length in (399, 400, 401, 400 + period, 400 + 2 * period, 399 + 3 * period, 3000):
+            rows.append((len(rows), letters(rng.randint(0, 50)) + (unit * 3000)[:length] + letters(rng.randint(0, 50)), None, None))
+        # a stretch that no other text has, one that breaks off, and one window of it
+        unit = letters(period)
+        rows.append((len(rows), (unit * 3000)[:2500] + letters(500) + (unit * 3000)[:900], None, None))
+        rows.append((len(rows), (letters(period) * 3000)[:2500], None, None))
+        unit = letters(period)
+        rows.append((len(rows), letters(30) + (unit * 3000)[:2000] + letters(30), None, None))
+        rows.append((len(rows), letters(30) + (unit * 3000)[5 : 405 + period // 2] + letters(30), None, None))
+    found = rows_of(remove_repeats(spark.createDataFrame(rows, SCHEMA), 400))
+    assert sorted(found) == sorted(brute(rows, 400))
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"lorem ipsum dolor "])
+def test_periodic_texts_have_few_rows(unit):
+    text = unit * (2 * BLOCK // len(unit))
+    rows = list(anchor_rows([text], 400, 128))
+    assert len(rows) <= 40 + 4 * (2 * len(unit))
+    # settled windows and those of rows are all there are
+    covered = np.zeros(len(text) - 399, bool)
+    for _, at, lo, hi, core, _ in rows:
+        covered[at - hi : at - lo + 1] = True
+        assert core is None or hi - lo <= 272
+    assert covered.all()
