@@ -534,14 +534,14 @@ def _in_cells(dealt: DataFrame, value: str, function, kind: str) -> DataFrame:
     return map_arrow(dealt, function, f"node {kind}, n_links long, reached {kind}")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row.
 
     class_id is the smallest id with the same set; n_links counts all links of
     its class to other classes.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "group-join")
+    scratch = scratch or Scratch(spark, "group-join")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
 
     counted = map_arrow(rows.select("body"), _counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -602,15 +602,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each component: that of the smallest id; rows without id stay."""
-    scratch = Scratch(docs.sparkSession, "group-join")
+    scratch, work = Scratch(docs.sparkSession, "one-of-each"), Scratch(docs.sparkSession, "group-join")
     with_id = docs.where("doc_id is not null")
     if with_id.groupBy("doc_id").count().where("count > 1").isEmpty():
-        found = similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+        found = similar_components(docs, work).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
         out = docs.join(scratch.keep(found, "kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
     else:
         # an id doesn't name one row: rows are numbered in order of their ids and stand for themselves
         ordered = with_id.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         numbered = scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        found = similar_components(numbered.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+        found = similar_components(numbered.select(F.col("__row").alias("doc_id"), "text"), work).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
         out = numbered.join(scratch.keep(found, "kept"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    # what is left of the join is a table of ids
+    work.close()
     return out.unionByName(docs.where("doc_id is null"))

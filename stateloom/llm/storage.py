@@ -53,11 +53,16 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(at, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Delete the folder with all that is left in it."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _owner: list[str] = [""]
