@@ -3,19 +3,23 @@
 A page is read as a flat sequence of text blocks.  Each block has a word count
 and a link density, and so have its neighbours; with what kind of element
 holds the block these are the features of a decision tree, which is trained
-here on the small labelled table below.  Its first levels ask for word counts
-and link densities alone, the ones below them for the elements too.  The blocks
-that it takes for article text are joined in page order.
+here on the small labelled table below: whole pages, block by block, each with
+and without elements that tell article and boilerplate.  The blocks that it
+takes for article text are joined in page order.
 
 Defined cases: a null or empty html gives the empty text; markup without
 article text gives the empty text; an element that only its attributes or a
 form make boilerplate is none if it holds nearly all words of the page, few of
-them links, and no article text stands outside of it; class words after no-,
-has-, with- and the like say nothing of the element; character references are decoded; white
-space inside a block becomes one space; a block of any length is kept whole;
+them links, and no article text stands outside of it, but comments, notices and
+adverts always are; class words after no-, has-, with- and the like, class words
+that are part of a longer name, and ids of headings say nothing of the element;
+character references are decoded; white space is ASCII's (a no-break space is
+text); white space inside a block becomes one space; a block of any length is kept whole;
 unclosed and stray tags end blocks as closed ones do; elements whose end tag
-may be left out end where the next one or their parent does; of a header inside
-an article the headings stay; lists of links are menus, inside an article too.
+may be left out end where the next one or their parent does; a tag with a quote
+that nothing closes ends at its first ``>``; of a header inside an article the
+headings stay; lists of links of a few words are menus, inside an article too,
+lists of longer ones are references and stay.
 """
 
 from __future__ import annotations
@@ -51,20 +55,23 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WEAK = frozenset("form fieldset".split())
 #: Share of the page's words, largest density of links, and words of article text outside that make a weak element hold it.
 WEAK_SHARE, WEAK_DENSITY, WEAK_OUTSIDE = 0.8, 0.3, 10
-#: Words in class, id and role attributes of elements that hold no article text.
-BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|foot|sidebar|side|aside|widget|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|disqus|replies|reply|reader|tags|pagination|pager|skip|toolbar|copyright|legal|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class, id and role attributes.  A token names what no article
+#: stands in if its parts between hyphens and underscores are words of these two
+#: lines and of PLACES only: elements of the first hold no article at all.
+NEVER_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login comment comments commentlist respond disqus replies reply reader dialog".split())
+BOILER_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer foot sidebar side aside widget widgets form search share sharing social related recommend recommended recommendations tags pagination pager skip toolbar copyright legal complementary contentinfo".split())
+PLACES = frozenset("site page main primary secondary global top bottom left right inner outer wrap wrapper container box bar block list item items link links area section panel row column button buttons icon icons title post posts entry article articles story stories message thread form global desktop mobile 1 2 3".split())
 #: Words of elements that hold an article's title if they stand inside the article.
-TITLE_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+TITLE_WORDS = frozenset(("header", "masthead"))
 ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|article-?body|post-?content)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>|</?[a-zA-Z][^<>]*\Z", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Class words that tell what an element has or lacks, not what it is.
 _TOLD = re.compile(r"(?<!\S)(?:no|not|has|with|without|hide|show)[-_]\S*", re.I)
+_PART = re.compile(r"[-_]+")
+_NAMES = NEVER_WORDS | BOILER_WORDS | PLACES
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -88,14 +95,19 @@ def _kind(name: str, attributes: str, inside: bool = False) -> str:
     if name in WEAK:
         return "w"
     if attributes and "=" in attributes:
-        value = " ".join(x for m in _ATTRIBUTE.finditer(attributes) for x in m.groups() if x)
+        # a heading's id is what links to it name, not what it is
+        value = " ".join(x for m in _ATTRIBUTE.finditer(attributes) if name not in HEADINGS or m[1].lower() != "id" for x in m.groups()[1:] if x)
         if value and name not in ("html", "body"):
-            value = _TOLD.sub(" ", value)
-            if BOILER_WORDS.search(value):
-                if inside and TITLE_WORDS.search(value):
+            tokens = [t for t in (frozenset(_PART.split(t)) - {""} for t in _TOLD.sub(" ", value).lower().split()) if t]
+            named = [t for t in tokens if t <= _NAMES and not t <= PLACES]
+            if any(t & NEVER_WORDS for t in named):
+                return "b"
+            article = name in ARTICLE or any(ARTICLE_WORDS.search(" ".join(t)) for t in tokens if t not in named)
+            if named:
+                if inside and any(t & TITLE_WORDS for t in named):
                     return "h"
-                return "wa" if name in ARTICLE or ARTICLE_WORDS.search(value) else "w"
-            if ARTICLE_WORDS.search(value):
+                return "wa" if article else "w"
+            if article:
                 return "a"
     return "a" if name in ARTICLE else ""
 
@@ -238,53 +250,80 @@ def blocks(page: str) -> list[Block]:
 FLOW = ("words", "density", "words_before", "density_before", "words_after", "density_after")
 FEATURES = (*FLOW, "boiler", "article", "page_has_article", "heading", "in_list")
 
-#: Labelled blocks of pages that don't tell by elements what is text: the flow
-#: features, heading, in_list, then 1 for article text.
+#: Labelled pages.  A block is its place, words, words in links, and what it is:
+#: h a heading, l a list item.  Places: a article text, m a menu inside the
+#: article's element, n anything else.
 LABELLED = (
-    (60, 0.0, 45, 0.0, 80, 0.0, 0, 0, 1), (35, 0.1, 3, 1.0, 40, 0.0, 0, 0, 1), (20, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1), (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1),
-    (9, 0.0, 2, 1.0, 50, 0.0, 1, 0, 1), (14, 0.0, 20, 0.0, 24, 0.0, 0, 0, 1), (16, 0.2, 60, 0.0, 60, 0.0, 0, 0, 1), (22, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1),
-    (4, 0.0, 25, 0.0, 30, 0.0, 1, 0, 1), (50, 0.0, 40, 0.0, 5, 0.0, 0, 0, 1), (80, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (35, 0.05, 6, 0.0, 10, 0.5, 0, 0, 1),
-    (45, 0.0, 0, 0.0, 8, 0.0, 0, 0, 1), (28, 0.1, 9, 0.2, 3, 1.0, 0, 0, 1), (120, 0.2, 20, 0.0, 12, 0.0, 0, 0, 1), (60, 0.9, 10, 0.5, 8, 1.0, 0, 0, 0),
-    (40, 0.8, 5, 1.0, 30, 0.9, 0, 0, 0), (25, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0), (18, 0.7, 12, 0.0, 40, 0.0, 0, 1, 0), (90, 0.75, 3, 1.0, 3, 1.0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (3, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0), (12, 0.8, 8, 1.0, 9, 1.0, 0, 0, 0), (30, 0.7, 5, 0.9, 6, 1.0, 0, 0, 0),
-    (2, 0.0, 2, 0.8, 1, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.9, 0, 0, 0), (3, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (5, 0.5, 60, 0.0, 3, 1.0, 0, 0, 0),
-    (6, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0), (2, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0), (7, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
-    # long blocks among link lists
-    (300, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (150, 0.1, 30, 0.9, 3, 1.0, 0, 0, 1),
+    # news with a menu before and a footer behind
+    "n1/1l n1/1l n2/2l n1/1l n9/0 a9/0h a60/0 a45/0 a80/0 a35/4 a3/0 a20/0 a6/0 n2/2 n7/1",
+    # a blog entry with lists of items and of links inside
+    "n3/0 n2/2l n2/2l a5/0h a120/9 a30/0 a4/0h a8/0l a12/0l a3/0l a1/0l a50/0 a6/6 a70/2 m1/1l m2/2l m3/3l m2/2l n1/1l n2/2l n12/1",
+    # an entry with references: links as long as titles
+    "n1/1l n1/1l n1/1l a7/0h a90/6 a200/0 a2/0h a9/9l a14/14l a11/11l a6/6l a25/25l a40/0 n4/4 n3/3 n5/2",
+    # a guide with tags first and sharing behind
+    "n6/0 n4/4 a6/0h m1/1l m1/1l m2/2l a25/0 a22/0 a2/0h a18/0 a15/1 a2/0h a300/12 m1/1l m3/3l n30/24 n40/35 n25/22",
+    # short paragraphs, talk and verse
+    "n2/2l n1/1l n3/3l n1/1l a4/0h a14/0 a16/3 a9/0 a6/0 a2/0 a11/0 a1/0 a7/0 a20/0 n3/3 n1/1 n2/2",
+    # a long text without paragraphs, alone
+    "a900/20",
+    "n1/1l n1/1l n2/2l a5000/0 n1/1l n2/2l n8/0",
+    # an overview: links with their teasers, no article
+    "n1/1l n2/2l n1/1l n8/8 n12/12 n9/9 n18/12 n10/10 n6/6 n25/22 n60/54 n90/70 n40/34 n1/1 n3/2",
+    "n3/3l n6/6l n60/60l n6/6l n1/1l n90/90l n3/0 n6/6 n60/55 n1/1 n4/0 n2/2",
+    # a shop's or a portal's front: single words and short lines
+    "n1/0 n2/0 n3/0 n2/2 n4/0 n3/0 n1/1 n6/0 n3/3 n5/2 n4/0 n2/0",
+    # links of all lengths inside a text
+    "n5/5 a8/0h a28/3 a1/1 a35/1 a3/3 a60/2 a12/12 a4/4 a3/3 a45/0 a10/9 a16/3 a30/3 n3/3 n2/2 n9/9",
 )
 
-#: What the elements around a block say of it: boiler, article, page_has_article,
-#: then 1 for article text, 0 for none, None if the block's flow decides.
-ELEMENTS = ((1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 1, 0), (0, 1, 1, 1), (0, 0, 1, 0), (0, 0, 0, None))
 
-
-def labelled_rows() -> np.ndarray:
-    """Each labelled block in each surrounding; a list of links inside an article is a menu all the same."""
+def _page(line: str) -> list[tuple[str, tuple[int, float], bool, bool]]:
+    """Place, words and density, heading, in_list of each block of a labelled page."""
     out = []
-    # blocks of links, alone, in lists and beside others, tell of no article by themselves
-    linked = itertools.product((1, 6, 60), (0.5, 1.0), (0, 6, 90), (0.0, 1.0), (0, 6, 90), (0.0, 1.0), (0,), (0, 1), (0,))
-    for *flow, heading, in_list, text in (*LABELLED, *linked):
-        menu = in_list and flow[1] >= 0.9 and max(flow[3], flow[5]) >= 0.9
-        for *elements, says in ELEMENTS:
-            out.append((*flow, *elements, heading, in_list, text if says is None else says and not menu))
-    return np.array(out, dtype=float)
+    for block in line.split():
+        words, links = (int(x) for x in block[1:].rstrip("hl").split("/"))
+        out.append((block[0], (words, links / words), block.endswith("h"), block.endswith("l")))
+    return out
 
 
-#: Levels of the tree that ask for word counts and link densities only.
-LEADING = 2
+#: Sizes in which labelled pages come whose elements tell what their blocks are.
+SIZES = (0.02, 0.1, 0.4, 1, 3, 20, 400, 20_000)
 
 
-def fit_tree(rows: np.ndarray, depth: int = 12, least: int = 1, leading: int = 0):
-    """A binary decision tree by Gini impurity: (feature, threshold, low, high) or the label of a leaf.
+def labelled_rows() -> np.ndarray:
+    """The features and labels of all blocks of the labelled pages.
 
-    Its first ``leading`` levels split by the features of FLOW.
+    Each page comes with elements that tell the article and the rest, the
+    article only, the rest only, and neither; what is told to be no article may
+    stand inside of one, and may be a heading.  Where elements tell what a block
+    is, its words may be more or fewer by any factor, unless most are links.
     """
+    rows = []
+    for line in LABELLED:
+        page = _page(line)
+        for tells_article, tells_rest, inside in ((True, True, False), (True, True, True), (True, False, False), (False, True, False), (False, False, False)):
+            has_article = tells_article and any(place == "a" for place, *_ in page)
+            told = [has_article or tells_rest and place == "n" for place, *_ in page]
+            # of a size, and beside blocks of another
+            for own, other in itertools.product(SIZES, (1, 0.02, 400)) if any(told) else ((1, 1),):
+                sized = [[(max(1, round(w * f)), d) if t and d < 0.5 else (w, d) for (_, (w, d), _, _), t in zip(page, told, strict=True)] for f in (own, other)]
+                beside = [(0, 0.0), *sized[1], (0, 0.0)]
+                for i, (place, _, heading, in_list) in enumerate(page):
+                    boiler, article = tells_rest and place == "n", tells_article and place != "n" or inside
+                    if told[i] or (own, other) == (1, 1):
+                        for h in {heading, heading or told[i] and place == "n"}:
+                            rows.append((*sized[0][i], *beside[i], *beside[i + 2], boiler, article, has_article, h, in_list, place == "a"))
+    return np.unique(np.array(rows, dtype=float), axis=0)
+
+
+def fit_tree(rows: np.ndarray, depth: int = 12, least: int = 1):
+    """A binary decision tree by Gini impurity: (feature, threshold, low, high) or the label of a leaf."""
     x, y = rows[:, :-1], rows[:, -1]
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0) or len(y) <= least:
         return int(share >= 0.5)
     best = None
-    for f in range(len(FLOW) if leading > 0 else x.shape[1]):
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for low, high in zip(values[:-1], values[1:], strict=True):
             mask = x[:, f] <= low
@@ -296,12 +335,12 @@ def fit_tree(rows: np.ndarray, depth: int = 12, least: int = 1, leading: int = 0
         return int(share >= 0.5)
     _, f, threshold = best
     mask = x[:, f] <= threshold
-    return f, threshold, fit_tree(rows[mask], depth - 1, least, leading - 1), fit_tree(rows[~mask], depth - 1, least, leading - 1)
+    return f, threshold, fit_tree(rows[mask], depth - 1, least), fit_tree(rows[~mask], depth - 1, least)
 
 
 @lru_cache(maxsize=1)
 def default_tree():
-    return fit_tree(labelled_rows(), leading=LEADING)
+    return fit_tree(labelled_rows())
 
 
 def classify(tree, row: tuple) -> int:
