@@ -75,3 +75,33 @@ def test_groups_of_any_size_give_the_same_moves(spark, rows):
     df = spark.createDataFrame([(s,) for s in states], "state long").repartition(3)
     found = kernel.expand(df, b, rows).groupBy("state").agg(F.sum("moves").alias("moves")).collect()
     assert {r["state"]: r["moves"] for r in found} == expected
+
+
+@pytest.mark.parametrize("bits", [1, 5, 13, 14, 33, 37, 49, 63])
+def test_mixed_states_come_back_from_their_blocks(bits):
+    rng = random.Random(bits)
+    states = np.array(sorted({rng.getrandbits(bits) for _ in range(3000)} | {0, (1 << bits) - 1}), np.int64)
+    mixing = kernel.Mixing(bits)
+    mixed = mixing.mix(states)
+    assert len(np.unique(mixed)) == len(states) and mixing.unmix(mixed).tolist() == states.tolist()
+    twice = np.sort(np.concatenate((mixed, mixed[::3])))
+    rows = kernel.packed(twice, mixing).to_pylist()
+    assert [r["cell"] for r in rows] == sorted({int(c) for c in mixing.cells(mixed)})
+    assert np.concatenate([kernel.unpacked(r["cell"], {r["width"]: [r["steps"]]}, mixing) for r in rows]).tolist() == twice.tolist()
+
+
+def test_cells_of_neighbouring_states_are_even():
+    for shift in (0, 3, 15):
+        found = np.bincount(kernel.Mixing(33).cells(kernel.Mixing(33).mix(np.arange(1 << 18) << shift)), minlength=8192)
+        assert found.max() < 5 * found.mean()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1 << 18])
+def test_a_step_builds_no_hash_table(spark, rows):
+    b = BOARDS["cross33"]
+    states = sample(b, 6)
+    df = spark.createDataFrame([(s,) for s in [*states, *states[:9], None]], "state long").repartition(3)
+    made = kernel.step(kernel.distinct(df, b.size, rows), b, rows)
+    assert {r["state"]: r["moves"] for r in made.collect()} == Counter(b.canonical(c) for s in states for c in b.successors(s))
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["state"] for r in kernel.distinct(df, b.size, rows).collect()) == states
