@@ -2,7 +2,9 @@ import io
 import json
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stateloom.boards import BOARDS
 from stateloom.cli import UsageError, parse, run, stats_table
@@ -176,3 +178,17 @@ def test_launch_script(tmp_path):
     wrong = subprocess.run([script, "count", "square", str(tmp_path)], env=env, capture_output=True, text=True)
     assert wrong.returncode == 2 and "unknown board" in wrong.stdout
     assert subprocess.run([script, "count"], env=env, capture_output=True).returncode not in (0, 1)
+
+
+def test_check_of_order_takes_no_names_along(spark, tmp_path):
+    from stateloom.sources import rounds
+
+    store = RoundStore(spark, f"file://{tmp_path}/names")
+    written = store.write(1, spark.range(30_000).select(F.col("id").alias("state")), 5)
+    assert rounds._placed(written).dtypes == [("state", "bigint"), ("file", "bigint"), ("place", "bigint")]
+    assert order_faults(written) == (30_000, 0)
+    # files whose order is wrong though each is in order itself: the second holds what lies below the first
+    turned = store.write_ranges(2, spark.range(0, 2000, 1, 2).select(((F.col("id") + 1000) % 2000).alias("state")))
+    assert order_faults(turned) == (2000, 1)
+    assert rounds._runs(np.array([7, 7, 7, -1, -1, 7]), np.array([0, 1, 5, 6, 7, 8])) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    assert rounds._runs(np.array([], np.int64), np.array([], np.int64)) == []
