@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that stand elsewhere too are cut out."""
+    """Strings of 400 bytes or more, and passages of over 50 words, that stand elsewhere too are cut out."""
     return suffix_dedup.without_repeats(docs)
 
 

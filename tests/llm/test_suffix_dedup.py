@@ -1,11 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from stateloom.llm.suffix_dedup import BLOCK, anchor_rows, doubled_ranks, remove_repeats, sliding_minimum
+from stateloom.llm.suffix_dedup import BLOCK, anchor_rows, doubled_ranks, remove_repeats, sliding_minimum, without_repeats
 
 SCHEMA = "doc_id long, text string, body string, spans string"
 
@@ -112,3 +113,41 @@ def test_periodic_texts_have_few_rows(unit):
         covered[at - hi : at - lo + 1] = True
         assert core is None or hi - lo <= 272
     assert covered.all()
+
+
+def plain_words(rows, words, threshold=400):
+    """Texts without the bytes of repeated strings of ``threshold`` bytes and of repeated passages of ``words`` words."""
+    data = {i: (t or "").encode() for i, t in rows}
+    at = {i: [m.span() for m in re.finditer(rb"[^ \t-\r]+", d)] for i, d in data.items()}
+    grams = {i: [tuple(data[i][a:b] for a, b in s[k : k + words]) for k in range(len(s) - words + 1)] for i, s in at.items()}
+    seen = Counter(g for found in grams.values() for g in found)
+    strings = Counter(d[k : k + threshold] for d in data.values() for k in range(len(d) - threshold + 1))
+    out = {}
+    for i, d in data.items():
+        gone = bytearray(len(d))
+        for k, g in enumerate(grams[i]):
+            if seen[g] > 1:
+                a, b = at[i][k][0], at[i][k + words - 1][1]
+                gone[a:b] = b"1" * (b - a)
+        for k in range(len(d) - threshold + 1):
+            if strings[d[k : k + threshold]] > 1:
+                gone[k : k + threshold] = b"1" * threshold
+        out[i] = bytes(b for b, g in zip(d, gone, strict=True) if not g).decode(errors="ignore")
+    return out
+
+
+def test_passages_of_over_50_words(spark):
+    """They go from every text, under 400 bytes too; 50 words stay, and white space between the words doesn't count."""
+    rng = random.Random(51)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short, longer, fifty, wide = prose(51), prose(57), prose(50), " ".join("é" * rng.randint(9, 12) + word() for _ in range(30))
+    assert len(short.encode()) < 400 and len(longer.encode()) < 400 and len(wide.encode()) > 400
+    rows = [(1, f"{prose(20)} {short} {prose(9)}"), (2, f"{short}\n{prose(30)}"), (3, f"{prose(5)} {longer}"), (4, f"{longer.replace(' ', '  ')} {prose(70)} {fifty}")]
+    rows += [(5, f"x {fifty} y"), (6, f"{prose(3)} {wide}"), (7, f"{wide} {prose(60)}"), (8, "the " * 90), (9, f"{prose(4)} {short} {longer} {prose(4)} {short}"), (10, None), (11, prose(51)), (12, "a " * 51)]
+    rows += [(20 + k, " ".join(longer.split()[k % 7 :]) + " " + prose(k)) for k in range(20)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in without_repeats(docs).collect()}
+    assert found == plain_words(rows, 51)
+    assert short not in "".join(found.values()) and longer not in "".join(found.values())
+    assert fifty in found[4] and fifty in found[5] and found[11] == dict(rows)[11]
