@@ -49,6 +49,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)

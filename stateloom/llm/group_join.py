@@ -6,20 +6,22 @@ in an order common to all (frequent shingles last, else by hash).
 
 1. Documents with the same prefix and set size are one group, documents with
    the same set one class of it.
-2. Groups are listed under the shingles of their prefixes.  An entry stays only
-   if another group under its shingle is near enough in size for what both can
-   still have in common from that place on.  Entries of one shingle and of like
-   size tie their groups together; groups tied to each other, directly or
-   through others, are a family.  Ties go to one group of each list, so their
-   number is that of the entries and not of the pairs.
+2. Groups are listed under the shingles of their prefixes.  The pairs of a short
+   list are rows, at most SHORT / 2 for each entry; a pair ties its groups if
+   what it has in common in such lists, and what the rest of both can add, reach
+   the similarity.  An entry of a long list stays only if another group under
+   its shingle is near enough in size for what both can still have in common
+   from that place on; entries of one shingle and of like size tie their groups
+   to one of them.  So the number of ties is that of the entries.  Groups tied
+   to each other, directly or through others, are a family.
 3. A family is one cell, or where it is large a cell for each pair of its
    blocks.  First a cell holds prefixes and filters group pairs: those that
    can't reach the similarity by what both prefixes show go.  What is left ties
    groups to smaller families.
 4. These are expanded to the classes in their groups.  Now a cell holds whole
    sets, verifies all pairs, and returns for each class the number of its links
-   and one class of its component.  So pairs are looked at where they meet and
-   never become rows.
+   and one class of its component.  So the pairs of large groups are looked at
+   where they meet and never become rows.
 
 Every link between different sets is found and counted: two linked sets are in
 one family in both steps, and each pair of blocks of a family is a cell.
@@ -47,11 +49,15 @@ from .storage import Scratch, map_arrow, text_or_empty
 
 WORDS = 5
 PERCENT = 80
-#: Share of the hash range whose shingles are counted to find the frequent ones.
+#: Share of the hash range whose shingles are counted to find the frequent ones, and the standard deviations by which
+#: what is counted of a set reaches beyond the length of its prefix (a common line of short texts would be missed else).
 COUNTED = 0.25
+MARGIN = 6
 #: Shingles of at least so many documents come last in the order, or of more where those are too many to broadcast.
 FREQUENT = 8
 FREQUENT_ROWS = 1_000_000
+#: The pairs of lists of at most so many groups become rows; of longer ones all groups of like size are tied.
+SHORT = 16
 #: Classes, and hashes, in a block of a family.
 BLOCK = 512
 BLOCK_HASHES = 1 << 20
@@ -156,12 +162,17 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
+def _length(n: int) -> int:
+    """Shingles in the prefix of a set of ``n``."""
+    return n - -(-n * PERCENT // 100) + 1 if n else 0
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bound = np.uint64(int(COUNTED * 2**64))
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             sets = shingle_sets([t.encode() for t in batch.slice(start, 2048).column(0).to_pylist()])
-            low = [s[: np.searchsorted(s, bound)] for s in sets]
+            low = [s[: max(np.searchsorted(s, bound), _length(len(s)) + int(MARGIN * (len(s) * PERCENT * (100 - PERCENT)) ** 0.5 / 100))] for s in sets]
             found, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(found)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
@@ -179,7 +190,7 @@ def _described(frequent):
                 sizes, digests, groups, prefixes = [], [], [], []
                 for s in shingle_sets([t.encode() for t in part.column(1).to_pylist()]):
                     n = len(s)
-                    length = n - -(-n * PERCENT // 100) + 1 if n else 0
+                    length = _length(n)
                     prefix = s[:0]
                     if n:
                         # the order common to all: frequent ones last, else by hash
@@ -413,7 +424,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sifted(bits):
-    """(shingle, grp, n, far) of the places of prefixes whose shingle may be in several prefixes."""
+    """(shingle, grp, n, place, last) of the places of prefixes whose shingle may be in several prefixes.
+
+    ``last`` is the end of the prefix, as a number that compares like the order of shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
@@ -426,9 +440,8 @@ def _sifted(bits):
             kept = np.flatnonzero(held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             row = np.searchsorted(offsets, kept, "right") - 1
             n = batch.column(1).to_numpy()[row]
-            # from this place on, partners of up to ``far`` shingles can have enough in common
-            far = (100 * n - (100 + PERCENT) * (kept - offsets[row])) // PERCENT
-            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), batch.column(0).take(pa.array(row)), pa.array(n), pa.array(far)], names=["shingle", "grp", "n", "far"])
+            last = values[offsets[row + 1] - 1] ^ np.int64(-(1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), batch.column(0).take(pa.array(row)), pa.array(n), pa.array((kept - offsets[row]).astype(np.int64)), pa.array(last)], names=["shingle", "grp", "n", "place", "last"])
 
     return run
 
@@ -481,7 +494,7 @@ def _most_frequent(counts: DataFrame) -> np.ndarray:
 def _ties(leaders: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: groups tied by the entries of their prefixes; ``leaders`` has grp, n, prefix of each group."""
     joint = leaders.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
-    joint = scratch.keep(joint.where("k > 1").select("shingle"), "joint")
+    joint = scratch.keep(joint.where("k > 1"), "joint")
     # a bit for each slot of such a shingle, of fixed size; where it is full, more rows go on to the join
     slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
     maps = joint.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
@@ -489,20 +502,51 @@ def _ties(leaders: DataFrame, scratch: Scratch) -> DataFrame:
     for r in maps:
         held[r["k"] << 12 : (r["k"] + 1) << 12] = r["bits"]
     bits = scratch.spark.sparkContext.broadcast(bytes(held))
-    entries = map_arrow(leaders, _sifted(bits), "shingle long, grp long, n long, far long")
-    entries = scratch.keep(entries.join(_bounded(joint, 32), "shingle", "left_semi"), "entries")
-    reach = scratch.keep(entries.groupBy("shingle").agg(F.min("n").alias("least"), F.max("far").alias("reach")), "reach")
+    entries = map_arrow(leaders, _sifted(bits), "shingle long, grp long, n long, place long, last long")
+    entries = scratch.keep(entries.join(_bounded(joint, 48), "shingle"), "entries")
+    scratch.drop("joint")
+    ties = scratch.keep(_short_ties(entries, scratch).union(_long_ties(entries.where(F.col("k") > SHORT), scratch)).distinct(), "ties")
+    scratch.drop("entries", "many", "lists", "hubs")
+    return ties
+
+
+def _short_ties(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of short lists that can reach the similarity by what both have in common in all short lists.
+
+    Of a pair's long lists at most as many are common as the one in fewer of them
+    has.  Up to where the shorter-reaching prefix ends both are known whole, so
+    beyond it the rest of that set is common at most, and of the other what
+    follows the last common place.
+    """
+    many = scratch.keep(entries.where(F.col("k") > SHORT).groupBy("grp").agg(F.count(F.lit(1)).alias("held")), "many")
+    short = entries.where(F.col("k") <= SHORT)
+    sides = [short.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("grp", "n", "place", "last"))) for side in "ab"]
+    near = f"grp_a < grp_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+    pairs = sides[0].join(sides[1], "shingle").where(near)
+    pairs = pairs.groupBy(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "place_a", "place_b", "last_a", "last_b"))
+    )
+    for side in "ab":
+        pairs = pairs.join(_bounded(many, 48).select(F.col("grp").alias(side), F.col("held").alias(f"held_{side}")), side, "left")
+    # what a prefix leaves of its set of n
+    rest = "((" + f"{PERCENT} * {{0}} + 99) div 100 - 1)"
+    beyond = f"least(n_a - place_a - 1, n_b - place_b - 1, if(last_a <= last_b, {rest.format('n_a')}, {rest.format('n_b')}))"
+    most = F.expr(f"common + least(coalesce(held_a, 0), coalesce(held_b, 0)) + {beyond}")
+    return pairs.withColumn("most", most).where(f"100 * most >= {PERCENT} * (n_a + n_b - most)").select("a", "b")
+
+
+def _long_ties(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: groups of one list and of like size, tied to one of them, and those to each other."""
+    # from its place on, partners of up to ``far`` shingles can have enough in common
+    entries = entries.select("shingle", "grp", "n", F.expr(f"(100 * n - {100 + PERCENT} * place) div {PERCENT}").alias("far"))
+    reach = entries.groupBy("shingle").agg(F.min("n").alias("least"), F.max("far").alias("reach"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
-    lists = entries.join(_bounded(reach, 64), "shingle").where("far >= n or (reach >= n and least <= far)").select("shingle", band.alias("band"), "grp")
+    lists = entries.join(reach, "shingle").where("far >= n or (reach >= n and least <= far)").select("shingle", band.alias("band"), "grp")
     lists = scratch.keep(lists, "lists")
-    scratch.drop("joint", "entries", "reach")
     hubs = scratch.keep(lists.groupBy("shingle", "band").agg(F.min("grp").alias("hub")), "hubs")
     ties = lists.join(_bounded(hubs, 64), ["shingle", "band"]).select(F.col("grp").alias("a"), F.col("hub").alias("b"))
     above = hubs.select("shingle", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
-    ties = ties.union(hubs.join(above, ["shingle", "band"]).select(F.col("hub").alias("a"), "b"))
-    ties = scratch.keep(ties.where("a != b").distinct(), "ties")
-    scratch.drop("lists", "hubs")
-    return ties
+    return ties.union(hubs.join(above, ["shingle", "band"]).select(F.col("hub").alias("a"), "b")).where("a != b")
 
 
 def _placed(members: DataFrame, weight: str, scratch: Scratch, label: str) -> DataFrame:
@@ -550,10 +594,11 @@ def similar_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch.drop("often")
     described = scratch.keep(map_arrow(rows, _described(frequent), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "described")
     taking_part = described.where("n > 0 and doc_id is not null")
-    # one row of each group stands for it
+    # one row of each group stands for it; the other rows are few, so prefixes needn't be shuffled to tell them
     heads = scratch.keep(taking_part.groupBy("grp").agg(F.min("doc_id").alias("doc")), "heads")
-    led = F.broadcast(heads) if heads.count() <= BROADCAST_KEYS else heads
-    leaders = taking_part.join(led.withColumnRenamed("grp", "g"), (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("doc"))).select("grp", "n", "prefix", "doc")
+    others = taking_part.select("grp", "doc_id").join(heads, "grp").where("doc_id != doc").select(F.col("grp").alias("g"), F.col("doc_id").alias("other")).distinct()
+    others = scratch.keep(others, "others")
+    leaders = taking_part.join(_bounded(others, 32), (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("other")), "left_anti").select("grp", "n", "prefix", F.col("doc_id").alias("doc"))
     numbered = not heads.groupBy("doc").count().where("count > 1").isEmpty() or not taking_part.groupBy("doc_id").count().where("count > 1").isEmpty()
     if numbered:
         leaders = leaders.dropDuplicates(["grp"])  # rows that repeat an id
@@ -604,15 +649,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each component: that of the smallest id; rows without id stay."""
     scratch, work = Scratch(docs.sparkSession, "one-of-each"), Scratch(docs.sparkSession, "group-join")
     with_id = docs.where("doc_id is not null")
+    # the rows that go are told by their ids, which are fewer than those that stay; texts needn't be shuffled for them
     if with_id.groupBy("doc_id").count().where("count > 1").isEmpty():
-        found = similar_components(docs, work).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-        out = docs.join(scratch.keep(found, "kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+        found = similar_components(docs, work).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+        out = docs.join(_bounded(scratch.keep(found, "gone"), 32), F.col("doc_id") == F.col("__gone"), "left_anti")
     else:
         # an id doesn't name one row: rows are numbered in order of their ids and stand for themselves
         ordered = with_id.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         numbered = scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        found = similar_components(numbered.select(F.col("__row").alias("doc_id"), "text"), work).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-        out = numbered.join(scratch.keep(found, "kept"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+        found = similar_components(numbered.select(F.col("__row").alias("doc_id"), "text"), work).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+        out = numbered.join(_bounded(scratch.keep(found, "gone"), 32), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+        out = out.unionByName(docs.where("doc_id is null"))
     # what is left of the join is a table of ids
     work.close()
-    return out.unionByName(docs.where("doc_id is null"))
+    return out
