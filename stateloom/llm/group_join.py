@@ -596,7 +596,7 @@ def similar_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     taking_part = described.where("n > 0 and doc_id is not null")
     # one row of each group stands for it; the other rows are few, so prefixes needn't be shuffled to tell them
     heads = scratch.keep(taking_part.groupBy("grp").agg(F.min("doc_id").alias("doc")), "heads")
-    others = taking_part.select("grp", "doc_id").join(heads, "grp").where("doc_id != doc").select(F.col("grp").alias("g"), F.col("doc_id").alias("other")).distinct()
+    others = taking_part.select("grp", "doc_id").join(heads, "grp").where("doc_id != doc").select(F.col("grp").alias("g"), F.col("doc_id").alias("other"))
     others = scratch.keep(others, "others")
     leaders = taking_part.join(_bounded(others, 32), (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("other")), "left_anti").select("grp", "n", "prefix", F.col("doc_id").alias("doc"))
     numbered = not heads.groupBy("doc").count().where("count > 1").isEmpty() or not taking_part.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -68,3 +68,18 @@ def test_leaks_of_the_tables(spark):
     joined = {r["doc_id"]: f" {' '.join(words_of(r['text']))} " for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
     items = {r["item_id"]: f" {' '.join(words_of(r['text']))} " for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()}
     assert found == {(d, i) for d, text in joined.items() for i, item in items.items() if item in text}
+
+
+def test_a_stage_drops_the_tables_before(spark, folder, monkeypatch):
+    from pathlib import Path
+
+    from stateloom.llm.storage import shared_folder
+
+    path, texts, _ = folder
+    same = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, same) for name in "abcd"])
+    root = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(root.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, path).count() == len(texts)
+    (made,) = set(root.glob("pipeline-*")) - before
+    assert [p.name for p in made.iterdir() if not p.name.startswith(".")] == ["c"]
